@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from labourmill.llm.shared import hash60, key_text
 
 #: Default number of slots: a prime of at least 100 slots for each of the default shards.
-TABLE_SIZE = 4099
-SHARDS = 40
+TABLE_SIZE = 3203
+SHARDS = 32
 
 
 def _is_prime(n: int) -> bool:
@@ -50,12 +50,16 @@ def shard_table(spark: SparkSession, names: list[str], table_size: int = TABLE_S
             lambda o: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: ((o["offset"] + j * o["skip"]) % m).cast("int")),
         ).alias("orders"),
     )
+    # Bound as a lambda's argument, the orders are worked out once and not again for each turn.
     claimed = orders.select(
-        F.aggregate(
-            F.sequence(F.col("id").cast("int"), F.lit(m - 1)),
-            F.array().cast("array<int>"),
-            lambda got, turn: F.array_append(got, F.element_at(F.array_except(F.element_at("orders", turn % n + 1), got), 1)),
-        ).alias("claimed")
+        F.transform(
+            F.array("orders"),
+            lambda known: F.aggregate(
+                F.sequence(F.col("id").cast("int"), F.lit(m - 1)),
+                F.array().cast("array<int>"),
+                lambda got, turn: F.array_append(got, F.element_at(F.array_except(F.element_at(known, turn % n + 1), got), 1)),
+            ),
+        )[0].alias("claimed")
     )
     return claimed.select(F.posexplode("claimed").alias("turn", "slot")).select(
         F.col("slot").cast("long").alias("slot"), (F.col("turn") % n).alias("shard")
