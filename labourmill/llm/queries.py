@@ -1,11 +1,15 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import sharding
+from labourmill.llm import mixing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
     "op1_sharding": sharding.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
