@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import mixing, quality, sharding
+from labourmill.llm import mixing, packing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_packing": packing.op6_packing,
     "op10_mixing": mixing.op10_mixing,
 }
 
