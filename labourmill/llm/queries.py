@@ -1,16 +1,18 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import mixing, packing, quality, sharding
+from labourmill.llm import mixing, packing, quality, sharding, substring
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_packing": packing.op6_packing,
+    "op7_substring": substring.op7_substring,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
     "op1_sharding": sharding.ORACLE,
     "op5_quality_rules": quality.ORACLE,
+    "op7_substring": substring.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
@@ -107,7 +108,7 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about CHUNK bytes of text, one row at least."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64)
         group = np.cumsum(sizes) // CHUNK
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
