@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import mixing, packing, quality, sharding, substring
+from labourmill.llm import jaccard, mixing, packing, quality, sharding, substring
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_packing": packing.op6_packing,
     "op7_substring": substring.op7_substring,
@@ -12,6 +13,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_sharding": sharding.ORACLE,
+    "op4_jaccard": jaccard.ORACLE,
     "op5_quality_rules": quality.ORACLE,
     "op7_substring": substring.ORACLE,
     "op10_mixing": mixing.ORACLE,
