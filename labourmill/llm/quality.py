@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labourmill.llm.shared import SPACES, key_text, materialize, words_of
+from labourmill.llm.shared import bind, key_text, materialize, words_of
 
 #: A document fails with fewer words, or with a larger percentage of its words in repeated windows.
 MIN_WORDS = 20
@@ -49,19 +49,14 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
             F.lit(0).cast("long"),
             lambda a, b: a + b,
         )
-        return _bind(placed, lambda s: _bind(again(s), total))
+        return bind(placed, lambda s: bind(again(s), total))
 
-    return _bind(
+    return bind(
         hashes,
         lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)),
     )
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def document_rules(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long). Null: no words."""
     text = F.coalesce(text, F.lit(""))
@@ -72,11 +67,11 @@ def document_rules(text: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-            _bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
         )
 
-    return _bind(words_of(text), of)
+    return bind(words_of(text), of)
 
 
 def fails_base(n_words: Column, n_repeat_words: Column) -> Column:
@@ -135,7 +130,7 @@ def filter_documents(docs: DataFrame, text: str = "text", host: str = "source")
     Texts don't travel: the rules are worked out again where each row is read, and only the
     rejected hosts, mostly none, are joined.
     """
-    failed = _bind(words_of(F.col(f"`{text}`")), lambda w: fails_base(F.size(w).cast("long"), repeated_words(w)))
+    failed = bind(words_of(F.col(f"`{text}`")), lambda w: fails_base(F.size(w).cast("long"), repeated_words(w)))
     marked = docs.withColumn("__host", key_text(F.col(f"`{host}`")))
     counts = materialize(marked.select(F.col("__host").alias("host"), failed.alias("base_failed")))
     bad = host_verdicts(counts).filter("rejected").select(F.col("host").alias("__host"))

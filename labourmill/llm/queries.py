@@ -1,9 +1,11 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import jaccard, mixing, packing, quality, sharding, substring
+from labourmill.llm import jaccard, mixing, packing, quality, sharding, simhash, substring
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_simhash": simhash.op3_simhash,
+    "simhash_neighbours": simhash.simhash_neighbours,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_packing": packing.op6_packing,

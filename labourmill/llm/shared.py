@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,11 @@ def key_text(key: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACES + "+")
