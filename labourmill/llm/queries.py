@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import jaccard, mixing, packing, quality, sharding, simhash, substring
+from labourmill.llm import jaccard, mixing, packing, pii, quality, sharding, simhash, substring
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_pii": pii.op2_pii,
     "op3_simhash": simhash.op3_simhash,
     "simhash_neighbours": simhash.simhash_neighbours,
     "op4_jaccard": jaccard.op4_jaccard,
