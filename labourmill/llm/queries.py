@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import jaccard, mixing, packing, pii, quality, sharding, simhash, substring
+from labourmill.llm import chat, classifier, jaccard, mixing, packing, pii, quality, sharding, simhash, substring
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_packing": packing.op6_packing,
     "op7_substring": substring.op7_substring,
+    "op8_classifier": classifier.op8_classifier,
+    "op9_preferences": chat.op9_preferences,
     "op10_mixing": mixing.op10_mixing,
 }
 
@@ -19,5 +21,6 @@ ORACLES = {
     "op4_jaccard": jaccard.ORACLE,
     "op5_quality_rules": quality.ORACLE,
     "op7_substring": substring.ORACLE,
+    "op9_preferences": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
