@@ -1,4 +1,6 @@
 """Every registered query of the library with its DuckDB counterpart."""
 
-QUERIES = {}
-ORACLES = {}
+from labourmill.plans import marts
+
+QUERIES = {**marts.QUERIES}
+ORACLES = {**marts.ORACLES}
