@@ -198,12 +198,18 @@ class _Sets:
         return [some[i] for i in np.lexsort((np.array([self.keys[i] for i in some]), -score))[:k]]
 
     def search(self, queries: list[int], index: list[int]) -> None:
-        """DivideSkip: every query's links among ``index``, by occurrence in its inverted lists."""
+        """DivideSkip: every query's links among ``index``, by occurrence in its inverted lists.
+
+        The short lists' merge and the probes of the long ones work on all of a query's
+        candidates at once; sets that are connected with the query drop out after the merge.
+        """
         place = defaultdict(list)
         for i in sorted(index):
             for t in self.tokens[i].tolist():
                 place[t].append(i)
         lists = {t: np.array(x, np.int64) for t, x in place.items()}
+        sizes = np.array(self.sizes, np.int64)
+        group = np.array([self.root(i) for i in range(len(self.keys))])
         for q in queries:
             mine = sorted((lists[t] for t in self.tokens[q].tolist() if t in lists), key=len)
             least = _need(self.sizes[q], self.threshold)
@@ -214,19 +220,18 @@ class _Sets:
             short, long_ = mine[: len(mine) - aside], mine[len(mine) - aside :]
             merged = np.sort(np.concatenate(short), kind="stable")  # merges the runs, sorted as they are
             found, counts = np.unique(merged, return_counts=True)
-            some = counts >= least - aside
-            for j, shared in zip(found[some].tolist(), counts[some].tolist(), strict=True):
-                if j == q or self.root(j) == self.root(q):
-                    continue
-                left = len(long_)
-                for one in long_:
-                    if shared + left < least:
-                        break
-                    at = int(np.searchsorted(one, j))
-                    shared += at < len(one) and one[at] == j
-                    left -= 1
-                if shared >= least and self.enough(q, j, shared):
-                    self.link(q, j)
+            some = (counts >= least - aside) & (group[found] != group[q]) & (100 * sizes[found] >= self.threshold * sizes[q])
+            found, counts = found[some], counts[some]
+            for left, one in zip(range(aside - 1, -1, -1), long_, strict=True):
+                if not len(found):
+                    break
+                at = np.minimum(np.searchsorted(one, found), len(one) - 1)
+                counts = counts + (one[at] == found)
+                some = counts + left >= least
+                found, counts = found[some], counts[some]
+            for j in found[100 * counts >= self.threshold * (sizes[q] + sizes[found] - counts)].tolist():
+                self.link(q, j)
+                group[group == group[j]] = group[q]
 
 
 def _found(sets: _Sets) -> pa.Table:
