@@ -1,6 +1,6 @@
 """Every registered query of the library with its DuckDB counterpart."""
 
-from labourmill.plans import marts
+from labourmill.plans import jobs, marts
 
-QUERIES = {**marts.QUERIES}
-ORACLES = {**marts.ORACLES}
+QUERIES = {**marts.QUERIES, **jobs.QUERIES}
+ORACLES = {**marts.ORACLES, **jobs.ORACLES}
