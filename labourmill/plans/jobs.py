@@ -634,7 +634,10 @@ def A23_golden_proposals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as a stream of several files: a file source watches a folder."""
+    events, path = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), scratch.folder(spark)
+    events.repartition(4, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).parquet(path)
 
 
 def _ran(stream: DataFrame, mode: str) -> DataFrame:
