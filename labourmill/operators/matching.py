@@ -57,7 +57,7 @@ def fuzzy_top_k(raw: DataFrame, labels: DataFrame, k: int = 3, least: float = 0.
                         scored.append((-score, t["pos"].iat[i], i))
             scored.sort(key=lambda x: x[:2])
             rows += [(skill, t["label"].iat[i], t["uri"].iat[i], p, -s / 100.0) for s, p, i in scored[:k]]
-        return pd.DataFrame(rows, columns=["raw_skill", "label", "uri", "pos", "score"])
+        return pd.DataFrame(rows, columns=["raw_skill", "label", "uri", "pos", "score"]).astype({"pos": "int64", "score": "float64"})
 
     asked = raw.select("raw_skill", scalars.normalize_text(F.col("raw_skill")).alias("text")).filter("text != ''")
     found = _met(asked, labels.select("label", "uri", "pos"), "raw_skill", "label", BLOCK).applyInPandas(run, "raw_skill string, label string, uri string, pos long, score double")
@@ -95,7 +95,7 @@ def knn_top_k(queries: DataFrame, concepts: DataFrame, k: int = 3, label_weight:
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(t):
-            return pd.DataFrame({"text": [], "uri": [], "score": []})
+            return pd.DataFrame({"text": pd.Series(dtype=object), "uri": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         x = unit(q["vec"])
         scores = label_weight * x @ unit(t["label_vec"]).T + (1 - label_weight) * x @ unit(t["desc_vec"]).T
         n = min(k, len(t))
