@@ -385,6 +385,9 @@ def write_collection_log(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("query", "jobs_collected", "status")
 
 
+QUERIES["read_mart"], ORACLES["read_mart"] = store_mart, ORACLES["store_mart"]
+
+
 # --- taxonomy: nations below regions below a root
 
 
@@ -446,6 +449,15 @@ def read_taxonomy_groups(spark: SparkSession, d: str) -> DataFrame:
     return tx.without_known(c, c.filter("uri like 'r/%' and preferred_label < 'B'")).select("uri", F.col("preferred_label").alias("label"))
 
 
+@query("SELECT uri, label AS preferred_label, array_to_string(alt, '|') AS alt_labels, CASE WHEN uri LIKE 'n/%' THEN 'skill' ELSE 'group' END AS skill_type FROM concepts", TREE)
+def read_taxonomy_skills(spark: SparkSession, d: str) -> DataFrame:
+    """The concepts as CSV files with quoted labels on lines of their own, read back."""
+    path = scratch.folder(spark)
+    rows = _concepts(spark, d).select(F.col("uri").alias("conceptUri"), F.col("preferred_label").alias("preferredLabel"), F.array_join("alt_labels", " \n").alias("altLabels"), F.lit('a "word"').alias("description"), F.col("skill_type").alias("skillType"))
+    rows.write.options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
+    return tx.read_taxonomy_skills(spark, path).select("uri", "preferred_label", F.array_join("alt_labels", "|").alias("alt_labels"), "skill_type")
+
+
 # --- matching
 
 
@@ -478,6 +490,13 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return q, e.join(n, "vec_id", "left").select(F.col("vec_id").cast("string").alias("uri"), F.col("embedding").alias("label_vec"), F.coalesce("desc_vec", "embedding").alias("desc_vec"))
 
 
+@query("SELECT vec_id::VARCHAR AS uri, round(embedding[1]::DOUBLE, 5) AS a, round(embedding[64]::DOUBLE, 5) AS b FROM embeddings")
+def read_vectors(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch.folder(spark)
+    storage.store_mart(_vectors(spark, d)[1], path)
+    return tx.read_vectors(spark, path).select("uri", F.round(F.col("label_vec")[0].cast("double"), 5).alias("a"), F.round(F.col("label_vec")[63].cast("double"), 5).alias("b"))
+
+
 SIMS = """q AS (SELECT vec_id::VARCHAR AS text, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
   c AS (SELECT a.vec_id::VARCHAR AS uri, a.embedding::DOUBLE[] AS l, coalesce(b.embedding, a.embedding)::DOUBLE[] AS e FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1),
   sims AS (SELECT text, uri, 0.6 * list_cosine_similarity(v, l) + 0.4 * list_cosine_similarity(v, e) AS s FROM q, c),

@@ -26,7 +26,8 @@ def query(sql: str, more: str = ""):
 
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 2) for c in columns})
+    """To cents, with halves (give or take what sums of floats lose) always up."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-7, 2) for c in columns})
 
 
 def series_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +126,7 @@ def A6_skill_roi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _salaries(column: str, tail: str) -> str:
-    return f"""SELECT label, count, round(avg_min, 2) AS avg_min, round(avg_max, 2) AS avg_max FROM (
+    return f"""SELECT label, count, round(avg_min + 1e-7, 2) AS avg_min, round(avg_max + 1e-7, 2) AS avg_max FROM (
     SELECT {column} AS label, count(*) AS count, avg(min_salary) AS avg_min, avg(max_salary) AS avg_max FROM p WHERE min_salary > 0 AND {column} <> '' GROUP BY 1 {tail})"""
 
 
@@ -143,7 +144,7 @@ for _dim, (_column, _limit, _least) in a.SALARY_DIMENSIONS.items():
     )
 
 
-@query("SELECT location_state, count(*) AS count, round(avg(max_salary), 2) AS avg_max_salary, sum(telework_eligible::INT)::BIGINT AS remote_count FROM p WHERE location_state <> '' GROUP BY 1 ORDER BY count DESC, 1 LIMIT 20")
+@query("SELECT location_state, count(*) AS count, round(avg(max_salary) + 1e-7, 2) AS avg_max_salary, sum(telework_eligible::INT)::BIGINT AS remote_count FROM p WHERE location_state <> '' GROUP BY 1 ORDER BY count DESC, 1 LIMIT 20")
 def A8_locations(spark: SparkSession, d: str) -> DataFrame:
     return _round(a.locations(postings(spark, d)), "avg_max_salary")
 
@@ -243,7 +244,7 @@ def _json(rows: str, column: str, name: str) -> str:
 
 
 @query(
-    f"""SELECT job_type, count(*) AS total_postings, round(avg(min_salary), 2) AS avg_min_salary, round(avg(max_salary), 2) AS avg_max_salary, sum(telework_eligible::INT) * 100.0 / count(*) AS remote_percentage,
+    f"""SELECT job_type, count(*) AS total_postings, round(avg(min_salary) + 1e-7, 2) AS avg_min_salary, round(avg(max_salary) + 1e-7, 2) AS avg_max_salary, sum(telework_eligible::INT) * 100.0 / count(*) AS remote_percentage,
     sum(total_openings)::BIGINT AS total_openings, {_json('s', 'skill_raw', 'skill')} AS top_skills, {_json('p', 'location_state', 'state')} AS top_locations, '{AS_OF}' AS snapshot_date FROM p GROUP BY 1"""
 )
 def A19_market_snapshot(spark: SparkSession, d: str) -> DataFrame:
