@@ -125,7 +125,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
             "p", 1 / (1 + F.exp(-(_logit(F.col("prior")) + F.col("evidence"))))
         )
     )
-    sites = site_posteriors(own.select("host", "path", "p"))
+    sites = materialize(site_posteriors(own.select("host", "path", "p")))
     score = F.round(1 / (1 + F.exp(-(_logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_quality")))) + F.col("evidence")))), 9)
     return own.join(sites, ["host", "path"]).select(
         "doc_id", "evidence", F.round("host_quality", 9).alias("host_quality"), F.round("path_quality", 9).alias("path_quality"), score.alias("score"), (score >= KEEP_FROM).alias("keep")
