@@ -114,8 +114,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     rules = docs.select(*[F.col(f"`{c}`") for c in keep], key_text(F.col(f"`{host}`")).alias("__host"), document_rules(F.col(f"`{text}`")).alias("__r"))
     flat = rules.select(*[f"`{c}`" for c in keep], "__host", "__r.*")
     counts = materialize(flat.withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words"))))
-    verdicts = host_verdicts(counts.select(F.col("__host").alias("host"), "base_failed")).select(
-        F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "rejected"
+    # Written, so that Spark knows its size: small ones are broadcast, and a hot host's rows stay where they are.
+    verdicts = materialize(
+        host_verdicts(counts.select(F.col("__host").alias("host"), "base_failed")).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "rejected")
     )
     return (
         counts.join(verdicts, "__host", "left")
@@ -133,7 +134,7 @@ def filter_documents(docs: DataFrame, text: str = "text", host: str = "source")
     failed = bind(words_of(F.col(f"`{text}`")), lambda w: fails_base(F.size(w).cast("long"), repeated_words(w)))
     marked = docs.withColumn("__host", key_text(F.col(f"`{host}`")))
     counts = materialize(marked.select(F.col("__host").alias("host"), failed.alias("base_failed")))
-    bad = host_verdicts(counts).filter("rejected").select(F.col("host").alias("__host"))
+    bad = materialize(host_verdicts(counts).filter("rejected").select(F.col("host").alias("__host")))
     return marked.filter(~failed).join(bad, "__host", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
