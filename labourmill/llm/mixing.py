@@ -121,7 +121,9 @@ def mix(
     )
     totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     plan = block_plan(sums, source_weights(totals, **target)).groupBy("source", "block").agg(F.sort_array(F.collect_list("epoch")).alias("__epochs"))
-    taken = blocked.join(plan.select(F.col("source").alias("__source"), F.col("block").alias("__block"), "__epochs"), ["__source", "__block"])
+    # Written, so that Spark knows its size: while it is small it is broadcast and the documents aren't shuffled.
+    written = materialize(plan.select(F.col("source").alias("__source"), F.col("block").alias("__block"), "__epochs"))
+    taken = blocked.join(written, ["__source", "__block"])
     return taken.select(*[f"`{c}`" for c in kept], F.explode(F.col("__epochs").cast("array<int>")).alias("epoch"))
 
 
