@@ -141,18 +141,33 @@ def candidate_sets(docs: DataFrame, size: int, threshold: int) -> DataFrame:
 
 
 def _ties(sets: DataFrame) -> DataFrame:
-    """a, b: each set and the least set that has the same prefix shingle."""
+    """a, b: ties that connect all sets with a prefix shingle in common.
+
+    A batch ties its own sets first, each to the least one with the same shingle, and sends on
+    only that one: a shingle that very many sets have is a row a batch in the shuffle.
+    """
 
     def run(batches):
         for batch in batches:
-            for keys, tokens, prefix in [[c.to_pylist() for c in batch.columns]]:
-                each = [np.frombuffer(t, np.int64)[:p] for t, p in zip(tokens, prefix, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in each])), pa.array(np.concatenate([*each, np.zeros(0, np.int64)]))], names=["set_key", "token"])
-
-    listed = sets.select("set_key", "tokens", "prefix").filter("prefix > 0").mapInArrow(run, "set_key long, token long")
-    # Each token's sets are summed to its least one; a set then has one tie a token.
+            keys, tokens, prefix = (c.to_pylist() for c in batch.columns)
+            each = [np.frombuffer(t, np.int64)[:p] for t, p in zip(tokens, prefix, strict=True)]
+            key, token = np.repeat(np.array(keys, np.int64), [len(x) for x in each]), np.concatenate([*each, np.zeros(0, np.int64)])
+            order = np.lexsort((key, token))
+            key, token = key[order], token[order]
+            first = np.ones(len(token), bool)
+            first[1:] = token[1:] != token[:-1]
+            least = key[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else key
+            pairs = np.unique(np.stack([key[~first], least[~first]], 1), axis=0)
+            n = len(pairs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([key[first], pairs[:, 0]])), pa.array(np.concatenate([token[first], pairs[:, 1]])), pa.array(np.arange(first.sum() + n) >= first.sum())], names=["set_key", "other", "tied"]
+            )
+
+    sent = sets.select("set_key", "tokens", "prefix").filter("prefix > 0").mapInArrow(run, "set_key long, other long, tied boolean")
+    listed = sent.filter("not tied").select("set_key", F.col("other").alias("token"))
     least = listed.groupBy("token").agg(F.min("set_key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return listed.join(least, "token").select(F.col("set_key").alias("a"), "b").filter("a != b").distinct()
+    across = listed.join(least, "token").select(F.col("set_key").alias("a"), "b")
+    return sent.filter("tied").select(F.col("set_key").alias("a"), F.col("other").alias("b")).unionByName(across).filter("a != b").distinct()
 
 
 class _Sets:
