@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK = 4_000_000
+#: Words whose bytes are hashed at once.
+PIECE = 50_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,7 +103,11 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     after |= begin[1:]
     start = np.flatnonzero(~space & before)
     end = np.flatnonzero(~space & after) + 1
-    values = _run_hashes(data.astype(U) + U(1), start, end, _BASE)
+    values = np.empty(len(start), U)
+    for i in range(0, len(start), PIECE):  # a byte takes some forty bytes of workspace
+        some = slice(i, i + PIECE)
+        a, b = start[i], end[some][-1]
+        values[some] = _run_hashes(data[a:b].astype(U) + U(1), start[some] - a, end[some] - a, _BASE)
     return Words(data, np.searchsorted(start, offsets), start, end, values)
 
 
