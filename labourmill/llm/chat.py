@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from labourmill.llm.shared import bind, key_text
+from labourmill.llm.shared import bind, hash60, key_text
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
 #: Ranks are counted within ranges of so many ids, and over the ranges' counts.
 RANGE = 1024
+#: About so many conversations lend each other their answers.
+LENDERS = 1024
 
 
 def assemble(turns: DataFrame) -> DataFrame:
@@ -49,6 +51,40 @@ def pair_by_opening(conversations: DataFrame) -> DataFrame:
     return two.select(a["conv_id"].alias("chosen_id"), a["turns"].alias("chosen"), b["conv_id"].alias("rejected_id"), b["turns"].alias("rejected"))
 
 
+def pair_by_answer(turns: DataFrame, lenders: int = LENDERS) -> DataFrame:
+    """chosen_id, chosen, rejected_id, rejected: every conversation, and the same with a worse answer.
+
+    The rejected side has the turns before the last assistant turn, and that turn with the text
+    of another conversation's last assistant turn: of the next one by conv_id (after the last the
+    first; a null conv_id comes first) in a group drawn by hash whose text differs. A conversation
+    without assistant turns, or in whose group all answers are equal, has no rejected side (null).
+    """
+    count = turns.filter(F.col("role") == LEARNED_ROLE).agg(F.count_distinct("conv_id")).first()[0]
+    # Turns are dealt by group, so neither the groups of turns nor the windows shuffle them again.
+    group = hash60(F.concat(F.lit("lend:"), key_text(F.col("conv_id")))) % (count // lenders + 1)
+    row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = turns.withColumn("lend", group).repartition("lend").groupBy("lend", "conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    k = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"] == LEARNED_ROLE), True) + 1
+    # k: number of the last assistant turn; where there is none, one more than there are turns.
+    placed = whole.withColumn("k", k.cast("int")).withColumn("answer", F.get("turns", F.col("k") - 1)["text"])
+    lends = F.col("answer").isNotNull()
+    own = F.struct(F.col("conv_id").alias("id"), F.col("answer").alias("text"))
+    down = W.partitionBy("lend", lends).orderBy(F.col("conv_id").desc_nulls_last())
+    # The next different answer is the next that differs from the one just before it.
+    other = placed.withColumn("new", F.when(F.lead("answer").over(down) != F.col("answer"), own))
+    after = down.rowsBetween(W.unboundedPreceding, -1)
+    every = down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = other.select(
+        "conv_id", "turns", "k", "answer", F.last("new", ignorenulls=True).over(after).alias("next"), F.last(own).over(every).alias("first"), F.last("new", ignorenulls=True).over(every).alias("second")
+    )
+    lent = F.when(F.col("answer").isNotNull(), F.coalesce("next", F.when(F.col("first.text") != F.col("answer"), F.col("first")).otherwise(F.col("second"))))
+    last = F.get("turns", F.col("k") - 1)
+    swapped = F.concat(F.slice("turns", F.lit(1), F.col("k") - 1), F.array(F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.col("lent.text").alias("text"))))
+    return found.withColumn("lent", lent).select(
+        F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"), F.col("lent.id").alias("rejected_id"), F.when(F.col("lent").isNotNull(), swapped).alias("rejected")
+    )
+
+
 def _rendered(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.concat(F.lit(BEGIN), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n")))
 
@@ -95,6 +131,11 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_rows(pair_by_opening(assemble(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
+def op9_lent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference rows of all conversations, each against itself with another's answer."""
+    return preference_rows(pair_by_answer(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 ORACLE = f"""
 WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -126,3 +167,33 @@ done AS (
 SELECT chosen_id, rejected_id, c.k::BIGINT AS prompt_turns, coalesce(x.prompt, '') AS prompt, x.completion AS chosen, x.mask AS chosen_mask, y.completion AS rejected, y.mask AS rejected_mask
 FROM common c JOIN done x ON x.conv_id = chosen_id LEFT JOIN done y ON y.conv_id = rejected_id
 """
+
+LENT_ORACLE = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+),
+lasts AS (SELECT conv_id, max(i) FILTER (role = '{LEARNED_ROLE}') AS k FROM turns GROUP BY conv_id),
+answers AS (
+  SELECT t.conv_id, k, text, ('0x' || substr(md5('lend:=' || t.conv_id), 1, 15))::BIGINT % ((SELECT count(k) FROM lasts) // {LENDERS} + 1) AS lend
+  FROM turns t JOIN lasts l ON l.conv_id = t.conv_id AND l.k = t.i
+),
+lent AS (
+  SELECT a.conv_id, a.k, arg_min({{'id': b.conv_id, 'text': b.text}}, (b.conv_id < a.conv_id, b.conv_id)) AS other
+  FROM answers a JOIN answers b ON a.lend = b.lend AND a.text <> b.text GROUP BY ALL
+),
+sides AS (
+  SELECT t.conv_id, 'chosen' AS side, i, role, text, i < k AS shared FROM turns t LEFT JOIN lent USING (conv_id)
+  UNION ALL
+  SELECT t.conv_id, 'rejected', i, role, CASE WHEN i = k THEN other.text ELSE text END, i < k FROM turns t JOIN lent USING (conv_id) WHERE i <= k
+),
+shown AS (SELECT *, coalesce(shared, false) AS prompt, '{BEGIN}' || role || chr(10) || text || '{END}' || chr(10) AS r FROM sides),
+placed AS (SELECT *, (coalesce(sum(length(r)) FILTER (NOT prompt) OVER (PARTITION BY conv_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + {len(BEGIN) + 1})::BIGINT AS begin_ FROM shown),
+done AS (
+  SELECT conv_id, side, count(*) FILTER (prompt) AS k, coalesce(string_agg(r, '' ORDER BY i) FILTER (prompt), '') AS prompt, coalesce(string_agg(r, '' ORDER BY i) FILTER (NOT prompt), '') AS completion,
+    coalesce(string_agg(begin_ || ':' || (begin_ + length(text) + {len(END)}), ',' ORDER BY i) FILTER (NOT prompt AND role = '{LEARNED_ROLE}'), '') AS mask
+  FROM placed GROUP BY ALL
+)
+SELECT c.conv_id AS chosen_id, other.id AS rejected_id, c.k::BIGINT AS prompt_turns, c.prompt, c.completion AS chosen, c.mask AS chosen_mask, r.completion AS rejected, r.mask AS rejected_mask
+FROM done c LEFT JOIN done r ON r.conv_id = c.conv_id AND r.side = 'rejected' LEFT JOIN lent l ON l.conv_id = c.conv_id WHERE c.side = 'chosen'
+"""
