@@ -26,10 +26,10 @@ BASE = {
 }
 #: Kinds that only the method adds.
 ADDED = {
-    "secret": r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|token|secret|api_?key)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9/+_-]{8,200}+[\x22\x27]?",
+    "secret": r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|token|secret|api_?key)\x20?[=:]\x20?[\x22\x27]?[A-Za-z0-9/+_-]{8,}+[\x22\x27]?",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "local_phone": r"(?<![0-9(+][\x20.-])(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z][a-z]{1,30}+(?:\x20[A-Z][a-z]{1,30}+)?",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
 }
 KINDS = [*BASE, *ADDED]
 #: A text without this character, or these, has no match of the kind.
