@@ -84,6 +84,7 @@ def block_plan(blocks: DataFrame, weights: DataFrame) -> DataFrame:
 
     ``blocks`` has (source, block, tokens). A pass takes all blocks but the last, which takes
     those whose middle lies within what is left of the budget, in an order drawn for that pass.
+    The first pass also takes every block without tokens.
     Windows run over the blocks of one source and pass, not over documents.
     """
     passes = weights.select("source", "target_tokens", F.when(F.col("tokens") > 0, F.floor(F.col("target_tokens") / F.col("tokens"))).otherwise(0).alias("full"), F.col("tokens").alias("all"))
@@ -94,7 +95,8 @@ def block_plan(blocks: DataFrame, weights: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     left = F.col("target_tokens") - F.col("epoch") * F.col("all")
     ends = wanted.withColumn("middle", before + F.col("tokens") / 2.0)
-    once = (F.col("all") == 0) & (F.col("epoch") == 0)
+    # A block without tokens takes nothing of the budget; a target may round to just below the source's total.
+    once = (F.col("tokens") == 0) & (F.col("epoch") == 0)
     return ends.filter((F.col("middle") <= left) | once).select("source", "block", "epoch")
 
 
