@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labourmill.llm import jaccard, mixing, packing, pii, quality
-from labourmill.llm.shared import materialize, words_of
+from labourmill.llm.shared import key_text, materialize, words_of
+
+#: A text with words has a character other than the six that part them.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +23,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of documents that links connect: the one with the least doc_id."""
-    classes = jaccard.similar_documents(docs)
-    first = classes.select(F.col("component_id").alias("__id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of rows that links connect: the one with the least doc_id.
+
+    Rows are told apart by doc_id and text. A null doc_id counts as the greatest, and of rows of
+    a group with equal doc_ids the one whose text has the least hash stays; of copies with one
+    doc_id any one. So rows without a doc_id, or with one that occurs again, stay where no link
+    connects them. Rows without words link with nothing and all stay.
+    """
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    keyed = docs.filter(~blank).withColumn("__row", F.xxhash64(key_text(F.col("doc_id")), "text"))
+    classes = jaccard.similar_documents(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    named = keyed.select("__row", F.col("doc_id").alias("__id")).distinct()
+    order = F.struct(F.col("__id").isNull(), "__id", "__row")
+    first = classes.join(named, "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    one = keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+    return one.unionByName(docs.filter(blank))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
