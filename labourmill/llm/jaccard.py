@@ -10,36 +10,38 @@ Two documents link when their shingle sets' Jaccard similarity reaches the thres
    Sets of different cells don't link. Common passages come last in that order, so they tie only
    sets that hold little else.
 3. Within a cell, DivideSkip: of a set's inverted lists the longest are put aside, the short ones
-   are merged, and what occurs often enough is looked up in the long ones by binary search.
-   Before that the most central sets are held against all others; pairs that are already
-   connected aren't looked for again, so a group of many near copies costs few comparisons.
-   A cell too large for one task is dealt in blocks: queries against each block's lists.
+   are merged, and what occurs often enough is looked up in the long ones by binary search. The
+   most central sets ask first; pairs that are already connected aren't looked for again, and the
+   largest group that they leave needn't ask, so a group of many near copies costs few searches.
+   A larger cell is dealt in blocks: the most central sets ask every block, then the sets that
+   they leave ask those blocks that have one of their prefix shingles.
 4. Links' components are the classes.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from labourmill.llm import words as wd
 from labourmill.llm.components import components
 from labourmill.llm.shared import materialize
-from labourmill.llm.tally import MOST, Sent, buckets_for, tell
+from labourmill.llm.tally import Exchange, Sent, exchange_for, tell
 from labourmill.llm.words import U
 
 SHINGLE = 5
 THRESHOLD = 75  # per cent
 #: A cell with more sets, or more shingles, is dealt in blocks of so many.
-CELL_SETS = 3000
-CELL_SHINGLES = 4_000_000
-#: The most central sets of a cell that are held against all others first.
+CELL_SETS = 128
+CELL_SHINGLES = 1_000_000
+#: The most central sets of a cell, which ask first.
 PIVOTS = 8
+_CHECK = U(0xA0761D6478BD642F)
 
 
 def shingles(w: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +53,7 @@ def shingles(w: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     text = w.text_of()[at]
     n = np.diff(w.first)
     short = np.flatnonzero((n > 0) & (n < size))
-    text, hashes = np.concatenate([text, short]), np.concatenate([hashes, w.whole()[short]])
+    text, hashes = np.concatenate([text, short]), np.concatenate([hashes, w.whole(short)])
     order = np.lexsort((hashes, text))
     text, hashes = text[order], hashes[order]
     new = np.ones(len(text), bool)
@@ -59,11 +61,11 @@ def shingles(w: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], text[new]
 
 
-def _set_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """One number for each set, of all its shingles."""
+def _set_keys(hashes: np.ndarray, cuts: np.ndarray, seed: np.uint64 = U(0x5851F42D4C957F2D)) -> np.ndarray:
+    """One number for each set, of all its shingles and their number."""
     sums = np.zeros(len(hashes) + 1, U)
-    np.cumsum(wd.mix(hashes + U(0x5851F42D4C957F2D)), dtype=U, out=sums[1:])
-    return wd.mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.diff(cuts).astype(U)).view(np.int64)
+    np.cumsum(wd.mix(hashes ^ seed), dtype=U, out=sums[1:])
+    return wd.mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ wd.mix(np.diff(cuts).astype(U))).view(np.int64)
 
 
 def _need(n: int, threshold: int) -> int:
@@ -71,8 +73,9 @@ def _need(n: int, threshold: int) -> int:
     return -(-threshold * n // 100)
 
 
-def document_sets(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n, set_key, open of every row: size and key of its set, and whether it may link."""
+def document_sets(docs: DataFrame, exchange: Exchange, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, h, n, set_key, open of every row of (doc_id, h, text): size and key of its set, and
+    whether it may link. Sets are told apart by two sums of 64 bits."""
 
     def send(batch: pa.RecordBatch) -> Sent:
         tokens, doc = shingles(wd.split(batch.column("text"), lower=True), size)
@@ -81,45 +84,52 @@ def document_sets(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHO
         several = counts[where] > 1
         known = np.bincount(doc[several], minlength=batch.num_rows)
         asked = doc[~several]
+        keys = _set_keys(tokens, cuts), _set_keys(tokens, cuts, _CHECK)
 
         def payload(order: np.ndarray, bucket: np.ndarray) -> bytes:
-            # Within a bucket the tokens stand in order of document: counts a document and bucket tell whose each is.
+            # Whose each token is: as counts a document and bucket (within a bucket they stand in order of document), or one by one.
             n = int(bucket.max()) + 1 if len(bucket) else 0
-            table = np.bincount(bucket * batch.num_rows + asked[order], minlength=n * batch.num_rows)
-            kind = np.uint8 if not len(table) or table.max() < 256 else np.uint32
-            return pickle.dumps((batch.column("doc_id"), np.diff(cuts), _set_keys(tokens, cuts), known, table.astype(kind)))
+            if n * batch.num_rows <= 2 * len(asked):
+                of = np.bincount(bucket * batch.num_rows + asked[order], minlength=n * batch.num_rows)
+                of = of.astype(np.uint8 if not len(of) or of.max() < 256 else np.uint32)
+                return pickle.dumps((batch.column("doc_id"), batch.column("h"), np.diff(cuts), keys, known, True, of))
+            return pickle.dumps((batch.column("doc_id"), batch.column("h"), np.diff(cuts), keys, known, False, asked[order].astype(np.uint32)))
 
         return Sent(tokens[~several], None, values[counts > 1], payload)
 
     def receive(payload: bytes, counts: np.ndarray) -> pa.RecordBatch:
-        doc_id, n, keys, known, table = pickle.loads(payload)
-        doc = np.repeat(np.tile(np.arange(len(n)), len(table) // max(1, len(n))), table)
+        doc_id, h, n, keys, known, counted, of = pickle.loads(payload)
+        doc = np.repeat(np.tile(np.arange(len(n)), len(of) // max(1, len(n))), of) if counted else of
         shared = known + np.bincount(doc[counts > 1], minlength=len(n))
-        return pa.RecordBatch.from_arrays([doc_id, pa.array(n.astype(np.int64)), pa.array(keys), pa.array((n > 0) & (100 * shared >= threshold * n))], names=["doc_id", "n", "set_key", "open"])
+        columns = {"doc_id": doc_id, "h": h, "n": n.astype(np.int64), "set_key": keys[0], "check": keys[1], "open": (n > 0) & (100 * shared >= threshold * n)}
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
-    return tell(docs, send, receive, "doc_id long, n long, set_key long, open boolean", buckets_for(docs.sparkSession))
+    rows = materialize(tell(docs, send, receive, "doc_id long, h long, n long, set_key long, check long, open boolean", exchange))
+    # Where two sets have one key, next to never, both sums make a new one.
+    twice = materialize(rows.groupBy("set_key").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b").select("set_key", F.lit(True).alias("twice")))
+    return rows.join(twice, "set_key", "left").withColumn("old_key", F.col("set_key")).withColumn("set_key", F.when(F.col("twice"), F.xxhash64("set_key", "check")).otherwise(F.col("set_key"))).drop("twice")
 
 
-def candidate_sets(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+def candidate_sets(docs: DataFrame, exchange: Exchange, size: int, threshold: int) -> DataFrame:
     """set_key, n, tokens, prefix of the sets (rows of ``docs``, one or more for each) that may link.
 
-    ``tokens`` has the shingles that other sets have too, from rare to frequent; ``prefix`` how
-    many of them may tie the set to others.
+    ``docs`` has text, set_key and the sums old_key and check. ``tokens`` has the shingles that
+    other sets have too, from rare to frequent; ``prefix`` how many of them may tie the set to others.
     """
 
     def send(batch: pa.RecordBatch) -> Sent:
         tokens, doc = shingles(wd.split(batch.column("text"), lower=True), size)
         cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        keys = _set_keys(tokens, cuts)
+        keys = np.asarray(batch.column("set_key"))
         # Of rows with one set the first one counts; and only rows that have the set that was asked for.
-        right = (keys == np.asarray(batch.column("set_key"))) & (np.diff(cuts) > 0)
-        first = np.zeros(len(keys), bool)
-        first[np.unique(keys, return_index=True)[1]] = True
-        use = right & first
+        right = (_set_keys(tokens, cuts) == np.asarray(batch.column("old_key"))) & (_set_keys(tokens, cuts, _CHECK) == np.asarray(batch.column("check"))) & (np.diff(cuts) > 0)
+        at = np.flatnonzero(right)
+        use = np.zeros(len(keys), bool)
+        use[at[np.unique(keys[at], return_index=True)[1]]] = True
         tokens, doc = tokens[use[doc]], doc[use[doc]]
         values, where, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        payload = (keys[use], np.diff(cuts)[use], values, where)
-        return Sent(values, counts, np.zeros(0, U), lambda order, _: pickle.dumps((*payload, order)))
+        payload = (keys[use], np.diff(cuts)[use], values, where.astype(np.uint32))
+        return Sent(values, counts, np.zeros(0, U), lambda order, _: pickle.dumps((*payload, order.astype(np.uint32))))
 
     def receive(payload: bytes, counts: np.ndarray) -> pa.RecordBatch:
         keys, n, values, where, order = pickle.loads(payload)
@@ -137,7 +147,7 @@ def candidate_sets(docs: DataFrame, size: int, threshold: int) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int32())], names=["set_key", "n", "tokens", "prefix"])
 
-    return tell(docs, send, receive, "set_key long, n long, tokens binary, prefix int", buckets_for(docs.sparkSession))
+    return tell(docs, send, receive, "set_key long, n long, tokens binary, prefix int", exchange)
 
 
 def _ties(sets: DataFrame) -> DataFrame:
@@ -174,84 +184,65 @@ class _Sets:
     """Sets of one task: sorted shingles, full sizes, and who is connected with whom."""
 
     def __init__(self, keys: list[int], sizes: list[int], tokens: list[bytes], threshold: int):
-        self.keys, self.sizes, self.threshold = keys, sizes, threshold
+        self.keys, self.sizes, self.threshold = keys, np.array(sizes, np.int64), threshold
         self.tokens = [np.sort(np.frombuffer(t, U)) for t in tokens]
-        self.up = list(range(len(keys)))
+        self.group = np.arange(len(keys))
         self.links: list[tuple[int, int]] = []
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((self.keys[i], self.keys[j]))
-
-    def enough(self, i: int, j: int, shared: int) -> bool:
-        return 100 * shared >= self.threshold * (self.sizes[i] + self.sizes[j] - shared)
-
-    def against(self, pivots: list[int], others: np.ndarray) -> None:
-        """Hold each pivot against all others at once."""
-        flat, owner = np.concatenate([self.tokens[i] for i in others]), np.repeat(others, [len(self.tokens[i]) for i in others])
-        for p in pivots:
-            at = np.searchsorted(self.tokens[p], flat)
-            hit = self.tokens[p][np.minimum(at, len(self.tokens[p]) - 1)] == flat
-            shared = np.bincount(owner[hit], minlength=len(self.keys))
-            for j in np.flatnonzero(shared):
-                if j != p and self.enough(p, j, int(shared[j])):
-                    self.link(p, int(j))
-
-    def central(self, some: list[int], k: int) -> list[int]:
-        """The k sets whose shingles are, on average, in most of the others."""
-        values, where, counts = np.unique(np.concatenate([self.tokens[i] for i in some]), return_inverse=True, return_counts=True)
-        cuts = np.cumsum([0, *(len(self.tokens[i]) for i in some)])
-        score = np.add.reduceat(counts[where], cuts[:-1]) / np.array([self.sizes[i] for i in some])
-        return [some[i] for i in np.lexsort((np.array([self.keys[i] for i in some]), -score))[:k]]
+    def index(self, some: list[int]) -> None:
+        """Make the inverted lists of some sets: each shingle's owners stand together, in order."""
+        flat = np.concatenate([np.zeros(0, U), *(self.tokens[i] for i in some)])
+        owner = np.repeat(np.array(some, np.int64), [len(self.tokens[i]) for i in some])
+        order = np.lexsort((owner, flat))
+        self.owners = owner[order]
+        self.values, self.begins, self.lengths = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def central(self, k: int) -> list[int]:
+        """The k indexed sets whose shingles are, on average, in most of the others."""
+        score = np.bincount(self.owners, weights=np.repeat(self.lengths, self.lengths), minlength=len(self.keys)) / self.sizes
+        return np.lexsort((np.array(self.keys), -score))[:k].tolist()
+
+    def ask(self, q: int) -> None:
+        """DivideSkip: the links of one set with the indexed ones that it isn't connected with."""
+        at = np.minimum(np.searchsorted(self.values, self.tokens[q]), max(len(self.values) - 1, 0))
+        lists = at[self.values[at] == self.tokens[q]] if len(self.values) else at[:0]
+        least = _need(int(self.sizes[q]), self.threshold)
+        if len(lists) < least:
+            return
+        lists = lists[np.argsort(self.lengths[lists], kind="stable")]
+        mine = [self.owners[a : a + n] for a, n in zip(self.begins[lists].tolist(), self.lengths[lists].tolist(), strict=True)]
+        # The longer the longest list, the fewer are worth putting aside.
+        aside = min(least - 1, int(least / (0.0085 * np.log2(len(mine[-1]) + 1) + 1)))
+        short, long_ = mine[: len(mine) - aside], mine[len(mine) - aside :]
+        merged = np.sort(np.concatenate(short), kind="stable")  # merges the runs, sorted as they are
+        found, counts = np.unique(merged, return_counts=True)
+        some = (counts >= least - aside) & (self.group[found] != self.group[q]) & (100 * self.sizes[found] >= self.threshold * self.sizes[q])
+        found, counts = found[some], counts[some]
+        for left, one in zip(range(aside - 1, -1, -1), long_, strict=True):
+            if not len(found):
+                break
+            place = np.minimum(np.searchsorted(one, found), len(one) - 1)
+            counts = counts + (one[place] == found)
+            some = counts + left >= least
+            found, counts = found[some], counts[some]
+        for j in found[100 * counts >= self.threshold * (self.sizes[q] + self.sizes[found] - counts)].tolist():
+            if self.group[j] != self.group[q]:
+                self.links.append((self.keys[q], self.keys[j]))
+                self.group[self.group == self.group[j]] = self.group[q]
 
     def search(self, queries: list[int], index: list[int]) -> None:
-        """DivideSkip: every query's links among ``index``, by occurrence in its inverted lists.
-
-        The short lists' merge and the probes of the long ones work on all of a query's
-        candidates at once; sets that are connected with the query drop out after the merge.
-        """
-        place = defaultdict(list)
-        for i in sorted(index):
-            for t in self.tokens[i].tolist():
-                place[t].append(i)
-        lists = {t: np.array(x, np.int64) for t, x in place.items()}
-        sizes = np.array(self.sizes, np.int64)
-        group = np.array([self.root(i) for i in range(len(self.keys))])
+        """All links of the queries with the indexed sets, as far as they connect more."""
+        self.index(index)
         for q in queries:
-            mine = sorted((lists[t] for t in self.tokens[q].tolist() if t in lists), key=len)
-            least = _need(self.sizes[q], self.threshold)
-            if len(mine) < least:
-                continue
-            # The longer the longest list, the fewer are worth putting aside.
-            aside = min(least - 1, int(least / (0.0085 * np.log2(len(mine[-1]) + 1) + 1)))
-            short, long_ = mine[: len(mine) - aside], mine[len(mine) - aside :]
-            merged = np.sort(np.concatenate(short), kind="stable")  # merges the runs, sorted as they are
-            found, counts = np.unique(merged, return_counts=True)
-            some = (counts >= least - aside) & (group[found] != group[q]) & (100 * sizes[found] >= self.threshold * sizes[q])
-            found, counts = found[some], counts[some]
-            for left, one in zip(range(aside - 1, -1, -1), long_, strict=True):
-                if not len(found):
-                    break
-                at = np.minimum(np.searchsorted(one, found), len(one) - 1)
-                counts = counts + (one[at] == found)
-                some = counts + left >= least
-                found, counts = found[some], counts[some]
-            for j in found[100 * counts >= self.threshold * (sizes[q] + sizes[found] - counts)].tolist():
-                self.link(q, j)
-                group[group == group[j]] = group[q]
+            self.ask(q)
 
+    def root(self, i: int) -> int:
+        """The number of a set's group."""
+        return int(self.group[i])
 
-def _found(sets: _Sets) -> pa.Table:
-    a, b = zip(*sets.links, strict=True) if sets.links else ((), ())
-    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def found(self) -> pa.Table:
+        a, b = zip(*self.links, strict=True) if self.links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _cell_links(cells: DataFrame, threshold: int) -> DataFrame:
@@ -260,70 +251,74 @@ def _cell_links(cells: DataFrame, threshold: int) -> DataFrame:
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sets = _Sets(table["set_key"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), threshold)
         every = list(range(len(sets.keys)))
-        for p in sets.central(every, PIVOTS):
-            others = np.array([i for i in every if sets.root(i) != sets.root(p)], np.int64)
-            if len(others):
-                sets.against([p], others)
-        of = [sets.root(i) for i in every]
-        most = max(set(of), key=of.count) if len(set(of)) < 50 else int(np.bincount(of).argmax())
+        sets.index(every)
+        for q in sets.central(PIVOTS):
+            sets.ask(q)
         # Of two sets that aren't connected yet, one at least is outside the largest group.
-        sets.search([i for i in every if of[i] != most], every)
-        return _found(sets)
+        for q in np.flatnonzero(sets.group != np.bincount(sets.group).argmax()).tolist():
+            sets.ask(q)
+        return sets.found()
 
     return cells.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def _block_links(tasks: DataFrame, threshold: int, by_lists: bool) -> DataFrame:
-    """a, b: links of the sets that ask with those that don't, of each (cell, block, asks)."""
+def _block_links(tasks: DataFrame, threshold: int) -> DataFrame:
+    """a, b: links of the sets that ask with those that don't, of each (cell, block, chunk)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sets = _Sets(table["set_key"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), threshold)
         asks = table["asks"].to_pylist()
-        group: dict[int, int] = {}
-        for i, g in enumerate(table["group"].to_pylist()):  # connected in an earlier step
-            sets.up[i] = sets.root(group.setdefault(g, i))
-        queries, index = [i for i, x in enumerate(asks) if x], [i for i, x in enumerate(asks) if not x]
-        if queries and index:
-            if by_lists:
-                sets.search(queries, index)
-            else:
-                sets.against(queries, np.array(index, np.int64))
-        return _found(sets)
+        sets.group = np.unique(np.array(table["group"].to_pylist(), np.int64), return_inverse=True)[1]  # connected in an earlier step
+        sets.search([i for i, x in enumerate(asks) if x], [i for i, x in enumerate(asks) if not x])
+        return sets.found()
 
     return tasks.groupBy("cell", "block", "chunk").applyInArrow(run, "a long, b long")
 
 
-def _large_links(cells: DataFrame, threshold: int) -> DataFrame:
-    """As ``_cell_links`` for cells too large for a task; each block of a cell has a bounded size."""
-    blocks = F.greatest(F.ceil(F.col("cell_sets") / CELL_SETS), F.ceil(F.col("cell_tokens") / CELL_SHINGLES)).cast("long")
-    dealt = cells.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks"))
-    # Pivots: the sets with the most weight in frequent shingles.
-    rank = F.row_number().over(_by("cell", F.desc(F.col("weight")), "set_key"))
-    first = dealt.groupBy("cell", "block").agg(F.max_by(F.struct("set_key", "n", "tokens", "weight", "blocks"), F.struct("weight", "set_key")).alias("p")).select("cell", "p.*")
-    pivots = first.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS)
+def _heads(sets: DataFrame) -> DataFrame:
+    """cell, block, set_key, n, token: a row for each prefix shingle of each set."""
+
+    def run(batches):
+        for batch in batches:
+            each = [np.frombuffer(t, np.int64)[:p] for t, p in zip(batch.column("tokens").to_pylist(), batch.column("prefix").to_pylist(), strict=True)]
+            take = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            names = ["cell", "block", "set_key", "n"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names), pa.array(np.concatenate([np.zeros(0, np.int64), *each]))], names=[*names, "token"])
 
-    def spread(some: DataFrame) -> DataFrame:
-        return some.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return sets.select("cell", "block", "set_key", "n", "tokens", "prefix").mapInArrow(run, "cell long, block long, set_key long, n long, token long")
 
+
+def _large_links(cells: DataFrame, threshold: int) -> DataFrame:
+    """As ``_cell_links`` for cells (cell, set_key, n, tokens, prefix, blocks) too large for a task.
+
+    Each task has about a block of a cell's sets and as many that ask it, however large the cell.
+    """
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks"))
     columns = ["cell", "block", "chunk", "set_key", "n", "tokens", "asks", "group"]
-    rows = dealt.withColumns({"asks": F.lit(False), "chunk": F.lit(0).cast("long"), "group": F.col("set_key")})
-    ask = spread(pivots).withColumns({"asks": F.lit(True), "chunk": F.lit(0).cast("long"), "group": F.col("set_key")})
-    early = materialize(_block_links(rows.select(columns).unionByName(ask.select(columns)), threshold, False))
+
+    def rows(some: DataFrame, asks: bool) -> DataFrame:
+        return some.withColumn("asks", F.lit(asks)).select(columns)
+
+    # First the sets with the most weight in frequent shingles, of as many blocks.
+    weight = F.struct(F.length("tokens") / F.col("n"), "set_key")
+    best = dealt.groupBy("cell", "block").agg(F.max_by(F.struct("set_key", "n", "tokens", "blocks"), weight).alias("p"), F.max(weight).alias("w"))
+    rank = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("w")))
+    pivots = best.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("cell", "p.*").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    alone = {"chunk": F.lit(0).cast("long"), "group": F.col("set_key")}
+    early = materialize(_block_links(rows(dealt.withColumns(alone), False).unionByName(rows(pivots.withColumns(alone), True)), threshold))
+    # Then those outside their cell's largest group ask where they have a prefix shingle in common, and no length against it.
     groups = components(early).withColumnRenamed("node", "set_key")
     known = materialize(dealt.join(groups, "set_key", "left").withColumn("group", F.coalesce("component", "set_key")).drop("component"))
     largest = known.groupBy("cell", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("cell").agg(F.max_by("group", F.struct("size", "group")).alias("largest"))
-    asking = known.join(largest, "cell").filter("group != largest")
-    chunks = asking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("long").alias("chunks"))
-    asking = spread(asking.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("set_key", F.lit(1)), "chunks"))).withColumn("asks", F.lit(True))
-    every = known.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("asks", F.lit(False))
-    late = _block_links(every.select(columns).unionByName(asking.select(columns)), threshold, True)
-    return early.unionByName(late)
-
-
-def _by(key: str, *order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
+    asking = materialize(known.join(largest, "cell").filter("group != largest").drop("largest"))
+    there = _heads(known).groupBy("cell", "token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    met = _heads(asking).select("cell", "token", "set_key", "n").join(there, ["cell", "token"]).filter((100 * F.col("hi") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("lo")))
+    met = materialize(met.select("cell", "block", "set_key").distinct())
+    sizes = materialize(met.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("long").alias("chunks")))
+    chunk = F.pmod(F.xxhash64("set_key", F.lit(1)), "chunks")
+    ask = met.join(asking.drop("block"), ["cell", "set_key"]).join(sizes, ["cell", "block"]).withColumn("chunk", chunk)
+    every = known.join(sizes, ["cell", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return early.unionByName(_block_links(rows(every, False).unionByName(rows(ask, True)), threshold))
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -334,22 +329,26 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = THR
     doc_id that is null stays so and counts as the greatest: its component_id is the least of
     its component, null if there is none. Other columns are not looked at.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = materialize(document_sets(texts, size, threshold))
-    classes = rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("open").alias("open"), F.count(F.lit(1)).alias("rows"))
-    # A row of each set is read again. A set whose only row has no doc_id is found by null.
-    asked = classes.filter("open").select(F.col("least").alias("__id"), "set_key")
-    again = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "set_key")
-    sets = materialize(candidate_sets(again, size, threshold).dropDuplicates(["set_key"]))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    exchange = exchange_for(texts)
+    rows = document_sets(texts, exchange, size, threshold)
+    one = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    classes = materialize(
+        rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("open").alias("open"), F.min("old_key").alias("old_key"), F.min("check").alias("check"), F.min(one).alias("one"))
+    )
+    # A row of each set is read again; sorted, so that a task that runs again finds its rows in the same order.
+    asked = classes.filter("open").select("one.*", "set_key", "old_key", "check")
+    again = texts.join(asked, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "set_key", "old_key", "check", "h", "doc_id")
+    sets = materialize(candidate_sets(again.sortWithinPartitions("h", "doc_id", "set_key"), exchange, size, threshold).dropDuplicates(["set_key"]))
     cell = components(_ties(sets)).select(F.col("node").alias("set_key"), F.col("component").alias("cell"))
     placed = sets.join(cell, "set_key")
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_sets"), F.sum(F.length("tokens") / 8).alias("cell_tokens"))
-    large = (F.col("cell_sets") > CELL_SETS) | (F.col("cell_tokens") > CELL_SHINGLES)
-    over = materialize(sizes.filter(large))
+    blocks = F.greatest(F.ceil(F.col("cell_sets") / CELL_SETS), F.ceil(F.col("cell_tokens") / CELL_SHINGLES)).cast("long")
+    over = materialize(sizes.select("cell", blocks.alias("blocks")).filter("blocks > 1"))
     links = _cell_links(placed.join(over.select("cell"), "cell", "left_anti").select("cell", "set_key", "n", "tokens"), threshold)
     if over.take(1):
-        weight = F.length("tokens") / F.col("n")
-        links = links.unionByName(_large_links(materialize(placed.join(over, "cell").withColumn("weight", weight)), threshold))
+        links = links.unionByName(_large_links(materialize(placed.join(over, "cell")), threshold))
     joined = components(links).select(F.col("node").alias("set_key"), "component")
     merged = classes.join(joined, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = merged.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -3,9 +3,11 @@
 A window is some consecutive words of one document. The minimiser of a window is the least hash
 of its short word runs; neighbouring windows mostly share it, and such a stretch of windows (a
 super-k-mer) travels as one packed string to the bucket of its minimiser. Equal windows have
-equal minimisers, so each bucket counts its windows exactly by sorting them. Before that, the
-minimisers alone are counted: a stretch whose minimiser occurs nowhere else holds no repeated
-window and needs no journey.
+equal minimisers, so each bucket counts its windows by sorting their hashes, and what the hashes
+call equal is held against its words. Before that, the minimisers alone are counted: a stretch
+whose minimiser occurs nowhere else holds no repeated window and needs no journey, and one whose
+minimiser is very frequent is cut by the next-least hash of its windows, so that a run of words
+that a large part of the corpus has doesn't gather all its windows in one bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labourmill.llm import words as wd
-from labourmill.llm.tally import Sent, batch_of, bucket_of, buckets_for, tell
+from labourmill.llm.tally import MOST, Exchange, Sent, batch_of, bucket_of, exchange_for, tell
 from labourmill.llm.words import U, chunks
 
 WINDOW = 35
@@ -58,34 +60,78 @@ def stretches(w: wd.Words, window: int, run: int) -> tuple[np.ndarray, np.ndarra
     return first[begins], np.diff([*begins, len(first)]), runs[place[begins]], w.text_of()[first[begins]]
 
 
+def cut_again(w: wd.Words, window: int, run: int, first: np.ndarray, size: np.ndarray, minimiser: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches (first, size, minimiser), those in ``which`` cut by the least of their windows'
+    runs that aren't the minimiser. Both numbers make the new minimiser."""
+    keep = np.ones(len(first), bool)
+    keep[which] = False
+    n = size[which] + window - run  # runs that begin in the stretch
+    ends = np.cumsum(n)
+    within = np.arange(n.sum()) - np.repeat(ends - n, n)
+    all_runs = wd.runs(w.hash, run)
+    values = all_runs[np.repeat(first[which], n) + within]
+    values[values == np.repeat(minimiser[which], n)] = np.iinfo(np.uint64).max
+    keys = (values & U(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=U)
+    place = (_least(keys, window - run + 1) & U(0xFFFFFFFF)).astype(np.int64)
+    of = np.repeat(np.arange(len(which)), n)
+    at = np.flatnonzero(within < np.repeat(size[which], n))  # places of the stretches' windows
+    place, of = place[at], of[at]
+    begins = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])])) if len(at) else at
+    new = (first[which][of] + within[at])[begins], np.diff([*begins, len(at)]), wd.mix(minimiser[which][of[begins]] ^ wd.mix(values[place[begins]]))
+    order = np.argsort(np.concatenate([first[keep], new[0]]), kind="stable")
+    return tuple(np.concatenate([old[keep], more])[order] for old, more in zip((first, size, minimiser), new, strict=True))
+
+
+def equal_windows(w: wd.Words, first: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window of words (joined by one space): equal ones have the same.
+
+    Windows with one hash are held against the first of them, consecutive ones as one string. If
+    any differs, all are told apart by their words.
+    """
+    _, lead, where = np.unique(hashes, return_index=True, return_inverse=True)
+    leader = lead[where]
+    at = np.flatnonzero(leader != np.arange(len(first)))
+    if not len(at):
+        return where
+    other, data = leader[at], w.data.tobytes()
+    goes_on = (np.diff(at) == 1) & (np.diff(other) == 1) & (np.diff(first[at]) == 1) & (np.diff(first[other]) == 1)
+    begins = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    ends = np.append(begins[1:], len(at)) - 1
+    mine = zip(w.start[first[at[begins]]].tolist(), w.end[first[at[ends]] + window - 1].tolist(), strict=True)
+    its = zip(w.start[first[other[begins]]].tolist(), w.end[first[other[ends]] + window - 1].tolist(), strict=True)
+    if all(data[a:b] == data[c:d] for (a, b), (c, d) in zip(mine, its, strict=True)):
+        return where
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(data[a:b], len(known)) for a, b in zip(w.start[first].tolist(), w.end[first + window - 1].tolist(), strict=True)])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the text's hash; rows that agree in both are told the same."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _shared_stretches(docs: DataFrame, window: int, run: int, buckets: int) -> DataFrame:
-    """doc_id, h, flags: one bit for each stretch of a document, whether its minimiser occurs again."""
+def _shared_stretches(docs: DataFrame, window: int, run: int, exchange: Exchange) -> DataFrame:
+    """doc_id, h, flags: for each stretch of a document a bit whether its minimiser occurs again, then
+    for each a bit whether it is very frequent."""
 
     def send(batch: pa.RecordBatch) -> Sent:
         _, _, minimiser, text = stretches(wd.split(batch.column("text")), window, run)
         values, where, counts = np.unique(minimiser, return_inverse=True, return_counts=True)
-        several = counts[where] > 1
         keys = [batch.column("doc_id"), batch.column("h")]
-        return Sent(minimiser[~several], None, values[counts > 1], lambda order, _: pickle.dumps((keys, text, several, order)))
+        return Sent(values, counts, np.zeros(0, U), lambda order, _: pickle.dumps((keys, text.astype(np.uint32), where.astype(np.uint32), order.astype(np.uint32))))
 
     def receive(payload: bytes, counts: np.ndarray) -> pa.RecordBatch:
-        (doc_id, h), text, flags, order = pickle.loads(payload)
-        asked = np.zeros(len(order), bool)
-        asked[order] = counts > 1
-        flags = flags.copy()
-        flags[~flags] = asked
+        (doc_id, h), text, where, order = pickle.loads(payload)
+        often = np.zeros(len(order), np.uint8)
+        often[order] = counts
+        often = often[where]
         cuts = np.searchsorted(text, np.arange(len(doc_id) + 1))
-        some = [i for i in range(len(doc_id)) if flags[cuts[i] : cuts[i + 1]].any()]
-        packed = [np.packbits(flags[cuts[i] : cuts[i + 1]]).tobytes() for i in some]
+        some = [i for i in range(len(doc_id)) if (often[cuts[i] : cuts[i + 1]] > 1).any()]
+        packed = [np.packbits(often[cuts[i] : cuts[i + 1]] > 1).tobytes() + np.packbits(often[cuts[i] : cuts[i + 1]] >= MOST).tobytes() for i in some]
         return pa.RecordBatch.from_arrays([doc_id.take(pa.array(some, pa.int64())), h.take(pa.array(some, pa.int64())), pa.array(packed, pa.binary())], names=["doc_id", "h", "flags"])
 
-    found = tell(docs, send, receive, "doc_id long, h long, flags binary", buckets)
+    found = tell(docs, send, receive, "doc_id long, h long, flags binary", exchange)
     return found.groupBy("doc_id", "h").agg(F.max("flags").alias("flags"))
 
 
@@ -99,28 +145,34 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     ``ranges`` holds pairs of little-endian 32-bit numbers: first word and end of each stretch of
     words that repeated windows cover.
     """
-    buckets = buckets_for(docs.sparkSession)
     keyed = _keyed(docs)
-    flags = _shared_stretches(keyed, window, run, buckets)
-    asked = _joined(keyed, flags, "flags", "inner")
+    exchange = exchange_for(keyed)
+    buckets = exchange.buckets
+    flags = _shared_stretches(keyed, window, run, exchange)
+    # Sorted, so that a task that runs again finds its rows in the same order.
+    asked = _joined(keyed, flags, "flags", "inner").sortWithinPartitions("h", "doc_id")
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        for i, batch in enumerate(chunks(batches)):
+        for i, batch in enumerate(chunks(batches, size=exchange.block)):
             w = wd.split(batch.column("text"))
             first, size, minimiser, text = stretches(w, window, run)
             cuts = np.searchsorted(text, np.arange(len(w) + 1))
-            keep = np.zeros(len(first), bool)
+            keep, hot = np.zeros(len(first), bool), np.zeros(len(first), bool)
             for d, bits in enumerate(batch.column("flags").to_pylist()):
                 n = cuts[d + 1] - cuts[d]
-                keep[cuts[d] : cuts[d + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-            at = np.flatnonzero(keep)
+                told = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+                keep[cuts[d] : cuts[d + 1]], hot[cuts[d] : cuts[d + 1]] = told[:n], told[-(-n // 8) * 8 :][:n]
+            some = np.flatnonzero(keep)
+            first, size, minimiser = cut_again(w, window, run, first[some], size[some], minimiser[some], np.flatnonzero(hot[some]))
+            text = np.searchsorted(w.first, first, side="right") - 1
+            at = np.arange(len(first))
             # A block sends what it has several times once, with its count.
             order: dict[tuple[int, bytes], int] = {}
             times: list[int] = []
             which = np.zeros(len(at), np.int64)
             data = w.data.tobytes()
-            for k, (s, b) in enumerate(zip(at, bucket_of(minimiser[at], buckets), strict=True)):
+            for k, (s, b) in enumerate(zip(at, bucket_of(minimiser, buckets), strict=True)):
                 words = b" ".join(data[w.start[first[s]] : w.end[first[s] + size[s] + window - 2]].split())
                 j = which[k] = order.setdefault((int(b), words), len(order))
                 if j == len(times):
@@ -132,8 +184,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
             sequence = [j for b in sorted(by) for j, _ in by[b]]  # the order in which answers come
             place = np.empty(len(sequence), np.int64)
             place[sequence] = np.arange(len(sequence))
-            firsts = w.first[text[at]]
-            payload = pickle.dumps(([batch.column("doc_id"), batch.column("h")], text[at], first[at] - firsts, size[at], place[which]))
+            payload = pickle.dumps(([batch.column("doc_id"), batch.column("h")], text, first - w.first[text], size, place[which]))
             rows = [(part + i, int((part + i) % buckets), None, None, payload)]
             for b in sorted(by):
                 rows.append((part + i, b, b"\n".join(x for _, x in by[b]), np.array([times[j] for j, _ in by[b]], "<u4").tobytes(), None))
@@ -149,7 +200,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
             times = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in asks]).astype(np.int64)
             first, hashes = w.windows(window)
             text = w.text_of()[first]
-            _, where = np.unique(hashes, return_inverse=True)
+            where = equal_windows(w, first, hashes, window)
             again = np.bincount(where, weights=times[text])[where] > 1
             cuts = np.searchsorted(text, np.arange(len(w) + 1))
             begin = 0

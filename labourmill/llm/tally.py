@@ -5,6 +5,10 @@ a block (some documents of one task) sends each bucket of the hash space one pac
 its tokens of that bucket. The bucket sorts what all blocks sent and answers every block with one
 count a token. What several documents of a block share travels once, so a token that a third of
 all documents hold costs its bucket one entry a block.
+
+Buckets are as many as the texts' bytes ask for, so one fits a task whatever the input's size.
+Blocks grow with their number, up to a bound, so that a row of the exchange stays worth its cost;
+rows are never more than tokens.
 """
 
 from __future__ import annotations
@@ -15,14 +19,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from labourmill.llm.words import U, chunks
+from labourmill.llm.words import CHUNK, U, chunks
 
 _FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary()), ("told", pa.binary()), ("payload", pa.binary())]
 PACKED = "block long, bucket int, tokens binary, counts binary, told binary, payload binary"
 #: Counts go up to here.
 MOST = 255
+#: Rows that a task hands over at once.
+BATCH_ROWS = 20_000
+#: Bytes of text whose tokens one bucket gets, and of which a block sends it a row; and of the largest block.
+BUCKET_BYTES, ROW_BYTES, MOST_BLOCK_BYTES = 32_000_000, 1000, 64_000_000
 
 
 @dataclass
@@ -37,9 +46,19 @@ class Sent:
     payload: Callable[[np.ndarray, np.ndarray], bytes]
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Four buckets for each of the session's shuffle partitions, which follow the input's size."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+@dataclass
+class Exchange:
+    """Number of buckets, and bytes of text of a block."""
+
+    buckets: int
+    block: int
+
+
+def exchange_for(docs: DataFrame, text: str = "text") -> Exchange:
+    """Sized by the bytes of all texts, which are summed for it: one number comes to the driver."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return Exchange(buckets, min(max(CHUNK, ROW_BYTES * buckets), MOST_BLOCK_BYTES))
 
 
 def batch_of(fields: list[tuple], rows: list[tuple]) -> pa.RecordBatch:
@@ -51,19 +70,20 @@ def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> U(32)) % U(buckets)).astype(np.int64)
 
 
-def tell(docs: DataFrame, send: Callable[[pa.RecordBatch], Sent], receive: Callable[[bytes, np.ndarray], pa.RecordBatch], schema: str, buckets: int, text: str = "text") -> DataFrame:
+def tell(docs: DataFrame, send: Callable[[pa.RecordBatch], Sent], receive: Callable[[bytes, np.ndarray], pa.RecordBatch], schema: str, exchange: Exchange, text: str = "text") -> DataFrame:
     """Rows of ``schema``, made by ``receive`` from each block's payload and the counts it asked for.
 
-    ``send`` gets batches of about CHUNK bytes of the column ``text``. Counts are over all blocks,
-    at most MOST, and in the order that the payload's maker was given. Tokens of a bucket are told
-    apart by 32 more bits: now and then two pass for one, so a count may be too large, never too
-    small.
+    ``send`` gets batches of about a block's bytes of the column ``text``. Counts are over all
+    blocks, at most MOST, and in the order that the payload's maker was given. Tokens of a bucket
+    are told apart by 32 more bits: now and then two pass for one, so a count may be too large,
+    never too small. A task that runs again must find its rows in the same order: ``docs`` is read
+    from files, or sorted within its partitions.
     """
-    fields = _FIELDS
+    fields, buckets = _FIELDS, exchange.buckets
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        for i, batch in enumerate(chunks(batches, text)):
+        for i, batch in enumerate(chunks(batches, text, exchange.block)):
             sent = send(batch)
             bucket = bucket_of(sent.asked, buckets)
             order = np.argsort(bucket, kind="stable")
@@ -75,10 +95,12 @@ def tell(docs: DataFrame, send: Callable[[pa.RecordBatch], Sent], receive: Calla
             told = (sent.told[told_order] & U(0xFFFFFFFF)).astype("<u4")
             told_cuts = np.searchsorted(told_bucket[told_order], np.arange(buckets + 1))
             rows = [(part + i, int((part + i) % buckets), None, None, None, sent.payload(order, bucket[order]))]
-            for b in range(buckets):
+            for b in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(told_cuts) > 0)).tolist():
                 a, e, c, d = cuts[b], cuts[b + 1], told_cuts[b], told_cuts[b + 1]
-                if e > a or d > c:
-                    rows.append((part + i, b, low[a:e].tobytes(), times[a:e].tobytes() if times is not None else None, told[c:d].tobytes(), None))
+                rows.append((part + i, b, low[a:e].tobytes(), times[a:e].tobytes() if times is not None else None, told[c:d].tobytes(), None))
+                if len(rows) == BATCH_ROWS:
+                    yield batch_of(fields, rows)
+                    rows = []
             yield batch_of(fields, rows)
 
     def reducer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:

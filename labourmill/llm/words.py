@@ -1,8 +1,9 @@
 """Words and hashes of many texts at once, in numpy, for use inside tasks.
 
 Texts come as Arrow string arrays. Words are found in their UTF-8 bytes: the six separators are
-single bytes that no other character contains. Hashes are 64-bit: sums of bytes (or of words)
-times powers of an odd number, from differences of running sums, with their bits then mixed.
+single bytes that no other character contains. Hashes are 64-bit. Every step of one (eight bytes
+of a word, two runs of words) ends in a mixing of all bits, which is linear in no ring, so no
+pattern in the words makes hashes meet more often than chance does.
 """
 
 from __future__ import annotations
@@ -13,44 +14,66 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-_BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_SEED, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK = 4_000_000
-#: Words whose bytes are hashed at once.
-PIECE = 50_000
+#: Words that are hashed at once.
+PIECE = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit over all 64 (the finaliser of splitmix64)."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.cumprod(out, dtype=U)
-
-
-def _inverse(base: np.uint64) -> np.uint64:
-    return U(pow(int(base), -1, 1 << 64))
-
-
-def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hash of values[starts:ends] for each pair; the number of values counts too."""
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum(values * _powers(base, len(values)), dtype=U, out=sums[1:])
-    back = _powers(_inverse(base), len(values) + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U) * U(0xC2B2AE3D27D4EB4F))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes data[start:end] of each word: its length, then eight bytes a step."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    out = mix(size.astype(U) + _SEED)
+    some = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        some = some[size[some] > at]
+        if not len(some):
+            break
+        out[some] = mix(out[some] ^ (eight[start[some] + at] & _FIRST[np.minimum(size[some] - at, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def runs(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each ``size`` consecutive values, from runs of powers of two, doubled."""
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    power, width, done, out = values, 1, 0, None
+    while True:
+        if size & width:
+            part = power[done : done + n]
+            out = part if out is None else mix(out * _STEP + part)
+            done += width
+        if done == size:
+            return out
+        power = mix(power[:-width] * _STEP + power[width:])
+        width *= 2
 
 
 @dataclass
@@ -74,11 +97,15 @@ class Words:
         """First words of all windows of ``size`` words of one text, and their hashes."""
         last = np.repeat(self.first[1:], np.diff(self.first))
         at = np.flatnonzero(np.arange(len(self.start)) + size <= last)
-        return at, _run_hashes(self.hash, at, at + size, _STEP)
+        return at, runs(self.hash, size)[at]
 
-    def whole(self) -> np.ndarray:
-        """Hash of each text's words."""
-        return _run_hashes(self.hash, self.first[:-1], self.first[1:], _STEP)
+    def whole(self, texts: np.ndarray) -> np.ndarray:
+        """Hash of all words of each of some texts, which have some; apart from those of windows."""
+        n = np.diff(self.first)[texts]
+        out = np.zeros(len(texts), U)
+        for size in np.unique(n).tolist():
+            out[n == size] = mix(runs(self.hash, size)[self.first[texts[n == size]]] ^ U(size))
+        return out
 
 
 def split(texts: pa.Array, lower: bool = False) -> Words:
@@ -104,18 +131,18 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     start = np.flatnonzero(~space & before)
     end = np.flatnonzero(~space & after) + 1
     values = np.empty(len(start), U)
-    for i in range(0, len(start), PIECE):  # a byte takes some forty bytes of workspace
+    for i in range(0, len(start), PIECE):
         some = slice(i, i + PIECE)
         a, b = start[i], end[some][-1]
-        values[some] = _run_hashes(data[a:b].astype(U) + U(1), start[some] - a, end[some] - a, _BASE)
+        values[some] = _word_hashes(data[a:b], start[some] - a, end[some] - a)
     return Words(data, np.searchsorted(start, offsets), start, end, values)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about CHUNK bytes of text, one row at least."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64)
-        group = np.cumsum(sizes) // CHUNK
+        group = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
