@@ -1,8 +1,9 @@
 """Preference data from conversations: one prompt, two completions.
 
-Two conversations that begin alike are a chosen and a rejected one. Their longest common prefix
-of turns is the prompt, rendered once; what follows in each is its completion, with the ranges of
-characters that a model should learn from: what the assistant says and the mark that ends it.
+Two conversations that begin alike are a chosen and a rejected one; one that no other begins like
+is held against itself with another's last answer. The longest common prefix of turns is the
+prompt, rendered once; what follows in each is its completion, with the ranges of characters that
+a model should learn from: what the assistant says and the mark that ends it.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from labourmill.llm.shared import bind, hash60, key_text
+from labourmill.llm.shared import bind, hash60, key_text, materialize
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
 #: Ranks are counted within ranges of so many ids, and over the ranges' counts.
-RANGE = 1024
+RANGE = 256
 #: About so many conversations lend each other their answers.
 LENDERS = 1024
 
@@ -126,17 +127,26 @@ def preference_rows(pairs: DataFrame) -> DataFrame:
     )
 
 
+def paired(turns: DataFrame) -> DataFrame:
+    """chosen_id, chosen, rejected_id, rejected: conversations that begin alike two by two, the
+    others with an answer that another one lends (null where none can)."""
+    alike = materialize(pair_by_opening(assemble(turns)))
+    odd = alike.filter("rejected IS NULL").select(F.col("chosen_id").alias("__id"))
+    lent = pair_by_answer(turns)
+    return alike.filter("rejected IS NOT NULL").unionByName(lent.join(odd, F.col("chosen_id").eqNullSafe(F.col("__id")), "left_semi"))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference rows of all conversations."""
-    return preference_rows(pair_by_opening(assemble(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    return preference_rows(paired(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-def op9_lent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference rows of all conversations, each against itself with another's answer."""
     return preference_rows(pair_by_answer(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-ORACLE = f"""
+OPENING_ORACLE = f"""
 WITH turns AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations
@@ -197,3 +207,9 @@ done AS (
 SELECT c.conv_id AS chosen_id, other.id AS rejected_id, c.k::BIGINT AS prompt_turns, c.prompt, c.completion AS chosen, c.mask AS chosen_mask, r.completion AS rejected, r.mask AS rejected_mask
 FROM done c LEFT JOIN done r ON r.conv_id = c.conv_id AND r.side = 'rejected' LEFT JOIN lent l ON l.conv_id = c.conv_id WHERE c.side = 'chosen'
 """
+
+ORACLE = f"""
+WITH alike AS ({OPENING_ORACLE}), lent AS ({LENT_ORACLE})
+SELECT * FROM alike WHERE rejected IS NOT NULL
+UNION ALL SELECT lent.* FROM lent JOIN alike ON lent.chosen_id IS NOT DISTINCT FROM alike.chosen_id WHERE alike.rejected IS NULL
+"""

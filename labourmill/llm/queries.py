@@ -13,7 +13,7 @@ QUERIES = {
     "op7_substring": substring.op7_substring,
     "op8_classifier": classifier.op8_classifier,
     "op9_preferences": chat.op9_preferences,
-    "op9_lent_answers": chat.op9_lent_answers,
+    "lent_answers": chat.lent_answers,
     "op10_mixing": mixing.op10_mixing,
 }
 
@@ -23,6 +23,6 @@ ORACLES = {
     "op5_quality_rules": quality.ORACLE,
     "op7_substring": substring.ORACLE,
     "op9_preferences": chat.ORACLE,
-    "op9_lent_answers": chat.LENT_ORACLE,
+    "lent_answers": chat.LENT_ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
