@@ -3,8 +3,8 @@
 A document's own evidence is a naive Bayes log odds over binned text statistics, counted from all
 labelled documents. Documents' probabilities are then summed by host and by path; a host's mean
 is shrunk towards the corpus, a path's towards its host, by as much as such means differ (moments).
-A document's verdict combines the odds of its path with its own evidence, so a sparse site hardly
-moves it.
+A document's verdict combines its own evidence with the odds of its path as the other documents
+there tell them, so nothing counts twice and a sparse site hardly moves it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labourmill.llm.shared import bind, key_text, materialize, words_of
+from labourmill.llm.shared import bind, join_hot, key_text, materialize, words_of
 
 #: Bounds of a prior's weight, in documents.
 PRIOR_WEIGHT = (1.0, 1e6)
@@ -70,27 +70,34 @@ def _weight(mean: Column, spread: Column) -> Column:
     return F.when(spread > 0, F.greatest(F.lit(least), F.least(F.lit(most), mean * (1 - mean) / spread - 1))).otherwise(F.lit(most))
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, host_quality, path_quality from rows of (host, path, p).
+def site_sums(scored: DataFrame) -> DataFrame:
+    """host, path, n, s, host_n, host_s, all_n, all_s, k_host, k_path from rows of (host, path, p):
+    numbers and sums of p of each path, host and all, and how many documents a host's and a path's
+    prior weigh.
 
     Sums by (host, path) are taken before anything is shuffled; a host with a third of all rows
     is a few sums.
     """
     paths = materialize(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    corpus = hosts.agg((F.sum("host_s") / F.sum("host_n")).alias("mean"), F.var_pop(F.col("host_s") / F.col("host_n")).alias("spread")).select(
-        "mean", _weight(F.col("mean"), F.col("spread")).alias("k")
-    )
-    shrunk = hosts.join(F.broadcast(corpus), F.lit(True)).select(
-        "host", ((F.col("host_s") + F.col("k") * F.col("mean")) / (F.col("host_n") + F.col("k"))).alias("host_quality")
-    )
-    within = paths.join(shrunk, "host")
-    spread = within.agg(F.avg("host_quality").alias("mean"), F.avg(F.pow(F.col("s") / F.col("n") - F.col("host_quality"), 2)).alias("spread")).select(
-        _weight(F.col("mean"), F.col("spread")).alias("k")
-    )
-    return within.join(F.broadcast(spread), F.lit(True)).select(
-        "host", "path", "host_quality", ((F.col("s") + F.col("k") * F.col("host_quality")) / (F.col("n") + F.col("k"))).alias("path_quality")
+    corpus = hosts.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s"), F.var_pop(F.col("host_s") / F.col("host_n")).alias("spread")).select(
+        "all_n", "all_s", _weight(F.col("all_s") / F.col("all_n"), F.col("spread")).alias("k_host")
     )
+    within = paths.join(hosts.join(F.broadcast(corpus), F.lit(True)), "host")  # a row a path
+    quality = _shrunk(F.col("host_s"), F.col("host_n"), F.col("k_host"), F.col("all_s") / F.col("all_n"))
+    spread = within.agg(F.avg(quality).alias("mean"), F.avg(F.pow(F.col("s") / F.col("n") - quality, 2)).alias("spread")).select(_weight(F.col("mean"), F.col("spread")).alias("k_path"))
+    return within.join(F.broadcast(spread), F.lit(True))
+
+
+def _shrunk(total: Column, n: Column, k: Column, prior: Column) -> Column:
+    return (total + k * prior) / (n + k)
+
+
+def site_posteriors(scored: DataFrame) -> DataFrame:
+    """host, path, host_quality, path_quality from rows of (host, path, p)."""
+    sums = site_sums(scored)
+    host = _shrunk(F.col("host_s"), F.col("host_n"), F.col("k_host"), F.col("all_s") / F.col("all_n"))
+    return sums.withColumn("host_quality", host).select("host", "path", "host_quality", _shrunk(F.col("s"), F.col("n"), F.col("k_path"), F.col("host_quality")).alias("path_quality"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
@@ -99,7 +106,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     ``labels`` has (doc_id, quality 0 or 1); rows with nulls don't count, and a doc_id with
     several labels counts each. All labels are used, none is sampled. Without labels of both
     classes the evidence is what one document added to each class says. Null hosts and paths are
-    sites of their own.
+    sites of their own. host_quality and path_quality are those of a document's site without the
+    document itself; alone in the corpus, it has the labels' share of good ones.
     """
     features = materialize(
         docs.select(
@@ -125,9 +133,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
             "p", 1 / (1 + F.exp(-(_logit(F.col("prior")) + F.col("evidence"))))
         )
     )
-    sites = materialize(site_posteriors(own.select("host", "path", "p")))
+    sites = materialize(site_sums(own.select("host", "path", "p")))
+    p, one = F.col("p"), F.lit(1)
+    corpus = _shrunk(F.col("all_s") - p, F.col("all_n") - 1, one, F.col("prior"))
+    judged = join_hot(own, sites, ["host", "path"], "n").withColumn("host_quality", _shrunk(F.col("host_s") - p, F.col("host_n") - 1, F.col("k_host"), corpus))
+    judged = judged.withColumn("path_quality", _shrunk(F.col("s") - p, F.col("n") - 1, F.col("k_path"), F.col("host_quality")))
     score = F.round(1 / (1 + F.exp(-(_logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_quality")))) + F.col("evidence")))), 9)
-    return own.join(sites, ["host", "path"]).select(
+    return judged.select(
         "doc_id", "evidence", F.round("host_quality", 9).alias("host_quality"), F.round("path_quality", 9).alias("path_quality"), score.alias("score"), (score >= KEEP_FROM).alias("keep")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labourmill.llm.shared import materialize
+from labourmill.llm.shared import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Alternates large-star (a node's larger neighbours go to its least) and small-star (its
     smaller neighbours and itself do), which keeps the number of edges from growing; the number
     of rounds grows with the logarithm of the longest path. Each round's edges are written to the
-    shared folder. A node that very many edges meet is summed by groupBy before it is shuffled,
+    shared folder, and those of the round before deleted. A node that very many edges meet is summed by groupBy before it is shuffled,
     and its edges are dealt by both ends when they are made distinct.
     """
     now = materialize(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -30,6 +30,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         # Stars only: no node is both an end and a centre, and every end has one centre.
         ends = new.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         open_ = ends.filter("n > 1").select("a").unionByName(new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi")).limit(1)
+        discard(now)
         now = new
         if not open_.take(1):
             break

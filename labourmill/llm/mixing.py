@@ -8,11 +8,13 @@ takes its blocks in an order of its own, and the last pass ends where the source
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from labourmill.llm.shared import hash60, key_text, materialize, words_of
+from labourmill.llm.shared import hash60, join_hot, key_text, materialize, words_of
 
 #: Entropy of the mixture, as a part of that of an even one.
 TARGET_ENTROPY = 0.98
@@ -20,7 +22,8 @@ TARGET_ENTROPY = 0.98
 MAX_REPEATS = 2.0
 #: Blocks of each source; a budget is met to about one block in so many.
 BLOCKS = 256
-STEPS = 60
+#: Bisections of the exponent; so many in a row are settled by one pass over the sources' totals.
+STEPS, AT_ONCE = 60, 6
 
 
 def source_weights(
@@ -31,52 +34,40 @@ def source_weights(
     The exponent is the least in 0..1 (60 bisections) at which the entropy is not above the
     target and repeats are not above the limit; at 1 the shares stay as they are. Without a
     budget the mixture is as large as it must be for every document to appear once. A source
-    without tokens has weight 0. The sources, a row each, meet in one row.
+    without tokens has weight 0. A pass sums the powers of all shares at the 63 exponents that the
+    next six bisections can ask for, so sources may be as many as hosts: they never meet.
     """
-    shares = totals.agg(
-        F.sort_array(F.collect_list(F.struct("source", F.col("tokens").cast("double").alias("tokens")))).alias("all"),
-    ).select("all", F.filter("all", lambda s: s["tokens"] > 0).alias("some"))
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
-
-    def powered(x: Column) -> Column:
-        return F.transform("some", lambda s: F.pow(s["tokens"] / top, x))
-
-    top = F.array_max(F.transform("some", lambda s: s["tokens"]))
-    low = F.array_min(F.transform("some", lambda s: s["tokens"]))
-
-    def too_even(x: Column) -> Column:
+    some = totals.filter("tokens > 0").select(F.col("tokens").cast("double").alias("t"))
+    top, low, n = some.agg(F.max("t"), F.min("t"), F.count(F.lit(1))).first()
+    if not n:
+        return totals.select("source", F.col("tokens").cast("long").alias("tokens"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("target_tokens"), F.lit(1.0).alias("exponent"))
+    shares = some.select((F.col("t") / top).alias("share"))
+
+    def sums(points: list[float]) -> list[tuple[float, float]]:
+        """Of the shares' powers at each point, and of these times the shares' logarithms."""
+        powers = shares.select("share", F.explode(F.lit(points)).alias("x")).withColumn("power", F.pow("share", "x"))
+        found = {x: (z, logs) for x, z, logs in powers.groupBy("x").agg(F.sum("power"), F.sum(F.col("power") * F.log("share"))).collect()}  # a row a point
+        return [found[x] for x in points]
+
+    def too_even(x: float, z: float, logs: float) -> bool:
         """Whether the exponent must be larger."""
-        said = F.lit(False)
-        if target_entropy is not None:
-            even = F.log(F.size("some").cast("double"))
-            entropy = F.transform(
-                F.array(powered(x)),
-                lambda p: F.transform(F.array(total(p)), lambda z: total(F.transform(p, lambda v: -(v / z) * F.log(v / z))))[0],
-            )[0]
-            said = said | (entropy > target_entropy * even)
-        if max_repeats is not None:
-            said = said | (F.pow(top / low, 1 - x) > max_repeats)
-        return said
-
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(STEPS)),
-        F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")),
-        lambda s, _: F.transform(
-            F.array((s["lo"] + s["hi"]) / 2),
-            lambda mid: F.when(too_even(mid), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))),
-        )[0],
-        lambda s: s["hi"],
-    )
-    fitted = shares.select("all", "some", found.alias("x")).select("all", "x", top.alias("top"), total(powered(F.col("x"))).alias("z"), low.alias("low"))
-    rows = fitted.select(F.explode("all").alias("s"), "x", "top", "z", "low")
-    weight = F.when(F.col("s.tokens") > 0, F.pow(F.col("s.tokens") / F.col("top"), F.col("x")) / F.col("z")).otherwise(0.0)
-    # tokens / weight is largest for the largest source, whose every document is then seen once.
-    size = F.lit(float(budget)) if budget is not None else F.col("top") * F.col("z")
-    return rows.select(
-        F.col("s.source").alias("source"), F.col("s.tokens").cast("long").alias("tokens"), weight.alias("weight"), (weight * size).alias("target_tokens"), F.col("x").alias("exponent")
-    )
+        entropy = math.log(z) - x * logs / z
+        return (target_entropy is not None and entropy > target_entropy * math.log(n)) or (max_repeats is not None and (top / low) ** (1 - x) > max_repeats)
+
+    lo, hi = 0.0, 1.0
+    for _ in range(STEPS // AT_ONCE):
+        points = [lo + (hi - lo) * i / (1 << AT_ONCE) for i in range(1, 1 << AT_ONCE)]
+        even = [too_even(x, *s) for x, s in zip(points, sums(points), strict=True)]
+        a, b = 0, 1 << AT_ONCE  # places of lo and hi among the points
+        while b - a > 1:
+            middle = (a + b) // 2
+            a, b = (middle, b) if even[middle - 1] else (a, middle)
+        lo, hi = lo + (hi - lo) * a / (1 << AT_ONCE), lo + (hi - lo) * b / (1 << AT_ONCE)
+    z = sums([hi])[0][0]
+    power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double") / top, F.lit(hi))).otherwise(0.0)
+    # Without a budget the largest source, whose power is 1, is seen just once.
+    size = F.lit(float(budget)) / z if budget is not None else F.lit(top)
+    return totals.select("source", F.col("tokens").cast("long").alias("tokens"), (power / z).alias("weight"), (power * size).alias("target_tokens"), F.lit(hi).alias("exponent"))
 
 
 def block_plan(blocks: DataFrame, weights: DataFrame) -> DataFrame:
@@ -84,7 +75,7 @@ def block_plan(blocks: DataFrame, weights: DataFrame) -> DataFrame:
 
     ``blocks`` has (source, block, tokens). A pass takes all blocks but the last, which takes
     those whose middle lies within what is left of the budget, in an order drawn for that pass.
-    The first pass also takes every block without tokens.
+    Blocks without tokens are taken by the first pass and no other.
     Windows run over the blocks of one source and pass, not over documents.
     """
     passes = weights.select("source", "target_tokens", F.when(F.col("tokens") > 0, F.floor(F.col("target_tokens") / F.col("tokens"))).otherwise(0).alias("full"), F.col("tokens").alias("all"))
@@ -95,15 +86,15 @@ def block_plan(blocks: DataFrame, weights: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     left = F.col("target_tokens") - F.col("epoch") * F.col("all")
     ends = wanted.withColumn("middle", before + F.col("tokens") / 2.0)
-    # A block without tokens takes nothing of the budget; a target may round to just below the source's total.
     once = (F.col("tokens") == 0) & (F.col("epoch") == 0)
-    return ends.filter((F.col("middle") <= left) | once).select("source", "block", "epoch")
+    return ends.filter(((F.col("tokens") > 0) & (F.col("middle") <= left)) | once).select("source", "block", "epoch")
 
 
-def _blocked(docs: DataFrame, key: str, source: str, blocks: int) -> DataFrame:
-    return docs.withColumn("__source", key_text(F.col(f"`{source}`"))).withColumn(
-        "__block", hash60(F.concat(F.lit("block:"), key_text(F.col(f"`{key}`")))) % blocks
-    )
+def _blocked(docs: DataFrame, tokens: Column, key: str, source: str, blocks: int) -> DataFrame:
+    """row (all columns but epoch), source, block, tokens."""
+    kept = [f"`{c}`" for c in docs.columns if c != "epoch"]
+    block = hash60(F.concat(F.lit("block:"), key_text(F.col(f"`{key}`")))) % blocks
+    return docs.select(F.struct(*kept).alias("row"), key_text(F.col(f"`{source}`")).alias("source"), block.alias("block"), tokens.cast("long").alias("tokens"))
 
 
 def mix(
@@ -116,17 +107,12 @@ def mix(
     epoch is replaced. Only (source, block) totals are shuffled; the plan has at most ``blocks``
     rows for each source and pass, and a hot source spreads over its blocks.
     """
-    kept = [c for c in docs.columns if c != "epoch"]
-    blocked = _blocked(docs.select(*[f"`{c}`" for c in kept]), key, source, blocks)
-    sums = materialize(
-        blocked.groupBy(F.col("__source").alias("source"), F.col("__block").alias("block")).agg(F.sum(tokens.cast("long")).alias("tokens"))
-    )
-    totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    plan = block_plan(sums, source_weights(totals, **target)).groupBy("source", "block").agg(F.sort_array(F.collect_list("epoch")).alias("__epochs"))
-    # Written, so that Spark knows its size: while it is small it is broadcast and the documents aren't shuffled.
-    written = materialize(plan.select(F.col("source").alias("__source"), F.col("block").alias("__block"), "__epochs"))
-    taken = blocked.join(written, ["__source", "__block"])
-    return taken.select(*[f"`{c}`" for c in kept], F.explode(F.col("__epochs").cast("array<int>")).alias("epoch"))
+    blocked = _blocked(docs, tokens, key, source, blocks)
+    sums = materialize(blocked.groupBy("source", "block").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+    totals = materialize(sums.groupBy("source").agg(F.sum("tokens").alias("tokens")))
+    plan = block_plan(sums, source_weights(totals, **target)).groupBy("source", "block").agg(F.sort_array(F.collect_list("epoch")).alias("epochs"))
+    taken = materialize(plan.join(sums, ["source", "block"]).select("source", "block", "epochs", "rows"))
+    return join_hot(blocked, taken, ["source", "block"], "rows").select("row.*", F.explode(F.col("epochs").cast("array<int>")).alias("epoch"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +141,8 @@ bisect AS (
     FROM (SELECT *, list_transform(ts, lambda t: pow(t / top, mid)) AS ps FROM (SELECT *, (lo + hi) / 2 AS mid FROM bisect, filled WHERE step < {STEPS}))
   )
 ),
-fitted AS (SELECT hi AS x, top, list_sum(list_transform(ts, lambda t: pow(t / top, hi))) AS z FROM bisect, filled WHERE step = {STEPS}),
-targets AS (SELECT s, t, CASE WHEN t > 0 THEN pow(t / top, x) / z * (top * z) ELSE 0 END AS target FROM totals, fitted),
+fitted AS (SELECT hi AS x, top FROM bisect, filled WHERE step = {STEPS}),
+targets AS (SELECT s, t, CASE WHEN t > 0 THEN pow(t / top, x) * top ELSE 0 END AS target FROM totals, fitted),
 wanted AS (
   SELECT s, block, tokens, t, target, unnest(range(0, CASE WHEN t > 0 THEN floor(target / t)::BIGINT ELSE 0 END + 1)) AS epoch
   FROM blocks JOIN targets USING (s)
@@ -167,5 +153,5 @@ placed AS (
 )
 SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch
 FROM counted JOIN placed USING (s, block)
-WHERE middle <= target - epoch * t OR (t = 0 AND epoch = 0)
+WHERE (tokens > 0 AND middle <= target - epoch * t) OR (tokens = 0 AND epoch = 0)
 """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labourmill.llm.shared import bind, key_text, materialize, words_of
+from labourmill.llm.shared import bind, join_hot, key_text, materialize, words_of
 
 #: A document fails with fewer words, or with a larger percentage of its words in repeated windows.
 MIN_WORDS = 20
@@ -114,28 +114,25 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     rules = docs.select(*[F.col(f"`{c}`") for c in keep], key_text(F.col(f"`{host}`")).alias("__host"), document_rules(F.col(f"`{text}`")).alias("__r"))
     flat = rules.select(*[f"`{c}`" for c in keep], "__host", "__r.*")
     counts = materialize(flat.withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words"))))
-    # Written, so that Spark knows its size: small ones are broadcast, and a hot host's rows stay where they are.
     verdicts = materialize(
-        host_verdicts(counts.select(F.col("__host").alias("host"), "base_failed")).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "rejected")
+        host_verdicts(counts.select(F.col("__host").alias("host"), "base_failed")).select(F.col("host").alias("__host"), F.col("n_docs").alias("__n"), F.col("rate").alias("host_rate"), "rejected")
     )
     return (
-        counts.join(verdicts, "__host", "left")
+        join_hot(counts, verdicts, ["__host"], "__n")
         .withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
-        .drop("__host", "rejected")
+        .drop("__host", "__n", "rejected")
     )
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass their own rules and whose host isn't rejected, all columns.
 
-    Texts don't travel: the rules are worked out again where each row is read, and only the
-    rejected hosts, mostly none, are joined.
+    Rows are written once with their own verdict, then read for the hosts' sums and for the rest.
     """
     failed = bind(words_of(F.col(f"`{text}`")), lambda w: fails_base(F.size(w).cast("long"), repeated_words(w)))
-    marked = docs.withColumn("__host", key_text(F.col(f"`{host}`")))
-    counts = materialize(marked.select(F.col("__host").alias("host"), failed.alias("base_failed")))
-    bad = materialize(host_verdicts(counts).filter("rejected").select(F.col("host").alias("__host")))
-    return marked.filter(~failed).join(bad, "__host", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    marked = materialize(docs.select(F.struct("*").alias("row"), key_text(F.col(f"`{host}`")).alias("host"), failed.alias("failed")))
+    verdicts = materialize(host_verdicts(marked.select("host", F.col("failed").alias("base_failed"))).select("host", "n_docs", "rejected"))
+    return join_hot(marked.filter("NOT failed"), verdicts, ["host"], "n_docs").filter("NOT rejected").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,16 +27,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its own."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here.
 
     The files outlive any executor, so a lost one costs no recomputation of what came before.
+    They go when the application ends, or with ``discard``.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _file_system(df.sparkSession, path)
+    files.deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote; nothing reads it any more."""
+    names = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    for name in names:
+        if name.rsplit("/", 1)[1].startswith("table-"):
+            files, at = _file_system(df.sparkSession, name)
+            files.delete(at, True)
+
+
+#: Rows of a table that may be broadcast.
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with their key's row of ``table``, which has each key once and its rows' number ``n``.
+
+    A table of up to HOT rows is broadcast. Beyond that its keys with more than one in HOT of all
+    rows are, fewer than HOT of them, and the others' rows are shuffled: no key that is shuffled
+    has more than one in HOT of all rows.
+    """
+    total, count = table.agg(F.sum(n), F.count(F.lit(1))).first()
+    if count <= HOT:
+        return rows.join(F.broadcast(table), keys)
+    hot = (F.col(n) > total / HOT).alias("hot")
+    often = F.broadcast(table.filter(hot))
+    return rows.join(often, keys).unionByName(rows.join(often.select(keys), keys, "left_anti").join(table.filter(~hot), keys))
+
+
 def hash60(text: Column) -> Column:
     """60-bit non-negative integer from MD5, the same in Spark and in other SQL engines."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
