@@ -334,12 +334,20 @@ def skill_countries(skills: DataFrame, postings: DataFrame, n: int = 20) -> Data
     return top_per_group(counts, "skill", "count", "country", n)
 
 
-def skill_details(skills: DataFrame, postings: DataFrame) -> DataFrame:
-    """skill_detail of every skill, without the related ones; keys in lower case."""
+def skill_details(skills: DataFrame, postings: DataFrame, related: int = 8) -> DataFrame:
+    """skill_detail of every skill; keys in lower case.
+
+    The related skills of all come from the ``related`` + 1 most frequent keys of each category, of
+    which a skill leaves out itself. A category's keys are few, so they are joined as one array.
+    """
     keyed = p.with_key(skills).filter("skill is not null").withColumn("key", F.lower("skill"))
     own = keyed.groupBy("key").agg(
         F.min("skill_esco_type").alias("type"), F.min("skill_category").alias("category"), F.min("skill_esco_uri").alias("uri"), F.count(F.lit(1)).alias("occurrences"),
         F.countDistinct("position_id").alias("postings"),
     )
     paid = _annual(skills, postings).groupBy(F.lower("skill").alias("key")).agg(F.round(F.avg("min_salary")).alias("avg_min_salary"), F.round(F.avg("max_salary")).alias("avg_max_salary"))
-    return own.join(paid, "key", "left").withColumnRenamed("key", "skill")
+    counts = keyed.filter("skill_category is not null").groupBy(F.col("skill_category").alias("category"), "key").agg(F.count(F.lit(1)).alias("count"))
+    best = top_per_group(counts, "category", "count", "key", related + 1).groupBy("category").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("key").alias("skill"), "count"))).alias("best"))
+    others = F.slice(F.filter("best", lambda s: s["skill"] != F.col("key")), 1, related)
+    listed = F.coalesce(F.transform(others, lambda s: F.struct(s["skill"].alias("skill"), s["count"].alias("count"))), F.array().cast("array<struct<skill:string,count:bigint>>"))
+    return own.join(paid, "key", "left").join(best, "category", "left").withColumn("related", listed).drop("best").withColumnRenamed("key", "skill")

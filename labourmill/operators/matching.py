@@ -1,12 +1,15 @@
 """Raw skills to taxonomy concepts: by label similarity, by vectors, and both in a cascade.
 
-Searches compare distinct queries with all labels or vectors. Neither side is broadcast: targets
-are cut into blocks of bounded size, queries are dealt over tasks, and every block meets every
-share of the queries once. Each meeting keeps its best k; the best of these are taken by query.
+Searches compare distinct queries with all labels or vectors. Up to BLOCK targets, counted before,
+go to every task whole, and queries stay where they are. More are cut into blocks of that size,
+and every block meets every share of the queries once; each meeting keeps its best k, and the best
+of these are taken by query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from labourmill.functions import scalars
-from labourmill.functions.ratio import ratio, sort_tokens
+from labourmill.functions.ratio import Labels
+from labourmill.sources import scratch
 
 FUZZY_SCORE, CASCADE_CONFIDENCE = 80.0, 0.85
 EMBEDDING_SCORE, LABEL_WEIGHT = 0.72, 0.6
@@ -22,13 +26,22 @@ EMBEDDING_SCORE, LABEL_WEIGHT = 0.72, 0.6
 BLOCK = 20_000
 
 
-def _met(queries: DataFrame, targets: DataFrame, query: str, target: str, block: int):
-    """Both sides grouped by (block of targets, share of queries)."""
-    n = targets.count()
-    blocks, shares = max(1, -(-n // block)), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _searched(queries: DataFrame, targets: DataFrame, query: str, target: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over parts of the queries and parts of the targets, so that each two meet once."""
+    spark = queries.sparkSession
+    n, shares = targets.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n <= BLOCK:
+        sent = spark.sparkContext.broadcast(targets.toPandas())
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield run(batch, sent.value)
+
+        return queries.repartition(shares, query).mapInPandas(each, schema)
+    blocks = -(-n // BLOCK)
     q = queries.withColumn("__s", F.pmod(F.xxhash64(query), F.lit(shares))).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     t = targets.withColumn("__b", F.pmod(F.xxhash64(target), F.lit(blocks))).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    return q.groupBy("__b", "__s").cogroup(t.groupBy("__b", "__s"))
+    return q.groupBy("__b", "__s").cogroup(t.groupBy("__b", "__s")).applyInPandas(run, schema)
 
 
 def _best(found: DataFrame, query: str, k: int, *order: Column) -> DataFrame:
@@ -41,26 +54,23 @@ def fuzzy_top_k(raw: DataFrame, labels: DataFrame, k: int = 3, least: float = 0.
 
     ``raw`` has distinct raw_skill; ``labels`` (label, uri, pos). Among equals the label with the
     least pos comes first. Blank skills have none. Labels whose length alone keeps them below
-    ``least`` (0 to 100) aren't compared.
+    ``least`` (0 to 100) aren't compared; the others are all at once, in as many steps as the
+    longest has characters.
     """
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        names = [sort_tokens(x) for x in t["label"]]
+        known, pos = Labels(t["label"].tolist()), t["pos"].to_numpy(np.int64)
+        parts = []
         for skill, text in zip(q["raw_skill"], q["text"], strict=True):
-            mine, scored = sort_tokens(text), []
-            for i, name in enumerate(names):
-                total = len(mine) + len(name)
-                if total and 200.0 * min(len(mine), len(name)) / total >= least:
-                    score = ratio(mine, name)
-                    if score >= least:
-                        scored.append((-score, t["pos"].iat[i], i))
-            scored.sort(key=lambda x: x[:2])
-            rows += [(skill, t["label"].iat[i], t["uri"].iat[i], p, -s / 100.0) for s, p, i in scored[:k]]
-        return pd.DataFrame(rows, columns=["raw_skill", "label", "uri", "pos", "score"]).astype({"pos": "int64", "score": "float64"})
+            found, scores = known.ratios(text, least)
+            best = np.lexsort((pos[found], -scores))[:k]
+            parts.append(pd.DataFrame({"raw_skill": skill, "at": found[best], "score": scores[best] / 100.0}))
+        every = pd.concat(parts) if parts else pd.DataFrame({"raw_skill": [], "at": np.zeros(0, np.int64), "score": []})
+        at = every["at"].to_numpy(np.int64)
+        return pd.DataFrame({"raw_skill": every["raw_skill"].to_numpy(object), "label": t["label"].to_numpy(object)[at], "uri": t["uri"].to_numpy(object)[at], "pos": pos[at], "score": every["score"].to_numpy(np.float64)})
 
     asked = raw.select("raw_skill", scalars.normalize_text(F.col("raw_skill")).alias("text")).filter("text != ''")
-    found = _met(asked, labels.select("label", "uri", "pos"), "raw_skill", "label", BLOCK).applyInPandas(run, "raw_skill string, label string, uri string, pos long, score double")
+    found = _searched(asked, labels.select("label", "uri", "pos"), "raw_skill", "label", run, "raw_skill string, label string, uri string, pos long, score double")
     return _best(found, "raw_skill", k, F.desc("score"), F.col("pos")).select("raw_skill", "rank", "label", "uri", "score")
 
 
@@ -76,6 +86,7 @@ def fuzzy_match(raw: DataFrame, labels: DataFrame, least: float = FUZZY_SCORE) -
     """
     exact = labels.groupBy(sorted_tokens(F.col("label")).alias("t")).agg(F.min_by(F.struct("label", "uri"), "pos").alias("l"))
     keyed = raw.select("raw_skill", sorted_tokens(F.col("raw_skill")).alias("t")).filter("t != ''")
+    exact = scratch.kept(exact)
     same = keyed.join(exact, "t").select("raw_skill", F.col("l.uri").alias("uri"), F.col("l.label").alias("label"), F.lit(1.0).alias("confidence"))
     rest = keyed.join(exact, "t", "left_anti").select("raw_skill")
     near = fuzzy_top_k(rest, labels, 1, least).select("raw_skill", "uri", "label", F.col("score").alias("confidence"))
@@ -102,7 +113,7 @@ def knn_top_k(queries: DataFrame, concepts: DataFrame, k: int = 3, label_weight:
         top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
         return pd.DataFrame({"text": np.repeat(q["text"].to_numpy(), n), "uri": t["uri"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
 
-    found = _met(queries.filter("vec is not null"), concepts, "text", "uri", BLOCK).applyInPandas(run, "text string, uri string, score double")
+    found = _searched(queries.filter("vec is not null").select("text", "vec"), concepts.select("uri", "label_vec", "desc_vec"), "text", "uri", run, "text string, uri string, score double")
     return _best(found, "text", k, F.desc("score"), F.col("uri")).select("text", "rank", "uri", "score")
 
 
@@ -133,10 +144,11 @@ def cascade_map_skills(raw: DataFrame, labels: DataFrame, concepts: DataFrame, c
     Labels first, then vectors, then a model's answers (raw_skill, uri, label, confidence,
     method); each stage only sees what the ones before left. What none maps has nulls.
     """
-    worklist = raw.select("raw_skill").distinct()
-    fuzzy = fuzzy_match(worklist, labels).filter(F.col("confidence") >= CASCADE_CONFIDENCE).withColumn("method", F.lit("fuzzy"))
-    left = worklist.join(fuzzy.select("raw_skill"), "raw_skill", "left_anti")
+    worklist = scratch.kept(raw.select("raw_skill").distinct())
+    fuzzy = scratch.kept(fuzzy_match(worklist, labels).filter(F.col("confidence") >= CASCADE_CONFIDENCE).withColumn("method", F.lit("fuzzy")))
+    left = scratch.kept(worklist.join(fuzzy.select("raw_skill"), "raw_skill", "left_anti"))
     near = embedding_match(left, queries, vectors, labels).join(concepts.select("uri", F.col("preferred_label").alias("label")), "uri", "left").withColumn("method", F.lit("embedding"))
+    near = scratch.kept(near)
     stages = fuzzy.unionByName(near)
     if answers is not None:
         rest = left.join(near.select("raw_skill"), "raw_skill", "left_anti")

@@ -183,18 +183,20 @@ def F22_rounding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.round(half).alias("away"), F.bround(half).alias("even"), sc.round_half_up(half).alias("up"))
 
 
-# --- feeds: pages of landed JSON made from the orders, read with the feeds' schemas
+# --- feeds: pages of landed JSON made from the orders, written and read by the feeds' readers
 
 SHOWN = "position_id, title, organization, location_state, location_country, min_salary, max_salary, salary_type, series_code, series_group, qualification_summary, major_duties, telework_eligible, date_posted, hiring_path, total_openings, job_type"
 
 
-def _pages(rows: DataFrame, item, schema: str) -> DataFrame:
-    """One page a row: JSON text, then read back by the feed's schema."""
-    return rows.select(F.to_json(item).alias("j"), *rows.columns).select(F.from_json("j", schema).alias("x"), *rows.columns).select("x.*", *rows.columns)
+def _landed(spark: SparkSession, d: str, item, wrap) -> str:
+    """A folder of JSON, a page of 500 postings to a line."""
+    path = scratch.folder(spark)
+    pages = postings(spark, d).groupBy(F.floor(F.col("position_id").cast("long") / 500).alias("page")).agg(F.collect_list(item).alias("items"))
+    pages.select(wrap(F.col("items"))).write.json(path)
+    return path
 
 
 def _federal(spark: SparkSession, d: str) -> DataFrame:
-    p = postings(spark, d)
     s = lambda **k: F.struct(*[v.alias(n) for n, v in k.items()])
     c, t = F.col, F.lit
     details = s(MajorDuties=F.array(c("department"), t(""), c("title")), TeleworkEligible=F.when(c("telework_eligible"), "Yes").otherwise("no"), WhoMayApply=s(Name=c("department")), HiringPath=F.array(c("title"), t("public")), TotalOpenings=F.when(c("total_openings") > 3, c("total_openings").cast("string")).otherwise("many"))
@@ -204,8 +206,8 @@ def _federal(spark: SparkSession, d: str) -> DataFrame:
         PositionRemuneration=F.array(s(MinimumRange=c("min_salary").cast("string"), MaximumRange=c("max_salary").cast("string"), Description=c("salary_type"))), JobCategory=F.array(s(Code=c("series_code"))),
         QualificationSummary=F.concat_ws(" ", t("python and"), "department"), PublicationStartDate=c("date_posted"), UserArea=s(Details=details),
     )
-    page = s(SearchResult=s(SearchResultItems=F.array(s(MatchedObjectDescriptor=item))))
-    return feeds.normalize_federal(_pages(p.select(page.alias("page")), F.col("page"), schemas.FEDERAL))
+    path = _landed(spark, d, s(MatchedObjectDescriptor=item), lambda items: s(SearchResultItems=items).alias("SearchResult"))
+    return feeds.read_federal_json(spark, path, multi_line=False)
 
 
 FEDERAL = f"""federal AS (SELECT position_id, title, organization, location_state, substr(coalesce({_case('lower(location_state)', lookups.COUNTRIES)}, upper(location_state)), 1, 2) AS location_country,
@@ -227,8 +229,7 @@ def _board(spark: SparkSession, d: str) -> DataFrame:
         location=s(display_name=c("location_city"), area=F.when(c("job_type") == "State", F.array().cast("array<string>")).otherwise(F.array("location_country", "location_state"))),
         description=c("department"), salary_min=F.when(c("telework_eligible"), c("min_salary")), salary_max=c("max_salary"), created=c("date_posted"), contract_time=c("job_type"),
     )
-    rows = postings(spark, d).select(s(results=F.array(item)).alias("page"), F.lit("gb").alias("country"))
-    return feeds.normalize_board(_pages(rows, F.col("page"), schemas.BOARD))
+    return feeds.read_board_json(spark, _landed(spark, d, item, lambda items: items.alias("results")), "gb", multi_line=False)
 
 
 BOARD = """board AS (SELECT position_id, title, organization, CASE WHEN job_type = 'State' THEN '' ELSE location_state END AS location_state, 'GB' AS location_country, CASE WHEN telework_eligible THEN min_salary ELSE 0 END AS min_salary,
@@ -247,7 +248,7 @@ def _aggregator(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.floor("min_salary").cast("string"), t(" – "), F.floor("max_salary").cast("string"), t(" UAH")).alias("salary"), F.concat("date_posted", t("T00:00:00")).alias("updated"),
         c("organization").alias("company"), c("location_state").alias("location"), c("job_type").alias("type"),
     )
-    return feeds.normalize_aggregator(_pages(postings(spark, d).select(F.struct(F.array(item).alias("jobs")).alias("page")), F.col("page"), schemas.AGGREGATOR))
+    return feeds.read_aggregator_json(spark, _landed(spark, d, item, lambda items: items.alias("jobs")), multi_line=False)
 
 
 AGGREGATOR = """aggregator AS (SELECT 'jooble_' || position_id AS position_id, title, organization, '' AS location_state, 'UA' AS location_country, lo AS min_salary, hi AS max_salary,
@@ -327,7 +328,16 @@ def J4_apply_mappings(spark: SparkSession, d: str) -> DataFrame:
     return storage.apply_mappings(skills(spark, d), _mappings(spark, d)).select("position_id", "skill_raw", "skill_esco_uri", "skill_esco_label", "skill_esco_type", "skill_category")
 
 
-QUERIES["apply_mappings"], ORACLES["apply_mappings"] = J4_apply_mappings, ORACLES["J4_apply_mappings"]
+@query(
+    """SELECT skill_category, skill_esco_type, count(*) AS skills, count(DISTINCT skill_esco_uri) AS uris FROM (SELECT coalesce(m.esco_uri, skill_esco_uri) AS skill_esco_uri,
+    CASE WHEN m.esco_uri IS NULL THEN skill_esco_type ELSE m.esco_type END AS skill_esco_type, CASE WHEN m.esco_uri IS NULL THEN s.skill_category ELSE m.skill_category END AS skill_category
+    FROM s LEFT JOIN maps m ON m.raw_skill = skill_raw) GROUP BY ALL""", MAPPINGS
+)
+def apply_mappings(spark: SparkSession, d: str) -> DataFrame:
+    """The table of skills written with its mappings applied, read back and counted."""
+    path = scratch.folder(spark)
+    storage.apply_mappings(skills(spark, d), _mappings(spark, d)).write.parquet(path)
+    return spark.read.parquet(path).groupBy("skill_category", "skill_esco_type").agg(F.count(F.lit(1)).alias("skills"), F.countDistinct("skill_esco_uri").alias("uris"))
 
 
 @query("SELECT count(*) AS total, count(esco_uri) AS mapped, count(esco_uri) / count(*) AS mapping_rate, avg(confidence) FILTER (esco_uri IS NOT NULL) AS avg_confidence, count(esco_uri) / count(*) < 0.6 AS low_rate, avg(confidence) FILTER (esco_uri IS NOT NULL) < 0.5 AS low_confidence FROM maps", MAPPINGS)
@@ -378,17 +388,25 @@ def write_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderpriority AS query, count(*)::INT AS jobs_collected, 'success' AS status FROM orders GROUP BY 1")
 def write_collection_log(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(spark, d, "orders").groupBy("o_orderpriority").count().collect()  # a run each
     path = scratch.folder(spark)
-    for query_, n in counts:
-        storage.collection_log_row(spark, query_, "", n, n, "2001-08-01 00:00:00", "2001-08-01 00:01:00").write.mode("append").parquet(path)
+    runs = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("query")).agg(F.count(F.lit(1)).cast("int").alias("total_found"))  # a run each
+    storage.collection_log_rows(runs.withColumn("jobs_collected", F.col("total_found")), "2001-08-01 00:00:00", "2001-08-01 00:01:00").write.mode("append").parquet(path)
     return spark.read.parquet(path).select("query", "jobs_collected", "status")
 
 
-QUERIES["read_mart"], ORACLES["read_mart"] = store_mart, ORACLES["store_mart"]
+@query("SELECT title, count(*) AS count, round(avg(min_salary) + 1e-7, 2) AS avg_min FROM p GROUP BY 1")
+def read_mart(spark: SparkSession, d: str) -> DataFrame:
+    """A typed mart that replaces an older one, read back; where there is none the reader says so."""
+    path = scratch.folder(spark)
+    if storage.read_mart(spark, path) is not None:
+        raise AssertionError("a mart that wasn't stored")
+    by_title = postings(spark, d).groupBy("title").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("min_salary") + 1e-7, 2).alias("avg_min"))
+    storage.store_mart(by_title.limit(1), path)
+    storage.store_mart(by_title, path)
+    return storage.read_mart(spark, path)
 
 
-# --- taxonomy: nations below regions below a root
+# --- taxonomy: nations below regions below a root, for candidates; orders below customers below ranges of 16 customers, and so on
 
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -406,78 +424,143 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return up.unionByName(first).unionByName(r)
 
 
-TREE = """concepts AS (SELECT 'n/' || n_nationkey AS uri, n_name AS label, ['land ' || n_name] AS alt, n_nationkey AS o FROM nation UNION ALL SELECT 'r/' || r_regionkey, r_name, ['Region'], r_regionkey + 1000 FROM region UNION ALL SELECT 'root', 'Skills', [], 9999),
-  up AS (SELECT 'n/' || n_nationkey AS child_uri, 'r/' || n_regionkey AS parent_uri FROM nation UNION ALL SELECT 'r/' || r_regionkey, 'root' FROM region)"""
+#: Ranges of 16, 256 and so on customers; the last level's parent is the root.
+LEVELS = 5
+_TREE = """
+SELECT concat('o/', o_orderkey) AS uri, concat('Order ', o_orderkey) AS label, concat('Purchase ', o_orderkey) AS alt, 'skill' AS kind, CAST(o_orderkey AS BIGINT) AS o, concat('c/', o_custkey) AS parent FROM orders
+UNION ALL SELECT concat('c/', c_custkey), c_name, 'Buyer', 'skill', CAST(c_custkey + 10000000000 AS BIGINT), concat('g1/', CAST(floor(c_custkey / 16) AS BIGINT)) FROM customer
+""" + "".join(
+    f"""UNION ALL SELECT DISTINCT concat('g{k}/', CAST(floor(c_custkey / {16**k}) AS BIGINT)), concat('Range {k} of ', CAST(floor(c_custkey / {16**k}) AS BIGINT)), 'Range', 'group',
+  CAST({k} * 100000000000 + floor(c_custkey / {16**k}) AS BIGINT), {f"concat('g{k + 1}/', CAST(floor(c_custkey / {16 ** (k + 1)}) AS BIGINT))" if k < LEVELS else "'root'"} FROM customer
+"""
+    for k in range(1, LEVELS + 1)
+) + "UNION ALL SELECT DISTINCT 'root', 'Skills', 'Everything', 'group', CAST(990000000000 AS BIGINT), CAST(NULL AS {text}) FROM customer"
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    sql = _TREE.format(text="STRING").replace("FROM orders", "FROM {orders}").replace("FROM customer", "FROM {customer}")
+    return spark.sql(sql, orders=table(spark, d, "orders"), customer=table(spark, d, "customer"))
+
+
+def _tree_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return _tree(spark, d).select("uri", F.col("label").alias("preferred_label"), F.array("alt").alias("alt_labels"), F.col("kind").alias("skill_type"), "o")
+
+
+def _tree_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each concept's parent; orders have an older edge to nowhere."""
+    t = _tree(spark, d)
+    up = t.filter("parent IS NOT NULL").select(F.col("uri").alias("child_uri"), F.col("parent").alias("parent_uri"), (F.col("o") + 1_000_000_000_000).alias("edge_ord"))
+    return up.unionByName(t.filter("uri LIKE 'o/%'").select(F.col("uri").alias("child_uri"), F.lit("nowhere").alias("parent_uri"), F.col("o").alias("edge_ord")))
+
+
+TREE = f"""tree AS ({_TREE.format(text="VARCHAR")}), up AS (SELECT uri AS child_uri, parent AS parent_uri FROM tree WHERE parent IS NOT NULL)"""
 
 
 @query("SELECT child_uri, parent_uri FROM up", TREE)
 def J5_taxonomy_parent(spark: SparkSession, d: str) -> DataFrame:
-    return tx.taxonomy_parent(_edges(spark, d), _concepts(spark, d))
+    return tx.taxonomy_parent(_tree_edges(spark, d), _tree_concepts(spark, d))
 
 
-QUERIES["read_taxonomy_edges"], ORACLES["read_taxonomy_edges"] = J5_taxonomy_parent, ORACLES["J5_taxonomy_parent"]
+@query("SELECT child_uri, max(parent_uri) FILTER (parent_uri <> 'nowhere') AS last_parent, count(*) AS edges FROM (SELECT * FROM up UNION ALL SELECT uri, 'nowhere' FROM tree WHERE uri LIKE 'o/%') GROUP BY 1", TREE)
+def read_taxonomy_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges as several CSV files in order, read back: of a child's parents the last line's counts."""
+    path = scratch.folder(spark)
+    rows = _tree_edges(spark, d).repartitionByRange(4, "edge_ord").sortWithinPartitions("edge_ord")
+    rows.select(F.col("child_uri").alias("conceptUri"), F.col("parent_uri").alias("broaderUri")).write.options(header=True, quoteAll=True, escape='"').csv(path)
+    edges = tx.read_taxonomy_edges(spark, path)
+    return tx.parents(edges).join(edges.groupBy("child_uri").agg(F.count(F.lit(1)).alias("edges")), "child_uri").select("child_uri", F.col("parent_uri").alias("last_parent"), "edges")
 
 
-@query("SELECT child_uri, parent_uri FROM up UNION ALL SELECT 'n/' || n_nationkey, 'nowhere' FROM nation", TREE)
+@query("SELECT child_uri, parent_uri FROM up UNION ALL SELECT uri, 'nowhere' FROM tree WHERE uri LIKE 'o/%'", TREE)
 def J5_taxonomy_children(spark: SparkSession, d: str) -> DataFrame:
-    return tx.taxonomy_children(_edges(spark, d), _concepts(spark, d)).select("child_uri", "parent_uri")
+    return tx.taxonomy_children(_tree_edges(spark, d), _tree_concepts(spark, d)).select("child_uri", "parent_uri")
 
 
 @query("SELECT a.child_uri AS uri, b.child_uri AS sibling_uri FROM up a JOIN up b USING (parent_uri) WHERE a.child_uri <> b.child_uri", TREE)
 def J5_taxonomy_siblings(spark: SparkSession, d: str) -> DataFrame:
-    return tx.taxonomy_siblings(_edges(spark, d), _concepts(spark, d))
+    return tx.taxonomy_siblings(_tree_edges(spark, d), _tree_concepts(spark, d))
 
 
-CHAINS = """chains AS (SELECT 'n/' || n_nationkey AS uri, 'Skills/' || r_name AS chain FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r/' || r_regionkey, 'Skills' FROM region UNION ALL SELECT 'root', '')"""
+CHAINS = "chains AS (SELECT uri, uri AS top, '' AS chain FROM tree WHERE parent IS NULL UNION ALL SELECT t.uri, t.uri, CASE WHEN c.chain = '' THEN p.label ELSE c.chain || '/' || p.label END FROM chains c JOIN tree t ON t.parent = c.uri JOIN tree p ON p.uri = c.uri)"
 
 
-@query("SELECT * FROM chains", CHAINS)
+@query("SELECT uri, chain FROM chains", f"{TREE}, {CHAINS}")
 def J6_taxonomy_chain(spark: SparkSession, d: str) -> DataFrame:
-    return tx.taxonomy_chain(_edges(spark, d), _concepts(spark, d)).select("uri", F.array_join("chain", "/").alias("chain"))
+    return tx.taxonomy_chain(_tree_edges(spark, d), _tree_concepts(spark, d)).select("uri", F.array_join("chain", "/").alias("chain"))
 
 
-@query(
-    """SELECT l AS label, arg_max(uri, pos) AS uri, min(pos) AS pos FROM (SELECT uri, lower(unnest(list_prepend(label, alt))) AS l, (o::BIGINT << 20) + unnest(range(0, len(alt) + 1)) AS pos FROM concepts) GROUP BY 1""", TREE
-)
+@query("SELECT l AS label, arg_max(uri, pos) AS uri, min(pos) AS pos FROM (SELECT uri, lower(unnest([label, alt])) AS l, (o << 20) + unnest(range(0, 2)) AS pos FROM tree) GROUP BY 1", TREE)
 def build_label_index(spark: SparkSession, d: str) -> DataFrame:
-    return tx.label_index(_concepts(spark, d), "o")
+    return tx.label_index(_tree_concepts(spark, d), "o")
 
 
-@query("SELECT uri, label FROM concepts WHERE uri NOT IN (SELECT 'r/' || r_regionkey FROM region WHERE r_name < 'B')", TREE)
+def _concept_files(spark: SparkSession, concepts: DataFrame) -> str:
+    """The concepts as CSV files with quoted labels on lines of their own."""
+    path = scratch.folder(spark)
+    rows = concepts.select(F.col("uri").alias("conceptUri"), F.col("preferred_label").alias("preferredLabel"), F.array_join("alt_labels", " \n").alias("altLabels"), F.lit('a "word"').alias("description"), F.col("skill_type").alias("skillType"))
+    rows.write.options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
+    return path
+
+
+@query("SELECT uri, label, 'group' AS skill_type FROM tree WHERE kind = 'group' AND NOT (uri LIKE 'g1/%' AND o % 2 = 0)", TREE)
 def read_taxonomy_groups(spark: SparkSession, d: str) -> DataFrame:
-    c = _concepts(spark, d)
-    return tx.without_known(c, c.filter("uri like 'r/%' and preferred_label < 'B'")).select("uri", F.col("preferred_label").alias("label"))
+    """Groups from files; those that are skills already, here half of the smallest ranges, are left out."""
+    c = _tree_concepts(spark, d)
+    path = _concept_files(spark, c.filter("skill_type = 'group'"))
+    return tx.read_taxonomy_groups(spark, path, c.filter("skill_type = 'skill' OR (uri LIKE 'g1/%' AND o % 2 = 0)")).select("uri", F.col("preferred_label").alias("label"), "skill_type")
 
 
-@query("SELECT uri, label AS preferred_label, array_to_string(alt, '|') AS alt_labels, CASE WHEN uri LIKE 'n/%' THEN 'skill' ELSE 'group' END AS skill_type FROM concepts", TREE)
+@query("SELECT uri, label AS preferred_label, alt || '|' || lower(label) AS alt_labels, kind AS skill_type FROM tree", TREE)
 def read_taxonomy_skills(spark: SparkSession, d: str) -> DataFrame:
-    """The concepts as CSV files with quoted labels on lines of their own, read back."""
-    path = scratch.folder(spark)
-    rows = _concepts(spark, d).select(F.col("uri").alias("conceptUri"), F.col("preferred_label").alias("preferredLabel"), F.array_join("alt_labels", " \n").alias("altLabels"), F.lit('a "word"').alias("description"), F.col("skill_type").alias("skillType"))
-    rows.write.options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
-    return tx.read_taxonomy_skills(spark, path).select("uri", "preferred_label", F.array_join("alt_labels", "|").alias("alt_labels"), "skill_type")
+    c = _tree_concepts(spark, d).withColumn("alt_labels", F.array_append("alt_labels", F.lower("preferred_label")))
+    return tx.read_taxonomy_skills(spark, _concept_files(spark, c)).select("uri", "preferred_label", F.array_join("alt_labels", "|").alias("alt_labels"), "skill_type")
 
 
 # --- matching
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(F.lower("p_name").alias("label")).agg(F.min("p_partkey").alias("pos")).withColumn("uri", F.concat(F.lit("p/"), F.col("pos").cast("string")))
+    """Names of parts with their brands."""
+    name = F.lower(F.concat_ws(" ", "p_name", "p_brand"))
+    return table(spark, d, "part").groupBy(name.alias("label")).agg(F.min("p_partkey").alias("pos")).withColumn("uri", F.concat(F.lit("p/"), F.col("pos").cast("string")))
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    """Part names with their words turned round, or without their first letter."""
-    p = table(spark, d, "part").select("p_name").distinct()
-    turned = p.select(F.array_join(F.reverse(F.split("p_name", " ")), " ").alias("raw_skill"))
-    return turned.unionByName(p.select(F.expr("substr(p_name, 2)").alias("raw_skill"))).unionByName(p.select(F.concat(F.lit("zq "), F.substring("p_name", 1, 2)).alias("raw_skill"))).distinct()
+    """Labels with their words turned round, or without their first letter."""
+    p = _labels(spark, d).select("label")
+    turned = p.select(F.array_join(F.reverse(F.split("label", " ")), " ").alias("raw_skill"))
+    return turned.unionByName(p.select(F.expr("substr(label, 2)").alias("raw_skill"))).unionByName(p.select(F.concat(F.lit("zq "), F.substring("label", 1, 2)).alias("raw_skill"))).distinct()
 
 
-@query()
+def _sorted(text: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex(lower({text}), '\\s+'), lambda w: w <> '')), ' ')"
+
+
+def _scored(name: str, raw: str, labels: str) -> str:
+    """Every raw_skill with every label's token-sort ratio: a bit of a number for each place that isn't matched yet."""
+    return f"""{name}_a AS (SELECT raw_skill, t, length(t) AS n, string_split(t, '') AS cs FROM (SELECT raw_skill, {_sorted('raw_skill')} AS t FROM ({raw}))),
+  {name}_b AS (SELECT *, map(list_distinct(cs), list_transform(list_distinct(cs), lambda c: list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN cs[i] = c THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END)))) AS bits FROM {name}_a),
+  {name} AS (SELECT raw_skill, label, pos, 200.0::DOUBLE * (n - bit_count(list_reduce(list_prepend((1::HUGEINT << n::INT) - 1, list_transform(string_split(l.t, ''), lambda c: coalesce(bits[c], 0::HUGEINT))),
+    lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << n::INT) - 1)))) / (n + length(l.t)) AS score FROM {name}_b, (SELECT *, {_sorted('label')} AS t FROM ({labels})) l)"""
+
+
+LABELS = """labels_ AS (SELECT lower(p_name || ' ' || p_brand) AS label, min(p_partkey) AS pos FROM part GROUP BY 1),
+  raw_ AS (SELECT DISTINCT unnest([array_to_string(list_reverse(string_split(label, ' ')), ' '), substr(label, 2), 'zq ' || substr(label, 1, 2)]) AS raw_skill FROM labels_)"""
+
+
+def _ranked(raw: str) -> str:
+    return f"{LABELS}, {_scored('scored', raw, 'SELECT * FROM labels_')}, ranked AS (SELECT *, row_number() OVER (PARTITION BY raw_skill ORDER BY score DESC, pos)::INT AS rank FROM scored)"
+
+
+RANKED = _ranked("SELECT * FROM raw_")
+
+
+@query("SELECT raw_skill, 'p/' || pos AS uri, label, score / 100 AS confidence FROM ranked WHERE rank = 1 AND score >= 80", RANKED)
 def J7_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return ma.fuzzy_match(_raw(spark, d), _labels(spark, d))
 
 
-@query()
+@query("SELECT raw_skill, rank, label, 'p/' || pos AS uri, score / 100 AS score FROM ranked WHERE rank <= 3", RANKED)
 def J8d_fuzzy_top_k(spark: SparkSession, d: str) -> DataFrame:
     return ma.fuzzy_top_k(_raw(spark, d), _labels(spark, d), 3)
 
@@ -521,11 +604,9 @@ def J8c_pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     return ma.pair_similarity(pairs, q, c).withColumn("score", F.round("score", 4))
 
 
-@query(
-    "SELECT raw_skill, pos, 'p/' || pos AS esco_uri, 'fuzzy' AS method FROM (SELECT array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS raw_skill, min(p_partkey) AS pos FROM part GROUP BY p_name)"
-)
+@query("SELECT array_to_string(list_reverse(string_split(label, ' ')), ' ') AS raw_skill, pos, 'p/' || pos AS esco_uri, 'fuzzy' AS method FROM labels_", LABELS)
 def J9_cascade_exact(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "part").select(F.array_join(F.reverse(F.split("p_name", " ")), " ").alias("raw_skill")).distinct()
+    raw = _labels(spark, d).select(F.array_join(F.reverse(F.split("label", " ")), " ").alias("raw_skill"))
     out = _cascade(spark, d, raw)
     return out.select("raw_skill", F.substring("esco_uri", 3, 20).cast("long").alias("pos"), "esco_uri", "method")
 
@@ -538,7 +619,16 @@ def _cascade(spark: SparkSession, d: str, raw: DataFrame) -> DataFrame:
     return ma.cascade_map_skills(raw, labels, concepts, chains, answers=answers)
 
 
-@query()
+def _mapped(raw: str) -> str:
+    """What the cascade makes of each raw skill: labels from 0.85, the same without vectors from 0.72, else the model's answer."""
+    return f"""{_ranked(raw)}, mapped AS (SELECT raw_skill, CASE WHEN score >= 72 THEN 'p/' || pos ELSE 'p/1' END AS esco_uri, CASE WHEN score >= 72 THEN label ELSE 'one' END AS esco_label,
+    CASE WHEN score >= 72 THEN score / 100 ELSE 0.7 END AS confidence, CASE WHEN score >= 85 THEN 'fuzzy' WHEN score >= 72 THEN 'embedding' ELSE 'llm_batch' END AS method FROM ranked WHERE rank = 1)"""
+
+
+CHAIN_CATEGORY = dict(lookups.GROUPS)["skills"]  # of the first step that is a known group
+
+
+@query(f"SELECT raw_skill, esco_uri, esco_label, 'skill' AS esco_type, '{CHAIN_CATEGORY}' AS skill_category, confidence, method FROM mapped", _mapped("SELECT * FROM raw_"))
 def J9_cascade_map_skills(spark: SparkSession, d: str) -> DataFrame:
     return _cascade(spark, d, _raw(spark, d))
 
@@ -624,31 +714,94 @@ def J12_flatten_model_skills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _golden(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_size").alias("n"), F.min("p_type").alias("category"))
+    p = table(spark, d, "part").groupBy(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("label")).agg(F.min("p_partkey").alias("k"), F.min("p_size").alias("n"), F.min("p_type").alias("category"))
     return p.select(
-        F.col("k").cast("string").alias("id"), F.when(F.col("n") > 4, F.expr("substr(p_name, 2)")).otherwise(F.concat(F.lit("zq "), F.substring("p_name", 1, 2))).alias("raw_skill"),
-        F.when(F.col("n") == 1, F.concat(F.lit("p/"), F.col("k").cast("string"))).alias("expected_uri"), F.when(F.col("n") > 2, F.lower("p_name")).alias("expected_label"), "category", (F.col("n") == 2).alias("llm_only"),
+        F.col("k").cast("string").alias("id"), F.when(F.col("n") > 4, F.expr("substr(label, 2)")).otherwise(F.concat(F.lit("zq "), F.substring("label", 1, 2))).alias("raw_skill"),
+        F.when(F.col("n") == 1, F.concat(F.lit("p/"), F.col("k").cast("string"))).alias("expected_uri"), F.when(F.col("n") > 2, F.col("label")).alias("expected_label"), "category", (F.col("n") == 2).alias("llm_only"),
     )
 
 
-@query("SELECT min(p_partkey)::VARCHAR AS id, min(p_type) AS category FROM part GROUP BY p_name HAVING min(p_size) = 2 AND min(p_type) IS DISTINCT FROM 'edge'")
+GOLDEN = """golden AS (SELECT k::VARCHAR AS id, CASE WHEN n > 4 THEN substr(label, 2) ELSE 'zq ' || substr(label, 1, 2) END AS raw_skill, CASE WHEN n = 1 THEN 'p/' || k END AS expected_uri,
+  CASE WHEN n > 2 THEN label END AS expected_label, category, n = 2 AS llm_only FROM (SELECT lower(p_name || ' ' || p_brand) AS label, min(p_partkey) AS k, min(p_size) AS n, min(p_type) AS category FROM part GROUP BY 1))"""
+RETURNED = f"""{GOLDEN}, {_mapped('SELECT DISTINCT raw_skill FROM golden')}, {_scored('alike', 'SELECT DISTINCT expected_label AS raw_skill FROM golden WHERE expected_label IS NOT NULL', "SELECT * FROM labels_ UNION ALL SELECT 'one', 0")},
+  results AS (SELECT g.*, m.esco_uri AS returned_uri, m.esco_label AS returned_label, m.confidence AS returned_confidence, coalesce(a.score / 100, 0) AS label_score,
+    CASE WHEN expected_label IS NULL THEN false WHEN expected_uri IS NOT NULL THEN m.esco_uri = expected_uri ELSE coalesce(a.score / 100, 0) >= 0.8 END AS matched
+    FROM golden g JOIN mapped m USING (raw_skill) LEFT JOIN alike a ON a.raw_skill = g.expected_label AND a.label = m.esco_label)"""
+REPORT = """SELECT count(*) AS total, round(count(*) FILTER (expected_label IS NOT NULL) / greatest(count(*) FILTER (expected_label IS NOT NULL), 1), 4) AS mapping_rate, round(count(*) FILTER (matched) / count(*), 4) AS precision_at_1,
+  round(avg(returned_confidence), 4) AS avg_confidence, round(min(returned_confidence), 4) AS min_confidence, 0.0 AS hallucination_rate FROM results"""
+
+
+@query("SELECT id, category FROM golden WHERE llm_only AND category IS DISTINCT FROM 'edge'", GOLDEN)
 def P8_golden_filter(spark: SparkSession, d: str) -> DataFrame:
     return pr.golden_filter(_golden(spark, d), skip_edges=True, llm_only=True).select("id", "category")
 
 
-@query()
-def A22_eval_report(spark: SparkSession, d: str) -> DataFrame:
+def _results(spark: SparkSession, d: str) -> DataFrame:
     golden = _golden(spark, d)
     mapped = _cascade(spark, d, golden.select("raw_skill").distinct())
-    concepts = _labels(spark, d).select("uri", F.col("label").alias("preferred_label"))
-    return ev.eval_report(ev.eval_entries(golden, mapped, concepts))
+    return ev.eval_entries(golden, mapped, _labels(spark, d).select("uri", F.col("label").alias("preferred_label")))
 
 
-@query()
-def A23_golden_proposals(spark: SparkSession, d: str) -> DataFrame:
+FAILURES = """array_to_string(list_filter([CASE WHEN precision_at_1 < 0.7 THEN 'precision_at_1' END, CASE WHEN mapping_rate < 0.75 THEN 'mapping_rate' END, CASE WHEN hallucination_rate > 0.05 THEN 'hallucination_rate' END,
+  CASE WHEN avg_confidence < 0.55 THEN 'avg_confidence' END], lambda x: x IS NOT NULL), ',')"""
+
+
+@query(f"SELECT *, {FAILURES} = '' AS threshold_ok, {FAILURES} AS failures FROM ({REPORT})", RETURNED)
+def A22_eval_report(spark: SparkSession, d: str) -> DataFrame:
+    return ev.eval_report(_results(spark, d)).withColumn("failures", F.array_join("failures", ","))
+
+
+@query("SELECT id, raw_skill, expected_label, expected_uri, returned_uri, returned_label, returned_confidence, matched, false AS hallucinated, round(label_score, 3) AS label_score FROM results", RETURNED)
+def A22_eval_entries(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d)
+
+
+@query(f"SELECT r.total, r.precision_at_1, id, matched, returned_label FROM results, ({REPORT}) r", RETURNED)
+def write_eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report's files, read back: each entry with the metrics."""
+    path, results = scratch.folder(spark), scratch.folder(spark)
+    _results(spark, d).write.parquet(results)
+    entries = spark.read.parquet(results)
+    storage.write_eval_report(ev.eval_report(entries), entries, path)
+    metrics = spark.read.json(f"{path}/metrics").select("total", "precision_at_1")  # one row
+    return spark.read.json(f"{path}/per_entry").join(F.broadcast(metrics), F.lit(True)).select("total", "precision_at_1", "id", "matched", "returned_label")
+
+
+@query("SELECT id, raw_skill, expected_uri, expected_label, category, llm_only, 80 AS label_match_ratio FROM golden", GOLDEN)
+def read_golden(spark: SparkSession, d: str) -> DataFrame:
+    """Golden sets of up to a thousand entries, a JSON file each, read back with their thresholds."""
+    path = scratch.folder(spark)
+    entry = F.struct("id", "raw_skill", "expected_uri", "expected_label", "category", "llm_only")
+    sets = _golden(spark, d).groupBy(F.floor(F.col("id").cast("long") / 1000).alias("part")).agg(F.collect_list(entry).alias("entries"))
+    sets.select("part", F.lit("1").alias("version"), F.struct(F.lit(80).alias("label_match_ratio")).alias("thresholds"), "entries").repartition("part").write.partitionBy("part").json(path)
+    entries, heads = tx.read_golden(spark, f"{path}/part=*")
+    ratio = heads.agg(F.max("label_match_ratio").alias("label_match_ratio"))  # one row
+    return entries.join(F.broadcast(ratio), F.lit(True)).select("id", "raw_skill", "expected_uri", "expected_label", "category", "llm_only", "label_match_ratio")
+
+
+PROPOSED = f"""{GOLDEN}, {_ranked("SELECT DISTINCT raw_skill FROM golden WHERE expected_uri IS NULL AND expected_label IS NOT NULL")}, {_scored('alike', 'SELECT DISTINCT expected_label AS raw_skill FROM golden WHERE expected_label IS NOT NULL', 'SELECT * FROM labels_')},
+  proposed AS (SELECT g.*, expected_uri IS NOT NULL AS is_set, 'p/' || b.pos AS u, b.label AS l, a.score / 100 AS m FROM golden g LEFT JOIN ranked b ON b.raw_skill = g.raw_skill AND rank = 1
+    LEFT JOIN alike a ON a.raw_skill = g.expected_label AND a.label = b.label),
+  proposals AS (SELECT id, raw_skill, expected_uri, expected_label, category, llm_only, CASE WHEN is_set THEN expected_uri WHEN expected_label IS NOT NULL THEN u END AS proposed_uri,
+    CASE WHEN is_set THEN expected_label WHEN expected_label IS NOT NULL THEN l END AS proposed_label, CASE WHEN is_set THEN 1 WHEN expected_label IS NULL THEN NULL WHEN u IS NULL THEN 0 ELSE round(m, 3) END::DOUBLE AS match,
+    CASE WHEN is_set THEN 'already set' WHEN expected_label IS NULL THEN 'skip' WHEN u IS NULL THEN 'no candidate' WHEN m >= 0.8 THEN 'approve' ELSE 'review' END AS action FROM proposed)"""
+
+
+def _proposals(spark: SparkSession, d: str) -> DataFrame:
     return ev.golden_proposals(_golden(spark, d), _labels(spark, d), _labels(spark, d).select("uri", F.col("label").alias("preferred_label")))
 
 
+@query("SELECT * FROM proposals", PROPOSED)
+def A23_golden_proposals(spark: SparkSession, d: str) -> DataFrame:
+    return _proposals(spark, d)
+
+
+@query("SELECT id, raw_skill, CASE WHEN action = 'approve' THEN proposed_uri ELSE expected_uri END AS expected_uri, expected_label, category, llm_only FROM proposals", PROPOSED)
+def A23_apply_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """The golden set with the uris of approved proposals."""
+    return ev.apply_proposals(_proposals(spark, d), _golden(spark, d).columns)
+
+
 # --- streams over the events
 
 
@@ -673,7 +826,7 @@ def ST1_stream_ingest_postings(spark: SparkSession, d: str) -> DataFrame:
     path = scratch.folder(spark)
     e = table(spark, d, "events")
     item = F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("title"), F.col("value").alias("salary_min"))
-    page = e.groupBy((F.col("event_id") % 50).alias("page")).agg(F.collect_list(item).alias("results"))
+    page = e.groupBy(F.floor(F.col("event_id") / 1000).alias("page")).agg(F.collect_list(item).alias("results"))
     for _ in range(2):
         page.select("results").write.mode("append").json(f"{path}/pages")
     ingest.ingest_postings(spark, f"{path}/pages", schemas.BOARD, lambda x: feeds.normalize_board(x.withColumn("country", F.lit("us"))), f"{path}/table", f"{path}/log", multi_line=False).awaitTermination()

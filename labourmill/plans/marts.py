@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labourmill.operators import analytics as a
 from labourmill.operators import predicates as pr
 from labourmill.plans.views import AS_OF, duck, postings, skills, table
+from labourmill.sources import scratch, storage
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -113,8 +114,11 @@ def A5_skill_demand(spark: SparkSession, d: str) -> DataFrame:
     return nested.select("category", "total", F.posexplode("skills").alias("i", "s")).select("category", "total", (F.col("i") + 1).alias("rank"), "s.skill", "s.count")
 
 
-W1_top_k_per_group = A5_skill_demand
-QUERIES["W1_top_k_per_group"], ORACLES["W1_top_k_per_group"] = A5_skill_demand, ORACLES["A5_skill_demand"]
+@query("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY organization ORDER BY n DESC, title)::INT AS rank FROM (SELECT organization, title, count(*) AS n FROM p GROUP BY ALL)) WHERE rank <= 3")
+def W1_top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
+    """The three most frequent titles of each organization."""
+    counts = postings(spark, d).groupBy("organization", "title").agg(F.count(F.lit(1)).alias("n"))
+    return a.top_per_group(counts, "organization", "n", "title", 3).select("organization", "title", "n", "rank")
 
 
 @query(
@@ -251,6 +255,15 @@ def A19_market_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _round(a.market_snapshot(postings(spark, d), skills(spark, d), AS_OF), "avg_min_salary", "avg_max_salary")
 
 
+@query("SELECT job_type, '2001-07-01' AS day, total_postings, total_openings FROM kinds UNION ALL SELECT job_type, '2001-08-01', total_postings, total_openings FROM kinds", "kinds AS (SELECT job_type, count(*) AS total_postings, sum(total_openings)::BIGINT AS total_openings FROM p GROUP BY 1)")
+def create_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of two days in one table; a second run of a day replaces its rows and no others."""
+    path = scratch.folder(spark)
+    for day in ("2001-07-01", AS_OF, AS_OF):
+        storage.write_snapshot(a.market_snapshot(postings(spark, d), skills(spark, d), day), path)
+    return spark.read.parquet(path).select("job_type", F.col("snapshot_date").cast("string").alias("day"), "total_postings", "total_openings")
+
+
 @query("SELECT skill_raw, count(*) AS count FROM s WHERE coalesce(skill_esco_uri, '') = '' AND skill_raw <> '' GROUP BY 1")
 def A20_unmapped_skill_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.unmapped_skill_counts(skills(spark, d))
@@ -285,7 +298,11 @@ def A27_category_relative_index(spark: SparkSession, d: str) -> DataFrame:
     return a.category_relative_index(a.categories_summary(postings(spark, d), series_names(spark, d)))
 
 
-QUERIES["W4_pct_of_max"], ORACLES["W4_pct_of_max"] = A27_category_relative_index, ORACLES["A27_category_relative_index"]
+@query("SELECT skill, count, count / max(count) OVER () * 100.0 AS pct FROM (SELECT skill, count(*) AS count FROM s WHERE skill_category = (SELECT max(p_type) FROM part) GROUP BY 1 ORDER BY count DESC, skill LIMIT 20)")
+def W4_pct_of_max(spark: SparkSession, d: str) -> DataFrame:
+    """The skills of one category against its most frequent one."""
+    top = a.skills_by_category(skills(spark, d), table(spark, d, "part").agg(F.max("p_type")).first()[0]).select("skill", "count")
+    return a.pct_of_max(top, "count", "pct")
 
 
 @query("SELECT category, total, total * 100.0 / sum(total) OVER () AS share FROM demand", DEMAND)
@@ -338,11 +355,13 @@ def A30_skill_countries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o.*, m.avg_min_salary, m.avg_max_salary FROM (SELECT lower(skill) AS skill, min(skill_esco_type) AS type, min(skill_category) AS category, min(skill_esco_uri) AS uri, count(*) AS occurrences,
+    """SELECT o.*, m.avg_min_salary, m.avg_max_salary, coalesce((SELECT string_agg(k || '=' || n, ';' ORDER BY n DESC, k) FROM (SELECT k, n FROM (SELECT skill_category, lower(skill) AS k, count(*) AS n FROM s GROUP BY ALL)
+      WHERE skill_category = o.category AND k <> o.skill ORDER BY n DESC, k LIMIT 8)), '') AS related FROM (SELECT lower(skill) AS skill, min(skill_esco_type) AS type, min(skill_category) AS category, min(skill_esco_uri) AS uri, count(*) AS occurrences,
     count(DISTINCT position_id) AS postings FROM s GROUP BY 1) o LEFT JOIN (SELECT lower(skill) AS skill, round(avg(min_salary)) AS avg_min_salary, round(avg(max_salary)) AS avg_max_salary FROM paid GROUP BY 1) m USING (skill)""", PAID
 )
 def A30_skill_details(spark: SparkSession, d: str) -> DataFrame:
-    return a.skill_details(skills(spark, d), postings(spark, d))
+    every = a.skill_details(skills(spark, d), postings(spark, d))
+    return every.withColumn("related", F.array_join(F.transform("related", lambda s: F.concat(s["skill"], F.lit("="), s["count"].cast("string"))), ";"))
 
 
 @query("SELECT position_id, title, organization, location_state, location_country, min_salary, max_salary, date_posted FROM p ORDER BY date_posted DESC, position_id LIMIT 20")

@@ -4,6 +4,3 @@ from labourmill.plans import jobs, marts
 
 QUERIES = {**marts.QUERIES, **jobs.QUERIES}
 ORACLES = {**marts.ORACLES, **jobs.ORACLES}
-
-# A snapshot is the mart A19, written by storage.write_snapshot.
-QUERIES["create_snapshot"], ORACLES["create_snapshot"] = QUERIES["A19_market_snapshot"], ORACLES["A19_market_snapshot"]

@@ -84,25 +84,22 @@ def normalize_aggregator(pages: DataFrame, name: str = "jooble", country: str =
     return _posting(rows, values)
 
 
-def read_federal_json(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_federal(spark.read.schema(schemas.FEDERAL).option("multiLine", True).json(path))
+# A file is one page, or (not multi_line) a page a line.
 
 
-def read_board_json(spark: SparkSession, path: str, country: str) -> DataFrame:
-    return normalize_board(spark.read.schema(schemas.BOARD).option("multiLine", True).json(path).withColumn("country", F.lit(country)))
+def read_federal_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return normalize_federal(spark.read.schema(schemas.FEDERAL).option("multiLine", multi_line).json(path))
 
 
-def read_aggregator_json(spark: SparkSession, path: str) -> DataFrame:
-    return normalize_aggregator(spark.read.schema(schemas.AGGREGATOR).option("multiLine", True).json(path))
+def read_board_json(spark: SparkSession, path: str, country: str, multi_line: bool = True) -> DataFrame:
+    return normalize_board(spark.read.schema(schemas.BOARD).option("multiLine", multi_line).json(path).withColumn("country", F.lit(country)))
+
+
+def read_aggregator_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return normalize_aggregator(spark.read.schema(schemas.AGGREGATOR).option("multiLine", multi_line).json(path))
 
 
 def unify_feeds(*feeds: DataFrame) -> DataFrame:
     """One table of postings with ``feed`` (its number) of each row."""
     names = [n for n, _ in _COLUMNS]
     return reduce(DataFrame.unionByName, [f.select(*names).withColumn("feed", F.lit(i)) for i, f in enumerate(feeds)])
-
-
-def extracted_skills(postings: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """position_id, skill_raw: a row for each term in a posting's summary, duties and title."""
-    text = F.concat_ws(" ", "qualification_summary", "major_duties", "title")
-    return postings.select("position_id", F.explode(scalars.extract_skills(text, terms)).alias("skill_raw"))

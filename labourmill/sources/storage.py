@@ -78,11 +78,14 @@ def retention_cleanup(postings: DataFrame, skills: DataFrame, as_of: str, days:
     return stay, left, gone
 
 
-def collection_log_row(spark: SparkSession, query: str, keyword: str, total_found: int, jobs_collected: int, started_at: str, finished_at: str, error: str | None = None) -> DataFrame:
-    """The row that a run appends to the log."""
-    values = {"query": query, "keyword": keyword, "total_found": total_found, "jobs_collected": jobs_collected, "status": "error" if error else "success", "error_message": error}
-    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()], F.to_timestamp(F.lit(started_at)).alias("started_at"), F.to_timestamp(F.lit(finished_at)).alias("finished_at"))
-    return row.withColumns({"total_found": F.col("total_found").cast("int"), "jobs_collected": F.col("jobs_collected").cast("int"), "error_message": F.col("error_message").cast("string")})
+def collection_log_rows(runs: DataFrame, started_at: str, finished_at: str) -> DataFrame:
+    """Rows of the log for runs (query, total_found, jobs_collected; keyword and error_message if they have them)."""
+    has = lambda c: F.col(c) if c in runs.columns else F.lit(None).cast("string")
+    error = has("error_message")
+    return runs.select(
+        "query", F.coalesce(has("keyword"), F.lit("")).alias("keyword"), F.col("total_found").cast("int").alias("total_found"), F.col("jobs_collected").cast("int").alias("jobs_collected"),
+        F.when(error.isNull(), "success").otherwise("error").alias("status"), error.alias("error_message"), F.to_timestamp(F.lit(started_at)).alias("started_at"), F.to_timestamp(F.lit(finished_at)).alias("finished_at"),
+    )
 
 
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
@@ -90,11 +93,6 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """A table whose joins on the key with tables of as many buckets need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-
-
 def store_mart(mart: DataFrame, path: str) -> None:
     mart.write.mode("overwrite").parquet(path)
 
@@ -118,6 +116,6 @@ def mart_json(mart: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def write_eval_report(metrics: DataFrame, entries: DataFrame, path: str) -> None:
-    """The metrics' row as JSON, with an array of the entries."""
-    listed = entries.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("per_entry"))
-    metrics.join(F.broadcast(listed), F.lit(True)).coalesce(1).write.mode("overwrite").json(path)
+    """The metrics' row as JSON under ``metrics``, the entries under ``per_entry``, a line each."""
+    metrics.write.mode("overwrite").json(f"{path}/metrics")
+    entries.write.mode("overwrite").json(f"{path}/per_entry")

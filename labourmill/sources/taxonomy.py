@@ -39,9 +39,13 @@ def without_known(groups: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def read_taxonomy_edges(spark: SparkSession, path: str) -> DataFrame:
-    """child_uri, parent_uri, edge_ord. The file is read by one task, so its lines keep their order."""
-    rows = spark.read.options(**_CSV).csv(path).coalesce(1)
-    return rows.select(F.col("conceptUri").alias("child_uri"), F.col("broaderUri").alias("parent_uri"), F.monotonically_increasing_id().alias("edge_ord"))
+    """child_uri, parent_uri, edge_ord (file, line): of several files the one with the later name comes later.
+
+    A CSV file with quoted line breaks is read by one task, so its lines keep their order.
+    """
+    rows = spark.read.options(**_CSV).csv(path)
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return rows.select(F.col("conceptUri").alias("child_uri"), F.col("broaderUri").alias("parent_uri"), order.alias("edge_ord"))
 
 
 def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from labourmill.operators import analytics, candidates, evaluation, matching
@@ -79,7 +80,7 @@ def test_golden_and_report(spark, tmp_path):
     empty = evaluation.eval_report(results.limit(0)).first()
     assert (empty.total, empty.precision_at_1, empty.avg_confidence) == (0, 0.0, 0.0)
     storage.write_eval_report(evaluation.eval_report(results), results, str(tmp_path / "out"))
-    assert len(spark.read.json(str(tmp_path / "out")).first().per_entry) == 3
+    assert spark.read.json(str(tmp_path / "out" / "per_entry")).count() == 3 and spark.read.json(str(tmp_path / "out" / "metrics")).first().total == 3
 
 
 def test_fuzzy(spark):
@@ -160,3 +161,67 @@ def test_stream_upsert_is_batch(spark, tmp_path):
         ingest.ingest_postings(spark, str(source), schemas.BOARD, lambda x: feeds.normalize_board(x.withColumn("country", F.lit("us"))), str(tmp_path / "t"), str(tmp_path / "log")).awaitTermination()
     got = {r.position_id: r.title for r in ingest.latest(spark, str(tmp_path / "t")).collect()}
     assert got == {"1": "c", "2": "b"}
+
+
+def test_stream_keeps_what_it_has(spark, tmp_path, monkeypatch):
+    """Many batches are merged into bases; a lost table or another checkpoint is refused, not begun anew."""
+    monkeypatch.setattr(ingest, "MERGE", 3)
+    source, want = tmp_path / "pages", {}
+    source.mkdir()
+    run = lambda log, replace=True: ingest.ingest_postings(spark, str(source), schemas.BOARD, lambda x: feeds.normalize_board(x.withColumn("country", F.lit("us"))), str(tmp_path / "t"), str(tmp_path / log), replace).awaitTermination()
+    for i in range(9):
+        items = [{"id": str(k), "title": f"{k} in {i}"} for k in {i, i // 2, 100}]
+        want |= {x["id"]: x["title"] for x in items}
+        (source / f"{i}.json").write_text(json.dumps({"results": items}))
+        run("log")
+        assert {r.position_id: r.title for r in ingest.latest(spark, str(tmp_path / "t")).collect()} == want
+    assert sorted(x.name for x in (tmp_path / "t" / "bases").iterdir()) == ["batch=5", "batch=8"]
+    with pytest.raises(ValueError):
+        run("other")
+    (source / "9.json").write_text(json.dumps({"results": [{"id": "1", "title": "late"}]}))
+    (tmp_path / "t").rename(tmp_path / "gone")
+    with pytest.raises(Exception, match="batch 8"):
+        run("log")
+    with pytest.raises(ValueError):
+        ingest.latest(spark, str(tmp_path / "t"))
+
+
+def test_first_write_wins(spark, tmp_path):
+    source = tmp_path / "pages"
+    source.mkdir()
+    for i, items in enumerate([[("1", "a"), ("1", "b"), ("2", None)], [("1", "c"), ("2", "d")]]):
+        (source / f"{i}.json").write_text(json.dumps({"results": [{"id": k, "title": t} for k, t in items]}))
+        ingest.ingest_postings(spark, str(source), schemas.BOARD, lambda x: feeds.normalize_board(x.withColumn("country", F.lit("us"))), str(tmp_path / "t"), str(tmp_path / "log"), False).awaitTermination()
+    assert {r.position_id: r.title for r in ingest.latest(spark, str(tmp_path / "t"), False).collect()} == {"1": "a", "2": "d"}
+
+
+def test_ratios_at_once():
+    """All labels at once give what one pair at a time gives, long texts and other alphabets too."""
+    import random
+
+    from labourmill.functions.ratio import Labels, token_sort_ratio
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcéя😀-") for _ in range(rng.randint(0, 9)))
+    text = lambda: " ".join(word() for _ in range(rng.randint(0, 5)))
+    known = [text() for _ in range(60)] + ["", "a" * 100, "b " * 40, "abc " * 30]
+    labels = Labels(known)
+    for mine in [text() for _ in range(40)] + ["", "c" * 62, "c" * 63, "abc " * 25]:
+        for least in (0.0, 45.0, 80.0):
+            want = {i: token_sort_ratio(mine, t) for i, t in enumerate(known) if mine.split() or t.split()}
+            found, scores = labels.ratios(mine, least)
+            assert dict(zip(found.tolist(), scores.tolist(), strict=True)) == {i: s for i, s in want.items() if s >= least}
+
+
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_blocks_of_labels(spark, monkeypatch, block):
+    from labourmill.functions.ratio import token_sort_ratio
+
+    monkeypatch.setattr(matching, "BLOCK", block)
+    names = [f"{a} {b}" for a in ("data", "dates", "tada", "nurse") for b in ("one", "two", "eno", "x", "yy")]
+    labels = spark.createDataFrame([(t, f"u{i}", i) for i, t in enumerate(names)], "label string, uri string, pos long")
+    raw = ["one data", "two nurses", "yyx", "dada"]
+    got = {(r.raw_skill, r["rank"]): (r.uri, round(r.score, 9)) for r in matching.fuzzy_top_k(spark.createDataFrame([(x,) for x in raw], "raw_skill string"), labels, 3).collect()}
+    for x in raw:
+        best = sorted((-token_sort_ratio(x, t), i) for i, t in enumerate(names))[:3]
+        assert [got[x, k + 1] for k in range(3)] == [(f"u{i}", round(-s / 100, 9)) for s, i in best]
