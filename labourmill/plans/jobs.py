@@ -728,7 +728,7 @@ RETURNED = f"""{GOLDEN}, {_mapped('SELECT DISTINCT raw_skill FROM golden')}, {_s
     CASE WHEN expected_label IS NULL THEN false WHEN expected_uri IS NOT NULL THEN m.esco_uri = expected_uri ELSE coalesce(a.score / 100, 0) >= 0.8 END AS matched
     FROM golden g JOIN mapped m USING (raw_skill) LEFT JOIN alike a ON a.raw_skill = g.expected_label AND a.label = m.esco_label)"""
 REPORT = """SELECT count(*) AS total, round(count(*) FILTER (expected_label IS NOT NULL) / greatest(count(*) FILTER (expected_label IS NOT NULL), 1), 4) AS mapping_rate, round(count(*) FILTER (matched) / count(*), 4) AS precision_at_1,
-  round(avg(returned_confidence), 4) AS avg_confidence, round(min(returned_confidence), 4) AS min_confidence, 0.0 AS hallucination_rate FROM results"""
+  round(avg(returned_confidence), 4) AS avg_confidence, round(min(returned_confidence), 4) AS min_confidence, 0.0::DOUBLE AS hallucination_rate FROM results"""
 
 
 @query("SELECT id, category FROM golden WHERE llm_only AND category IS DISTINCT FROM 'edge'", GOLDEN)
