@@ -13,8 +13,8 @@ Two documents link when their shingle sets' Jaccard similarity reaches the thres
    are merged, and what occurs often enough is looked up in the long ones by binary search. The
    most central sets ask first; pairs that are already connected aren't looked for again, and the
    largest group that they leave needn't ask, so a group of many near copies costs few searches.
-   A larger cell is dealt in blocks: the most central sets ask every block, then the sets that
-   they leave ask those blocks that have one of their prefix shingles.
+   A larger cell is dealt in blocks: each is searched by itself, the most central sets of all then
+   ask every block, and the sets that they leave those blocks that have one of their prefix shingles.
 4. Links' components are the classes.
 """
 
@@ -197,10 +197,21 @@ class _Sets:
         self.owners = owner[order]
         self.values, self.begins, self.lengths = np.unique(flat[order], return_index=True, return_counts=True)
 
-    def central(self, k: int) -> list[int]:
-        """The k indexed sets whose shingles are, on average, in most of the others."""
+    def central(self, k: int) -> tuple[list[int], np.ndarray]:
+        """The k indexed sets whose shingles are, on average, in most of the others; and all sets' scores."""
         score = np.bincount(self.owners, weights=np.repeat(self.lengths, self.lengths), minlength=len(self.keys)) / self.sizes
-        return np.lexsort((np.array(self.keys), -score))[:k].tolist()
+        return np.lexsort((np.array(self.keys), -score))[:k].tolist(), score
+
+    def connect(self) -> tuple[int, float]:
+        """All links among the sets, as far as they connect more. The most central set, and its score a set."""
+        self.index(list(range(len(self.keys))))
+        first, score = self.central(PIVOTS)
+        for q in first:
+            self.ask(q)
+        # Of two sets that aren't connected yet, one at least is outside the largest group.
+        for q in np.flatnonzero(self.group != np.bincount(self.group).argmax()).tolist():
+            self.ask(q)
+        return self.keys[first[0]], float(score[first[0]]) / len(self.keys)
 
     def ask(self, q: int) -> None:
         """DivideSkip: the links of one set with the indexed ones that it isn't connected with."""
@@ -250,18 +261,26 @@ def _cell_links(cells: DataFrame, threshold: int) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sets = _Sets(table["set_key"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), threshold)
-        every = list(range(len(sets.keys)))
-        sets.index(every)
-        for q in sets.central(PIVOTS):
-            sets.ask(q)
-        # Of two sets that aren't connected yet, one at least is outside the largest group.
-        for q in np.flatnonzero(sets.group != np.bincount(sets.group).argmax()).tolist():
-            sets.ask(q)
+        sets.connect()
         return sets.found()
 
     return cells.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
+def _links_within(blocks: DataFrame, threshold: int) -> DataFrame:
+    """cell, a, b, score: links that connect all linked sets of each (cell, block), and a row with its
+    most central set (a) and that one's score; b is null there, score elsewhere."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sets = _Sets(table["set_key"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), threshold)
+        centre, score = sets.connect()
+        links = sets.found()
+        columns = [[key[0].as_py()] * (len(links) + 1), [*links["a"].to_pylist(), centre], [*links["b"].to_pylist(), None], [None] * len(links) + [score]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["cell", "a", "b", "score"])
+
+    return blocks.groupBy("cell", "block").applyInArrow(run, "cell long, a long, b long, score double")
+
+
 def _block_links(tasks: DataFrame, threshold: int) -> DataFrame:
     """a, b: links of the sets that ask with those that don't, of each (cell, block, chunk)."""
 
@@ -299,13 +318,13 @@ def _large_links(cells: DataFrame, threshold: int) -> DataFrame:
     def rows(some: DataFrame, asks: bool) -> DataFrame:
         return some.withColumn("asks", F.lit(asks)).select(columns)
 
-    # First the sets with the most weight in frequent shingles, of as many blocks.
-    weight = F.struct(F.length("tokens") / F.col("n"), "set_key")
-    best = dealt.groupBy("cell", "block").agg(F.max_by(F.struct("set_key", "n", "tokens", "blocks"), weight).alias("p"), F.max(weight).alias("w"))
-    rank = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("w")))
-    pivots = best.withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("cell", "p.*").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # First each block by itself; the most central sets of all blocks then ask every block.
+    within = materialize(_links_within(dealt.select("cell", "block", "set_key", "n", "tokens"), threshold))
+    rank = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("score"), "a"))
+    centres = within.filter("b IS NULL").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("cell", F.col("a").alias("set_key"))
+    pivots = dealt.join(centres, ["cell", "set_key"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     alone = {"chunk": F.lit(0).cast("long"), "group": F.col("set_key")}
-    early = materialize(_block_links(rows(dealt.withColumns(alone), False).unionByName(rows(pivots.withColumns(alone), True)), threshold))
+    early = materialize(_block_links(rows(dealt.withColumns(alone), False).unionByName(rows(pivots.withColumns(alone), True)), threshold).unionByName(within.filter("b IS NOT NULL").select("a", "b")))
     # Then those outside their cell's largest group ask where they have a prefix shingle in common, and no length against it.
     groups = components(early).withColumnRenamed("node", "set_key")
     known = materialize(dealt.join(groups, "set_key", "left").withColumn("group", F.coalesce("component", "set_key")).drop("component"))

@@ -82,7 +82,8 @@ def tell(docs: DataFrame, send: Callable[[pa.RecordBatch], Sent], receive: Calla
     fields, buckets = _FIELDS, exchange.buckets
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        part = task << 32
         for i, batch in enumerate(chunks(batches, text, exchange.block)):
             sent = send(batch)
             bucket = bucket_of(sent.asked, buckets)
@@ -94,7 +95,7 @@ def tell(docs: DataFrame, send: Callable[[pa.RecordBatch], Sent], receive: Calla
             told_order = np.argsort(told_bucket, kind="stable")
             told = (sent.told[told_order] & U(0xFFFFFFFF)).astype("<u4")
             told_cuts = np.searchsorted(told_bucket[told_order], np.arange(buckets + 1))
-            rows = [(part + i, int((part + i) % buckets), None, None, None, sent.payload(order, bucket[order]))]
+            rows = [(part + i, (task + i) % buckets, None, None, None, sent.payload(order, bucket[order]))]
             for b in np.flatnonzero((np.diff(cuts) > 0) | (np.diff(told_cuts) > 0)).tolist():
                 a, e, c, d = cuts[b], cuts[b + 1], told_cuts[b], told_cuts[b + 1]
                 rows.append((part + i, b, low[a:e].tobytes(), times[a:e].tobytes() if times is not None else None, told[c:d].tobytes(), None))
