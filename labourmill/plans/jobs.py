@@ -672,13 +672,20 @@ def W7_batch_skills(spark: SparkSession, d: str) -> DataFrame:
     return ca.batch_skills(table(spark, d, "orders").select("o_orderpriority", "o_orderkey"), "o_orderkey", 15, "o_orderpriority")
 
 
-@query()
+GRAPH = f"""{HITS}, asked AS (SELECT 'Customer#' || lpad(vec_id::VARCHAR, 9, '0') AS text, embedding::DOUBLE[] AS v FROM embeddings),
+  beside AS (SELECT DISTINCT h.batch_id, 'n/' || b.n_nationkey AS uri, h.text FROM hits h JOIN nation a ON h.uri = 'n/' || a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
+  side AS (SELECT batch_id, uri, max(list_cosine_similarity(v, embedding::DOUBLE[])) AS score FROM beside JOIN asked USING (text) JOIN embeddings ON uri = 'n/' || vec_id GROUP BY ALL),
+  found AS (SELECT batch_id, uri, score, category, 0 AS o FROM pool UNION ALL SELECT batch_id, 'r/' || n_regionkey, score, 'graph_parent', 2 FROM pool JOIN nation ON uri = 'n/' || n_nationkey
+    UNION ALL SELECT batch_id, uri, score, 'graph_sibling', 3 FROM side WHERE score >= 0.1)"""
+
+
+@query("SELECT batch_id, uri, round(score, 4) AS score, category FROM found QUALIFY row_number() OVER (PARTITION BY batch_id, uri ORDER BY o, score DESC) = 1", GRAPH)
 def J13_graph_expand(spark: SparkSession, d: str) -> DataFrame:
     """Candidates are nations; their vectors, and the customers' as texts, are those of the embeddings of their numbers."""
     e = table(spark, d, "embeddings")
     q = e.select(F.concat(F.lit("Customer#"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("text"), F.col("embedding").alias("vec"))
     v = e.select(F.concat(F.lit("n/"), F.col("vec_id").cast("string")).alias("uri"), F.col("embedding").alias("label_vec"), F.col("embedding").alias("desc_vec"))
-    return ca.graph_expand(ca.gather_candidates(*_hits(spark, d)), _edges(spark, d), _concepts(spark, d), q, v, threshold=0.1)
+    return ca.graph_expand(ca.gather_candidates(*_hits(spark, d)), _edges(spark, d), _concepts(spark, d), q, v, threshold=0.1).withColumn("score", F.round("score", 4))
 
 
 ANSWERED = "said AS (SELECT p_partkey, p_name, p_size FROM part)"
