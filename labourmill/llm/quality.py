@@ -127,11 +127,13 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass their own rules and whose host isn't rejected, all columns.
 
-    Rows are written once with their own verdict, then read for the hosts' sums and for the rest.
+    Texts don't travel and aren't written: the rules are worked out for the hosts' sums and again
+    where each row is read.
     """
     failed = bind(words_of(F.col(f"`{text}`")), lambda w: fails_base(F.size(w).cast("long"), repeated_words(w)))
-    marked = materialize(docs.select(F.struct("*").alias("row"), key_text(F.col(f"`{host}`")).alias("host"), failed.alias("failed")))
-    verdicts = materialize(host_verdicts(marked.select("host", F.col("failed").alias("base_failed"))).select("host", "n_docs", "rejected"))
+    marked = docs.select(F.struct("*").alias("row"), key_text(F.col(f"`{host}`")).alias("host"), failed.alias("failed"))
+    counts = materialize(marked.select("host", F.col("failed").alias("base_failed")))
+    verdicts = materialize(host_verdicts(counts).select("host", "n_docs", "rejected"))
     return join_hot(marked.filter("NOT failed"), verdicts, ["host"], "n_docs").filter("NOT rejected").select("row.*")
 
 
