@@ -5,9 +5,10 @@ of its short word runs; neighbouring windows mostly share it, and such a stretch
 super-k-mer) travels as one packed string to the bucket of its minimiser. Equal windows have
 equal minimisers, so each bucket counts its windows by sorting their hashes, and what the hashes
 call equal is held against its words. Before that, the minimisers alone are counted: a stretch
-whose minimiser occurs nowhere else holds no repeated window and needs no journey, and one whose
-minimiser is very frequent is cut by the next-least hash of its windows, so that a run of words
-that a large part of the corpus has doesn't gather all its windows in one bucket.
+whose minimiser occurs nowhere else holds no repeated window and needs no journey. A run of words
+that a large part of the corpus has would gather all windows around it in one bucket; stretches
+with a very frequent minimiser therefore travel as their windows' 128-bit hashes, each to the
+bucket of its own hash, where equal ones of a block are one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labourmill.llm import words as wd
-from labourmill.llm.tally import MOST, Exchange, Sent, batch_of, bucket_of, exchange_for, tell
+from labourmill.llm.tally import BATCH_ROWS, MOST, Exchange, Sent, batch_of, bucket_of, exchange_for, tell
 from labourmill.llm.words import U, chunks
 
 WINDOW = 35
@@ -60,28 +61,6 @@ def stretches(w: wd.Words, window: int, run: int) -> tuple[np.ndarray, np.ndarra
     return first[begins], np.diff([*begins, len(first)]), runs[place[begins]], w.text_of()[first[begins]]
 
 
-def cut_again(w: wd.Words, window: int, run: int, first: np.ndarray, size: np.ndarray, minimiser: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches (first, size, minimiser), those in ``which`` cut by the least of their windows'
-    runs that aren't the minimiser. Both numbers make the new minimiser."""
-    keep = np.ones(len(first), bool)
-    keep[which] = False
-    n = size[which] + window - run  # runs that begin in the stretch
-    ends = np.cumsum(n)
-    within = np.arange(n.sum()) - np.repeat(ends - n, n)
-    all_runs = wd.runs(w.hash, run)
-    values = all_runs[np.repeat(first[which], n) + within]
-    values[values == np.repeat(minimiser[which], n)] = np.iinfo(np.uint64).max
-    keys = (values & U(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=U)
-    place = (_least(keys, window - run + 1) & U(0xFFFFFFFF)).astype(np.int64)
-    of = np.repeat(np.arange(len(which)), n)
-    at = np.flatnonzero(within < np.repeat(size[which], n))  # places of the stretches' windows
-    place, of = place[at], of[at]
-    begins = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (of[1:] != of[:-1])])) if len(at) else at
-    new = (first[which][of] + within[at])[begins], np.diff([*begins, len(at)]), wd.mix(minimiser[which][of[begins]] ^ wd.mix(values[place[begins]]))
-    order = np.argsort(np.concatenate([first[keep], new[0]]), kind="stable")
-    return tuple(np.concatenate([old[keep], more])[order] for old, more in zip((first, size, minimiser), new, strict=True))
-
-
 def equal_windows(w: wd.Words, first: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
     """A number for each window of words (joined by one space): equal ones have the same.
 
@@ -135,8 +114,17 @@ def _shared_stretches(docs: DataFrame, window: int, run: int, exchange: Exchange
     return found.groupBy("doc_id", "h").agg(F.max("flags").alias("flags"))
 
 
-_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("counts", pa.binary()), ("payload", pa.binary())]
-_PACKED = "block long, bucket int, packed binary, counts binary, payload binary"
+_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("payload", pa.binary())]
+_PACKED = "block long, bucket int, packed binary, hashes binary, counts binary, payload binary"
+_PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+_OTHER = U(0xE7037ED1A0B428DB)
+
+
+def window_hashes(w: wd.Words, at: np.ndarray, window: int) -> np.ndarray:
+    """Two hashes of the windows that begin at the words ``at``."""
+    out = np.empty(len(at), _PAIR)
+    out["a"], out["b"] = wd.runs(w.hash, window)[at], wd.runs(wd.mix(w.hash ^ _OTHER), window)[at]
+    return out
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -153,7 +141,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     asked = _joined(keyed, flags, "flags", "inner").sortWithinPartitions("h", "doc_id")
 
     def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        part = task << 32
         for i, batch in enumerate(chunks(batches, size=exchange.block)):
             w = wd.split(batch.column("text"))
             first, size, minimiser, text = stretches(w, window, run)
@@ -163,18 +152,26 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
                 n = cuts[d + 1] - cuts[d]
                 told = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
                 keep[cuts[d] : cuts[d + 1]], hot[cuts[d] : cuts[d + 1]] = told[:n], told[-(-n // 8) * 8 :][:n]
-            some = np.flatnonzero(keep)
-            first, size, minimiser = cut_again(w, window, run, first[some], size[some], minimiser[some], np.flatnonzero(hot[some]))
-            text = np.searchsorted(w.first, first, side="right") - 1
-            at = np.arange(len(first))
-            # A block sends what it has several times once, with its count.
+            # Very frequent: each window by its hashes. A block sends what it has several times once, with its count.
+            hot &= keep
+            n = size[hot]
+            windows = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            hashes, which_hash, seen = np.unique(window_hashes(w, windows, window), return_inverse=True, return_counts=True)
+            hash_bucket = bucket_of(hashes["a"], buckets)
+            by_bucket = np.argsort(hash_bucket, kind="stable")
+            hash_place = np.empty(len(hashes), np.int64)
+            hash_place[by_bucket] = np.arange(len(hashes))
+            hash_text = np.repeat(text[hot], n)
+            # The others as their words.
+            some = np.flatnonzero(keep & ~hot)
+            first, size, minimiser, text = first[some], size[some], minimiser[some], text[some]
             order: dict[tuple[int, bytes], int] = {}
             times: list[int] = []
-            which = np.zeros(len(at), np.int64)
+            which = np.zeros(len(first), np.int64)
             data = w.data.tobytes()
-            for k, (s, b) in enumerate(zip(at, bucket_of(minimiser, buckets), strict=True)):
-                words = b" ".join(data[w.start[first[s]] : w.end[first[s] + size[s] + window - 2]].split())
-                j = which[k] = order.setdefault((int(b), words), len(order))
+            for k, b in enumerate(bucket_of(minimiser, buckets).tolist()):
+                words = b" ".join(data[w.start[first[k]] : w.end[first[k] + size[k] + window - 2]].split())
+                j = which[k] = order.setdefault((b, words), len(order))
                 if j == len(times):
                     times.append(0)
                 times[j] += 1
@@ -184,16 +181,21 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
             sequence = [j for b in sorted(by) for j, _ in by[b]]  # the order in which answers come
             place = np.empty(len(sequence), np.int64)
             place[sequence] = np.arange(len(sequence))
-            payload = pickle.dumps(([batch.column("doc_id"), batch.column("h")], text, first - w.first[text], size, place[which]))
-            rows = [(part + i, int((part + i) % buckets), None, None, payload)]
+            payload = pickle.dumps(([batch.column("doc_id"), batch.column("h")], text, first - w.first[text], size, place[which], hash_text, windows - w.first[hash_text], hash_place[which_hash]))
+            rows = [(part + i, (task + i) % buckets, None, None, None, payload)]
             for b in sorted(by):
-                rows.append((part + i, b, b"\n".join(x for _, x in by[b]), np.array([times[j] for j, _ in by[b]], "<u4").tobytes(), None))
-            yield batch_of(_FIELDS, rows)
+                rows.append((part + i, b, b"\n".join(x for _, x in by[b]), None, np.array([times[j] for j, _ in by[b]], "<u4").tobytes(), None))
+            cuts = np.searchsorted(hash_bucket[by_bucket], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = by_bucket[cuts[b] : cuts[b + 1]]
+                rows.append((part + i, b, None, hashes[mine].tobytes(), seen[mine].astype("<u4").tobytes(), None))
+            for k in range(0, len(rows), BATCH_ROWS):
+                yield batch_of(_FIELDS, rows[k : k + BATCH_ROWS])
 
     def reducer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         got = table.to_pylist()
-        asks = [r for r in got if r["packed"] is not None]
-        out = [(r["block"], -1, None, None, r["payload"]) for r in got if r["packed"] is None]
+        asks, hashed = [r for r in got if r["packed"] is not None], [r for r in got if r["hashes"] is not None]
+        out = [(r["block"], -1, None, None, None, r["payload"]) for r in got if r["payload"] is not None]
         if asks:
             lines = [r["packed"].split(b"\n") for r in asks]
             w = wd.split(pa.array([x for some in lines for x in some], pa.large_binary()).cast(pa.large_string()))
@@ -206,19 +208,30 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
             begin = 0
             for r, some in zip(asks, lines, strict=True):
                 bits = [np.packbits(again[cuts[j] : cuts[j + 1]]).tobytes() for j in range(begin, begin + len(some))]
-                out.append((r["block"], r["bucket"], None, pickle.dumps(bits), None))
+                out.append((r["block"], r["bucket"], pickle.dumps(bits), None, None, None))
                 begin += len(some)
+        if hashed:
+            each = [np.frombuffer(r["hashes"], _PAIR) for r in hashed]
+            _, where = np.unique(np.concatenate(each), return_inverse=True)
+            again = np.bincount(where, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in hashed]))[where] > 1
+            begin = 0
+            for r, x in zip(hashed, each, strict=True):
+                out.append((r["block"], r["bucket"], None, again[begin : begin + len(x)].tobytes(), None, None))
+                begin += len(x)
         return pa.Table.from_batches([batch_of(_FIELDS, out)])
 
     def collector(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        got = table.select(["bucket", "counts", "payload"]).to_pylist()
-        (doc_id, h), text, first, size, place = pickle.loads(next(r["payload"] for r in got if r["bucket"] < 0))
-        bits = [x for r in sorted((r for r in got if r["bucket"] >= 0), key=lambda r: r["bucket"]) for x in pickle.loads(r["counts"])]
-        cuts = np.searchsorted(text, np.arange(len(doc_id) + 1))
+        got = sorted(table.select(["bucket", "packed", "hashes", "payload"]).to_pylist(), key=lambda r: r["bucket"])
+        (doc_id, h), text, first, size, place, hash_text, windows, hash_place = pickle.loads(next(r["payload"] for r in got if r["payload"] is not None))
+        bits = [x for r in got if r["packed"] is not None for x in pickle.loads(r["packed"])]
+        again = np.frombuffer(b"".join(r["hashes"] for r in got if r["hashes"] is not None), bool)
+        hit = again[hash_place] if len(hash_place) else np.zeros(0, bool)
+        hash_text, windows = hash_text[hit], windows[hit]
+        cuts, hash_cuts = (np.searchsorted(x, np.arange(len(doc_id) + 1)) for x in (text, hash_text))
         some, ranges = [], []
         for d in range(len(doc_id)):
             starts = [first[k] + np.flatnonzero(np.unpackbits(np.frombuffer(bits[place[k]], np.uint8), count=size[k])) for k in range(cuts[d], cuts[d + 1])]
-            at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            at = np.sort(np.concatenate([windows[hash_cuts[d] : hash_cuts[d + 1]], *starts]))
             if len(at):
                 new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + window]))
                 last = np.append(new[1:] - 1, len(at) - 1)

@@ -31,7 +31,7 @@ MOST = 255
 #: Rows that a task hands over at once.
 BATCH_ROWS = 20_000
 #: Bytes of text whose tokens one bucket gets, and of which a block sends it a row; and of the largest block.
-BUCKET_BYTES, ROW_BYTES, MOST_BLOCK_BYTES = 32_000_000, 1000, 64_000_000
+BUCKET_BYTES, ROW_BYTES, MOST_BLOCK_BYTES = 32_000_000, 500, 64_000_000
 
 
 @dataclass
@@ -55,9 +55,10 @@ class Exchange:
 
 
 def exchange_for(docs: DataFrame, text: str = "text") -> Exchange:
-    """Sized by the bytes of all texts, which are summed for it: one number comes to the driver."""
+    """Sized by the bytes of all texts, which are summed for it: one number comes to the driver.
+    Four buckets for each shuffle partition at least, or chance makes partitions uneven."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     return Exchange(buckets, min(max(CHUNK, ROW_BYTES * buckets), MOST_BLOCK_BYTES))
 
 

@@ -84,8 +84,8 @@ def brute_repeats(rows, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [3, 255])
-def test_hot_minimisers_are_cut(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot", [2, 4, 255])
+def test_hot_minimisers_go_by_window(spark, monkeypatch, hot):
     monkeypatch.setattr(substring, "MOST", hot)
     rng = random.Random(2)
     body = lambda n: " ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 9)) for _ in range(n))
@@ -97,12 +97,13 @@ def test_hot_minimisers_are_cut(spark, monkeypatch, hot):
     assert got == brute_repeats(rows, 35)
 
 
-def test_cut_stretches_have_the_same_windows():
+def test_two_hashes_of_windows():
     rng = random.Random(3)
-    w = wd.split(pa.array([" ".join(rng.choice("abcd") for _ in range(n)) for n in (200, 36, 35, 80)]))
-    first, size, minimiser, _ = substring.stretches(w, 35, 5)
-    which = np.arange(0, len(first), 2)
-    new = substring.cut_again(w, 35, 5, first, size, minimiser, which)
-    windows = lambda f, s: [x for a, n in zip(f.tolist(), s.tolist(), strict=True) for x in range(a, a + n)]
-    assert windows(new[0], new[1]) == windows(first, size)
-    assert all(len(x) == len(y) for x, y in zip(substring.cut_again(w, 35, 5, first, size, minimiser, which[:0]), (first, size, minimiser), strict=True))
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (200, 36, 35, 80)]
+    w = wd.split(pa.array(texts))
+    at, hashes = w.windows(6)
+    pairs = substring.window_hashes(w, at, 6)
+    said = [tuple(t.split()[i : i + 6]) for t in texts for i in range(len(t.split()) - 5)]
+    assert (pairs["a"] == hashes).all() and not (pairs["a"] == pairs["b"]).any()
+    for x in (pairs["a"], pairs["b"], pairs):
+        assert len(set(zip(said, x.tolist(), strict=True))) == len(set(said)) == len(set(x.tolist()))
