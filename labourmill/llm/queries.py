@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import chat, classifier, jaccard, mixing, packing, pii, quality, sharding, simhash, substring
+from labourmill.llm import centroids, chat, classifier, codes, jaccard, mixing, packing, pii, quality, sharding, simhash, substring
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,8 @@ QUERIES = {
     "op9_preferences": chat.op9_preferences,
     "lent_answers": chat.lent_answers,
     "op10_mixing": mixing.op10_mixing,
+    "op11_centroids": centroids.op11_centroids,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 ORACLES = {
@@ -25,4 +27,6 @@ ORACLES = {
     "op9_preferences": chat.ORACLE,
     "lent_answers": chat.LENT_ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }
