@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and their DuckDB counterparts."""
 
-from labourmill.llm import centroids, chat, classifier, codes, jaccard, mixing, packing, pii, quality, sharding, simhash, substring
+from labourmill.llm import centroids, chat, classifier, codes, jaccard, mixing, packing, pii, quality, secret_scan, sharding, simhash, substring
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "lent_answers": chat.lent_answers,
     "op10_mixing": mixing.op10_mixing,
     "op11_centroids": centroids.op11_centroids,
+    "op12_secrets": secret_scan.op12_secrets,
     "op13_vector_codes": codes.op13_vector_codes,
 }
 
