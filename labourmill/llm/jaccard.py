@@ -16,6 +16,10 @@ Two documents link when their shingle sets' Jaccard similarity reaches the thres
    A larger cell is dealt in blocks: each is searched by itself, the most central sets of all then
    ask every block, and the sets that they leave those blocks that have one of their prefix shingles.
 4. Links' components are the classes.
+
+Hashes only tell where to look. Two sets are the same if both of a run's keyed hashes (122 bits
+that no text can foresee) agree on all their shingles; two different sets link only after their
+words have been compared, so each set brings its words along, compressed.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -31,7 +36,7 @@ from pyspark.sql import Window as W
 from labourmill.llm import words as wd
 from labourmill.llm.components import components
 from labourmill.llm.shared import materialize
-from labourmill.llm.tally import Exchange, Sent, exchange_for, tell
+from labourmill.llm.tally import Exchange, Sent, batch_of, exchange_for, tell
 from labourmill.llm.words import U
 
 SHINGLE = 5
@@ -41,50 +46,63 @@ CELL_SETS = 128
 CELL_SHINGLES = 1_000_000
 #: The most central sets of a cell, which ask first.
 PIVOTS = 8
-_CHECK = U(0xA0761D6478BD642F)
 
 
-def shingles(w: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text in ascending order, and each one's text.
+def shingles(w: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of the distinct shingles of each text, by the first in ascending order, and each one's text.
 
     A text of fewer words has one shingle, all its words; one without words has none.
     """
-    at, hashes = w.windows(size)
-    text = w.text_of()[at]
+    at = w.begins(size)
     n = np.diff(w.first)
     short = np.flatnonzero((n > 0) & (n < size))
-    text, hashes = np.concatenate([text, short]), np.concatenate([hashes, w.whole(short)])
+    text = np.concatenate([w.text_of()[at], short])
+    hashes, others = (np.concatenate([wd.runs(h, size)[at], w.whole(short, h)]) for h in (w.hash, w.other))
     order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
+    text, hashes, others = text[order], hashes[order], others[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-    return hashes[new], text[new]
+    met = np.flatnonzero(~new)
+    if (others[met] != others[met - 1]).any():  # two shingles of one text, one hash: less than once in 2 ** 40 texts
+        raise ValueError("two shingles met in a hash: run again, and other hashes are drawn")
+    return hashes[new], others[new], text[new]
 
 
-def _set_keys(hashes: np.ndarray, cuts: np.ndarray, seed: np.uint64 = U(0x5851F42D4C957F2D)) -> np.ndarray:
+def _set_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """One number for each set, of all its shingles and their number."""
     sums = np.zeros(len(hashes) + 1, U)
-    np.cumsum(wd.mix(hashes ^ seed), dtype=U, out=sums[1:])
+    np.cumsum(wd.mix(hashes), dtype=U, out=sums[1:])
     return wd.mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ wd.mix(np.diff(cuts).astype(U))).view(np.int64)
 
 
+def worded(text: bytes, size: int) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as words."""
+    words = text.split()
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)}
+
+
+def alike(a: set, b: set, threshold: int) -> bool:
+    common = len(a & b)
+    return 100 * common >= threshold * (len(a) + len(b) - common)
+
+
 def _need(n: int, threshold: int) -> int:
     """Fewest shingles that a set of n shares with any that it links with."""
     return -(-threshold * n // 100)
 
 
-def document_sets(docs: DataFrame, exchange: Exchange, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def document_sets(docs: DataFrame, exchange: Exchange, key: wd.Key, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, h, n, set_key, open of every row of (doc_id, h, text): size and key of its set, and
-    whether it may link. Sets are told apart by two sums of 64 bits."""
+    whether it may link. Sets are told apart by two sums of 64 bits, one of each hash."""
 
     def send(batch: pa.RecordBatch) -> Sent:
-        tokens, doc = shingles(wd.split(batch.column("text"), lower=True), size)
+        tokens, others, doc = shingles(wd.split(batch.column("text"), key, lower=True), size)
         cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         values, where, counts = np.unique(tokens, return_inverse=True, return_counts=True)
         several = counts[where] > 1
         known = np.bincount(doc[several], minlength=batch.num_rows)
         asked = doc[~several]
-        keys = _set_keys(tokens, cuts), _set_keys(tokens, cuts, _CHECK)
+        keys = _set_keys(tokens, cuts), _set_keys(others, cuts)
 
         def payload(order: np.ndarray, bucket: np.ndarray) -> bytes:
             # Whose each token is: as counts a document and bucket (within a bucket they stand in order of document), or one by one.
@@ -110,44 +128,48 @@ def document_sets(docs: DataFrame, exchange: Exchange, size: int = SHINGLE, thre
     return rows.join(twice, "set_key", "left").withColumn("old_key", F.col("set_key")).withColumn("set_key", F.when(F.col("twice"), F.xxhash64("set_key", "check")).otherwise(F.col("set_key"))).drop("twice")
 
 
-def candidate_sets(docs: DataFrame, exchange: Exchange, size: int, threshold: int) -> DataFrame:
-    """set_key, n, tokens, prefix of the sets (rows of ``docs``, one or more for each) that may link.
+def candidate_sets(docs: DataFrame, exchange: Exchange, key: wd.Key, size: int, threshold: int) -> DataFrame:
+    """set_key, n, tokens, prefix, text of the sets (rows of ``docs``, one or more for each) that may link.
 
     ``docs`` has text, set_key and the sums old_key and check. ``tokens`` has the shingles that
-    other sets have too, from rare to frequent; ``prefix`` how many of them may tie the set to others.
+    other sets have too, from rare to frequent; ``prefix`` how many of them may tie the set to others. ``text`` is a text of the
+    set, in lower case and compressed.
     """
 
     def send(batch: pa.RecordBatch) -> Sent:
-        tokens, doc = shingles(wd.split(batch.column("text"), lower=True), size)
+        w = wd.split(batch.column("text"), key, lower=True)
+        tokens, others, doc = shingles(w, size)
         cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         keys = np.asarray(batch.column("set_key"))
         # Of rows with one set the first one counts; and only rows that have the set that was asked for.
-        right = (_set_keys(tokens, cuts) == np.asarray(batch.column("old_key"))) & (_set_keys(tokens, cuts, _CHECK) == np.asarray(batch.column("check"))) & (np.diff(cuts) > 0)
+        right = (_set_keys(tokens, cuts) == np.asarray(batch.column("old_key"))) & (_set_keys(others, cuts) == np.asarray(batch.column("check"))) & (np.diff(cuts) > 0)
         at = np.flatnonzero(right)
         use = np.zeros(len(keys), bool)
         use[at[np.unique(keys[at], return_index=True)[1]]] = True
         tokens, doc = tokens[use[doc]], doc[use[doc]]
         values, where, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        payload = (keys[use], np.diff(cuts)[use], values, where.astype(np.uint32))
+        pack, chosen = zstandard.ZstdCompressor(1).compress, np.flatnonzero(use)
+        texts = [pack(w.data[w.start[w.first[d]] : w.end[w.first[d + 1] - 1]].tobytes()) for d in chosen.tolist()]
+        payload = (keys[use], np.diff(cuts)[use], texts, values, where.astype(np.uint32))
         return Sent(values, counts, np.zeros(0, U), lambda order, _: pickle.dumps((*payload, order.astype(np.uint32))))
 
     def receive(payload: bytes, counts: np.ndarray) -> pa.RecordBatch:
-        keys, n, values, where, order = pickle.loads(payload)
+        keys, n, texts, values, where, order = pickle.loads(payload)
         often = np.zeros(len(values), np.int64)
         often[order] = counts
         rows, begin = [], 0
-        for key, size_ in zip(keys.tolist(), n.tolist(), strict=True):
+        for set_key, size_, text in zip(keys.tolist(), n.tolist(), texts, strict=True):
             mine = where[begin : begin + size_]
             begin += size_
             mine = mine[np.lexsort((values[mine], often[mine]))]
             shared = often[mine] > 1
             need = _need(size_, threshold)
             if shared.sum() >= need:
-                rows.append((key, size_, values[mine[shared]].tobytes(), int(shared[: size_ - need + 1].sum())))
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int32())], names=["set_key", "n", "tokens", "prefix"])
+                rows.append((set_key, size_, values[mine[shared]].tobytes(), int(shared[: size_ - need + 1].sum()), text))
+        fields = [("set_key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.int32()), ("text", pa.binary())]
+        return batch_of(fields, rows)
 
-    return tell(docs, send, receive, "set_key long, n long, tokens binary, prefix int", exchange)
+    return tell(docs, send, receive, "set_key long, n long, tokens binary, prefix int, text binary", exchange)
 
 
 def _ties(sets: DataFrame) -> DataFrame:
@@ -181,11 +203,13 @@ def _ties(sets: DataFrame) -> DataFrame:
 
 
 class _Sets:
-    """Sets of one task: sorted shingles, full sizes, and who is connected with whom."""
+    """Sets of one task: sorted shingles, full sizes, compressed texts, and who is connected with whom."""
 
-    def __init__(self, keys: list[int], sizes: list[int], tokens: list[bytes], threshold: int):
-        self.keys, self.sizes, self.threshold = keys, np.array(sizes, np.int64), threshold
-        self.tokens = [np.sort(np.frombuffer(t, U)) for t in tokens]
+    def __init__(self, table: pa.Table, size: int, threshold: int):
+        self.keys, self.sizes = table["set_key"].to_pylist(), np.array(table["n"].to_pylist(), np.int64)
+        self.tokens = [np.sort(np.frombuffer(t, U)) for t in table["tokens"].to_pylist()]
+        self.texts, self.size, self.threshold = table["text"], size, threshold
+        keys = self.keys
         self.group = np.arange(len(keys))
         self.links: list[tuple[int, int]] = []
 
@@ -236,11 +260,18 @@ class _Sets:
             counts = counts + (one[place] == found)
             some = counts + left >= least
             found, counts = found[some], counts[some]
+        asks = None
         for j in found[100 * counts >= self.threshold * (self.sizes[q] + self.sizes[found] - counts)].tolist():
-            if self.group[j] != self.group[q]:
+            if self.group[j] == self.group[q]:
+                continue
+            asks = self.worded(q) if asks is None else asks
+            if alike(asks, self.worded(j), self.threshold):
                 self.links.append((self.keys[q], self.keys[j]))
                 self.group[self.group == self.group[j]] = self.group[q]
 
+    def worded(self, i: int) -> set[tuple[bytes, ...]]:
+        return worded(zstandard.ZstdDecompressor().decompress(self.texts[i].as_py()), self.size)
+
     def search(self, queries: list[int], index: list[int]) -> None:
         """All links of the queries with the indexed sets, as far as they connect more."""
         self.index(index)
@@ -256,23 +287,23 @@ class _Sets:
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _cell_links(cells: DataFrame, threshold: int) -> DataFrame:
-    """a, b: links that connect all linked sets of each cell (cell, set_key, n, tokens), a cell a task."""
+def _cell_links(cells: DataFrame, size: int, threshold: int) -> DataFrame:
+    """a, b: links that connect all linked sets of each cell (cell, set_key, n, tokens, text), a cell a task."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sets = _Sets(table["set_key"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), threshold)
+        sets = _Sets(table, size, threshold)
         sets.connect()
         return sets.found()
 
     return cells.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def _links_within(blocks: DataFrame, threshold: int) -> DataFrame:
+def _links_within(blocks: DataFrame, size: int, threshold: int) -> DataFrame:
     """cell, a, b, score: links that connect all linked sets of each (cell, block), and a row with its
     most central set (a) and that one's score; b is null there, score elsewhere."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sets = _Sets(table["set_key"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), threshold)
+        sets = _Sets(table, size, threshold)
         centre, score = sets.connect()
         links = sets.found()
         columns = [[key[0].as_py()] * (len(links) + 1), [*links["a"].to_pylist(), centre], [*links["b"].to_pylist(), None], [None] * len(links) + [score]]
@@ -281,11 +312,11 @@ def _links_within(blocks: DataFrame, threshold: int) -> DataFrame:
     return blocks.groupBy("cell", "block").applyInArrow(run, "cell long, a long, b long, score double")
 
 
-def _block_links(tasks: DataFrame, threshold: int) -> DataFrame:
+def _block_links(tasks: DataFrame, size: int, threshold: int) -> DataFrame:
     """a, b: links of the sets that ask with those that don't, of each (cell, block, chunk)."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sets = _Sets(table["set_key"].to_pylist(), table["n"].to_pylist(), table["tokens"].to_pylist(), threshold)
+        sets = _Sets(table, size, threshold)
         asks = table["asks"].to_pylist()
         sets.group = np.unique(np.array(table["group"].to_pylist(), np.int64), return_inverse=True)[1]  # connected in an earlier step
         sets.search([i for i, x in enumerate(asks) if x], [i for i, x in enumerate(asks) if not x])
@@ -307,28 +338,28 @@ def _heads(sets: DataFrame) -> DataFrame:
     return sets.select("cell", "block", "set_key", "n", "tokens", "prefix").mapInArrow(run, "cell long, block long, set_key long, n long, token long")
 
 
-def _large_links(cells: DataFrame, threshold: int) -> DataFrame:
-    """As ``_cell_links`` for cells (cell, set_key, n, tokens, prefix, blocks) too large for a task.
+def _large_links(cells: DataFrame, size: int, threshold: int) -> DataFrame:
+    """As ``_cell_links`` for cells (cell, set_key, n, tokens, text, prefix, blocks) too large for a task.
 
     Each task has about a block of a cell's sets and as many that ask it, however large the cell.
     """
     dealt = cells.withColumn("block", F.pmod(F.xxhash64("set_key"), "blocks"))
-    columns = ["cell", "block", "chunk", "set_key", "n", "tokens", "asks", "group"]
+    columns = ["cell", "block", "chunk", "set_key", "n", "tokens", "text", "asks", "group"]
 
     def rows(some: DataFrame, asks: bool) -> DataFrame:
         return some.withColumn("asks", F.lit(asks)).select(columns)
 
     # First each block by itself; the most central sets of all blocks then ask every block.
-    within = materialize(_links_within(dealt.select("cell", "block", "set_key", "n", "tokens"), threshold))
+    within = materialize(_links_within(dealt.select("cell", "block", "set_key", "n", "tokens", "text"), size, threshold))
     rank = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("score"), "a"))
     centres = within.filter("b IS NULL").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("cell", F.col("a").alias("set_key"))
     pivots = dealt.join(centres, ["cell", "set_key"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     alone = {"chunk": F.lit(0).cast("long"), "group": F.col("set_key")}
-    early = materialize(_block_links(rows(dealt.withColumns(alone), False).unionByName(rows(pivots.withColumns(alone), True)), threshold).unionByName(within.filter("b IS NOT NULL").select("a", "b")))
+    early = materialize(_block_links(rows(dealt.withColumns(alone), False).unionByName(rows(pivots.withColumns(alone), True)), size, threshold).unionByName(within.filter("b IS NOT NULL").select("a", "b")))
     # Then those outside their cell's largest group ask where they have a prefix shingle in common, and no length against it.
     groups = components(early).withColumnRenamed("node", "set_key")
     known = materialize(dealt.join(groups, "set_key", "left").withColumn("group", F.coalesce("component", "set_key")).drop("component"))
-    largest = known.groupBy("cell", "group").agg(F.count(F.lit(1)).alias("size")).groupBy("cell").agg(F.max_by("group", F.struct("size", "group")).alias("largest"))
+    largest = known.groupBy("cell", "group").agg(F.count(F.lit(1)).alias("sets")).groupBy("cell").agg(F.max_by("group", F.struct("sets", "group")).alias("largest"))
     asking = materialize(known.join(largest, "cell").filter("group != largest").drop("largest"))
     there = _heads(known).groupBy("cell", "token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     met = _heads(asking).select("cell", "token", "set_key", "n").join(there, ["cell", "token"]).filter((100 * F.col("hi") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("lo")))
@@ -337,7 +368,7 @@ def _large_links(cells: DataFrame, threshold: int) -> DataFrame:
     chunk = F.pmod(F.xxhash64("set_key", F.lit(1)), "chunks")
     ask = met.join(asking.drop("block"), ["cell", "set_key"]).join(sizes, ["cell", "block"]).withColumn("chunk", chunk)
     every = known.join(sizes, ["cell", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    return early.unionByName(_block_links(rows(every, False).unionByName(rows(ask, True)), threshold))
+    return early.unionByName(_block_links(rows(every, False).unionByName(rows(ask, True)), size, threshold))
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -350,8 +381,8 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = THR
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    exchange = exchange_for(texts)
-    rows = document_sets(texts, exchange, size, threshold)
+    exchange, key = exchange_for(texts), wd.Key.draw()
+    rows = document_sets(texts, exchange, key, size, threshold)
     one = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     classes = materialize(
         rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.max("open").alias("open"), F.min("old_key").alias("old_key"), F.min("check").alias("check"), F.min(one).alias("one"))
@@ -359,15 +390,15 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, threshold: int = THR
     # A row of each set is read again; sorted, so that a task that runs again finds its rows in the same order.
     asked = classes.filter("open").select("one.*", "set_key", "old_key", "check")
     again = texts.join(asked, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("text", "set_key", "old_key", "check", "h", "doc_id")
-    sets = materialize(candidate_sets(again.sortWithinPartitions("h", "doc_id", "set_key"), exchange, size, threshold).dropDuplicates(["set_key"]))
+    sets = materialize(candidate_sets(again.sortWithinPartitions("h", "doc_id", "set_key"), exchange, key, size, threshold).dropDuplicates(["set_key"]))
     cell = components(_ties(sets)).select(F.col("node").alias("set_key"), F.col("component").alias("cell"))
     placed = sets.join(cell, "set_key")
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_sets"), F.sum(F.length("tokens") / 8).alias("cell_tokens"))
     blocks = F.greatest(F.ceil(F.col("cell_sets") / CELL_SETS), F.ceil(F.col("cell_tokens") / CELL_SHINGLES)).cast("long")
     over = materialize(sizes.select("cell", blocks.alias("blocks")).filter("blocks > 1"))
-    links = _cell_links(placed.join(over.select("cell"), "cell", "left_anti").select("cell", "set_key", "n", "tokens"), threshold)
+    links = _cell_links(placed.join(over.select("cell"), "cell", "left_anti").select("cell", "set_key", "n", "tokens", "text"), size, threshold)
     if over.take(1):
-        links = links.unionByName(_large_links(materialize(placed.join(over, "cell")), threshold))
+        links = links.unionByName(_large_links(materialize(placed.join(over, "cell")), size, threshold))
     joined = components(links).select(F.col("node").alias("set_key"), "component")
     merged = classes.join(joined, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     least = merged.groupBy("component").agg(F.min("least").alias("component_id"))

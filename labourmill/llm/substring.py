@@ -5,15 +5,17 @@ of its short word runs; neighbouring windows mostly share it, and such a stretch
 super-k-mer) travels as one packed string to the bucket of its minimiser. Equal windows have
 equal minimisers, so each bucket counts its windows by sorting their hashes, and what the hashes
 call equal is held against its words. Before that, the minimisers alone are counted: a stretch
-whose minimiser occurs nowhere else holds no repeated window and needs no journey. A run of words
-that a large part of the corpus has would gather all windows around it in one bucket; stretches
-with a very frequent minimiser therefore travel as their windows' 128-bit hashes, each to the
-bucket of its own hash, where equal ones of a block are one.
+whose minimiser occurs nowhere else holds no repeated window and needs no journey.
+
+A run of words that a large part of the corpus has would gather all windows around it in one
+bucket. Stretches with a very frequent minimiser are therefore split once more, by the hash of
+each window: first only these hashes travel, each to the bucket of its own, and windows whose hash
+occurs once are done; the few others then travel as their words and are held against each other
+like the rest, equal ones of a block as one. Hashes are those of ``words``, with a key of the run.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 from itertools import compress
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labourmill.llm import words as wd
+from labourmill.llm.shared import materialize
 from labourmill.llm.tally import BATCH_ROWS, MOST, Exchange, Sent, batch_of, bucket_of, exchange_for, tell
 from labourmill.llm.words import U, chunks
 
@@ -90,12 +93,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _shared_stretches(docs: DataFrame, window: int, run: int, exchange: Exchange) -> DataFrame:
+def _shared_stretches(docs: DataFrame, window: int, run: int, exchange: Exchange, key: wd.Key) -> DataFrame:
     """doc_id, h, flags: for each stretch of a document a bit whether its minimiser occurs again, then
     for each a bit whether it is very frequent."""
 
     def send(batch: pa.RecordBatch) -> Sent:
-        _, _, minimiser, text = stretches(wd.split(batch.column("text")), window, run)
+        _, _, minimiser, text = stretches(wd.split(batch.column("text"), key), window, run)
         values, where, counts = np.unique(minimiser, return_inverse=True, return_counts=True)
         keys = [batch.column("doc_id"), batch.column("h")]
         return Sent(values, counts, np.zeros(0, U), lambda order, _: pickle.dumps((keys, text.astype(np.uint32), where.astype(np.uint32), order.astype(np.uint32))))
@@ -117,26 +120,101 @@ def _shared_stretches(docs: DataFrame, window: int, run: int, exchange: Exchange
 _FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("payload", pa.binary())]
 _PACKED = "block long, bucket int, packed binary, hashes binary, counts binary, payload binary"
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
-_OTHER = U(0xE7037ED1A0B428DB)
 
 
 def window_hashes(w: wd.Words, at: np.ndarray, window: int) -> np.ndarray:
-    """Two hashes of the windows that begin at the words ``at``."""
+    """Both hashes of the windows that begin at the words ``at``."""
     out = np.empty(len(at), _PAIR)
-    out["a"], out["b"] = wd.runs(w.hash, window)[at], wd.runs(wd.mix(w.hash ^ _OTHER), window)[at]
+    out["a"], out["b"] = wd.runs(w.hash, window)[at], wd.runs(w.other, window)[at]
     return out
 
 
+def _covered(starts: np.ndarray, window: int) -> bytes:
+    """First word and end of each stretch of words that the windows beginning at ``starts`` (ascending) cover."""
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + window]))
+    last = np.append(new[1:] - 1, len(starts) - 1)
+    return np.stack([starts[new], starts[last] + window], 1).astype("<u4").tobytes()
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, h, ranges of the documents with repeated windows.
+    """doc_id, h, ranges, more of the documents with repeated windows.
 
-    ``ranges`` holds pairs of little-endian 32-bit numbers: first word and end of each stretch of
-    words that repeated windows cover.
+    ``ranges`` and ``more`` hold pairs of little-endian 32-bit numbers: first word and end of each
+    stretch of words that repeated windows cover, in ``more`` those with a very frequent minimiser.
     """
     keyed = _keyed(docs)
-    exchange = exchange_for(keyed)
+    exchange, key = exchange_for(keyed), wd.Key.draw()
+    first = materialize(_first_pass(keyed, window, run, exchange, key))
+    told = first.groupBy("doc_id", "h").agg(F.max("ranges").alias("ranges"), F.max("open").alias("open"))
+    asked = _joined(keyed, told.filter("open is not null"), "open", "inner").sortWithinPartitions("h", "doc_id")
+    second = _second_pass(asked, window, exchange, key).groupBy("doc_id", "h").agg(F.max("ranges").alias("more"))
+    return told.select("doc_id", "h", "ranges", F.lit(None).cast("binary").alias("more")).unionByName(second.select("doc_id", "h", F.lit(None).cast("binary").alias("ranges"), "more")).groupBy("doc_id", "h").agg(F.max("ranges").alias("ranges"), F.max("more").alias("more"))
+
+
+def _second_pass(asked: DataFrame, window: int, exchange: Exchange, key: wd.Key) -> DataFrame:
+    """doc_id, h, ranges: which of the windows that begin at the words ``open`` of a text (little-endian
+    32-bit numbers) are equal to another one, by their words. Equal windows are open in all texts or in none."""
     buckets = exchange.buckets
-    flags = _shared_stretches(keyed, window, run, exchange)
+
+    def mapper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        part = task << 32
+        for i, batch in enumerate(chunks(batches, size=exchange.block)):
+            w = wd.split(batch.column("text"), key)
+            opened = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("open").to_pylist()]
+            text = np.repeat(np.arange(len(opened)), [len(x) for x in opened])
+            at = np.concatenate([np.zeros(0, np.int64), *opened]) + w.first[text]
+            hashes = window_hashes(w, at, window)
+            where = equal_windows(w, at, hashes, window)
+            _, lead, which, seen = np.unique(where, return_index=True, return_inverse=True, return_counts=True)
+            bucket = bucket_of(hashes["a"][lead], buckets)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            payload = pickle.dumps(([batch.column("doc_id"), batch.column("h")], text.astype(np.uint32), np.concatenate([np.zeros(0, np.int64), *opened]).astype(np.uint32), place[which].astype(np.uint32)))
+            rows = [(part + i, (task + i) % buckets, None, None, None, payload)]
+            data, begin, end = w.data.tobytes(), w.start[at[lead]], w.end[at[lead] + window - 1]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = order[cuts[b] : cuts[b + 1]]
+                packed = b"\n".join(b" ".join(data[x:y].split()) for x, y in zip(begin[mine].tolist(), end[mine].tolist(), strict=True))
+                rows.append((part + i, b, packed, None, seen[mine].astype("<u4").tobytes(), None))
+            for k in range(0, len(rows), BATCH_ROWS):
+                yield batch_of(_FIELDS, rows[k : k + BATCH_ROWS])
+
+    def reducer(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        got = table.to_pylist()
+        asks = [r for r in got if r["packed"] is not None]
+        out = [(r["block"], -1, None, None, None, r["payload"]) for r in got if r["payload"] is not None]
+        if asks:
+            # A line is a window; equal lines are equal windows.
+            lines = [r["packed"].split(b"\n") for r in asks]
+            times: dict[bytes, int] = {}
+            for r, some in zip(asks, lines, strict=True):
+                for line, n in zip(some, np.frombuffer(r["counts"], "<u4").tolist(), strict=True):
+                    times[line] = times.get(line, 0) + n
+            out += [(r["block"], r["bucket"], None, np.array([times[x] > 1 for x in some]).tobytes(), None, None) for r, some in zip(asks, lines, strict=True)]
+        return pa.Table.from_batches([batch_of(_FIELDS, out)])
+
+    def collector(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        got = sorted(table.select(["bucket", "hashes", "payload"]).to_pylist(), key=lambda r: r["bucket"])
+        (doc_id, h), text, at, place = pickle.loads(next(r["payload"] for r in got if r["payload"] is not None))
+        hit = np.frombuffer(b"".join(r["hashes"] for r in got if r["hashes"] is not None), bool)[place]
+        text, at = text[hit], at[hit].astype(np.int64)
+        some = np.unique(text)
+        cuts = np.searchsorted(text, [*some.tolist(), len(doc_id)])
+        ranges = [_covered(at[a:b], window) for a, b in zip(cuts, cuts[1:], strict=False)]
+        take = pa.array(some, pa.int64())
+        return pa.Table.from_arrays([doc_id.take(take), h.take(take), pa.array(ranges, pa.binary())], names=["doc_id", "h", "ranges"])
+
+    return asked.mapInArrow(mapper, _PACKED).groupBy("bucket").applyInArrow(reducer, _PACKED).groupBy("block").applyInArrow(collector, "doc_id long, h long, ranges binary")
+
+
+def _first_pass(keyed: DataFrame, window: int, run: int, exchange: Exchange, key: wd.Key) -> DataFrame:
+    """doc_id, h, ranges, open: what ``repeated_ranges`` calls ranges, and the first words of windows
+    with a very frequent minimiser whose hash occurs again."""
+    buckets = exchange.buckets
+    flags = _shared_stretches(keyed, window, run, exchange, key)
     # Sorted, so that a task that runs again finds its rows in the same order.
     asked = _joined(keyed, flags, "flags", "inner").sortWithinPartitions("h", "doc_id")
 
@@ -144,7 +222,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
         task = TaskContext.get().partitionId()
         part = task << 32
         for i, batch in enumerate(chunks(batches, size=exchange.block)):
-            w = wd.split(batch.column("text"))
+            w = wd.split(batch.column("text"), key)
             first, size, minimiser, text = stretches(w, window, run)
             cuts = np.searchsorted(text, np.arange(len(w) + 1))
             keep, hot = np.zeros(len(first), bool), np.zeros(len(first), bool)
@@ -192,13 +270,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
             for k in range(0, len(rows), BATCH_ROWS):
                 yield batch_of(_FIELDS, rows[k : k + BATCH_ROWS])
 
-    def reducer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def reducer(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         got = table.to_pylist()
         asks, hashed = [r for r in got if r["packed"] is not None], [r for r in got if r["hashes"] is not None]
         out = [(r["block"], -1, None, None, None, r["payload"]) for r in got if r["payload"] is not None]
         if asks:
             lines = [r["packed"].split(b"\n") for r in asks]
-            w = wd.split(pa.array([x for some in lines for x in some], pa.large_binary()).cast(pa.large_string()))
+            w = wd.split(pa.array([x for some in lines for x in some], pa.large_binary()).cast(pa.large_string()), key)
             times = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in asks]).astype(np.int64)
             first, hashes = w.windows(window)
             text = w.text_of()[first]
@@ -220,7 +298,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
                 begin += len(x)
         return pa.Table.from_batches([batch_of(_FIELDS, out)])
 
-    def collector(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def collector(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         got = sorted(table.select(["bucket", "packed", "hashes", "payload"]).to_pylist(), key=lambda r: r["bucket"])
         (doc_id, h), text, first, size, place, hash_text, windows, hash_place = pickle.loads(next(r["payload"] for r in got if r["payload"] is not None))
         bits = [x for r in got if r["packed"] is not None for x in pickle.loads(r["packed"])]
@@ -228,25 +306,25 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
         hit = again[hash_place] if len(hash_place) else np.zeros(0, bool)
         hash_text, windows = hash_text[hit], windows[hit]
         cuts, hash_cuts = (np.searchsorted(x, np.arange(len(doc_id) + 1)) for x in (text, hash_text))
-        some, ranges = [], []
+        some, ranges, opened = [], [], []
         for d in range(len(doc_id)):
             starts = [first[k] + np.flatnonzero(np.unpackbits(np.frombuffer(bits[place[k]], np.uint8), count=size[k])) for k in range(cuts[d], cuts[d + 1])]
-            at = np.sort(np.concatenate([windows[hash_cuts[d] : hash_cuts[d + 1]], *starts]))
-            if len(at):
-                new = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + window]))
-                last = np.append(new[1:] - 1, len(at) - 1)
+            at = np.sort(np.concatenate([np.zeros(0, np.int64), *starts]))
+            mine = windows[hash_cuts[d] : hash_cuts[d + 1]]
+            if len(at) or len(mine):
                 some.append(d)
-                ranges.append(np.stack([at[new], at[last] + window], 1).astype("<u4").tobytes())
+                ranges.append(_covered(at, window) if len(at) else None)
+                opened.append(np.sort(mine).astype("<u4").tobytes() if len(mine) else None)
         take = pa.array(some, pa.int64())
-        return pa.Table.from_arrays([doc_id.take(take), h.take(take), pa.array(ranges, pa.binary())], names=["doc_id", "h", "ranges"])
+        return pa.Table.from_arrays([doc_id.take(take), h.take(take), pa.array(ranges, pa.binary()), pa.array(opened, pa.binary())], names=["doc_id", "h", "ranges", "open"])
 
-    found = asked.mapInArrow(mapper, _PACKED).groupBy("bucket").applyInArrow(reducer, _PACKED).groupBy("block").applyInArrow(collector, "doc_id long, h long, ranges binary")
-    return found.groupBy("doc_id", "h").agg(F.max("ranges").alias("ranges"))
+    return asked.mapInArrow(mapper, _PACKED).groupBy("bucket").applyInArrow(reducer, _PACKED).groupBy("block").applyInArrow(collector, "doc_id long, h long, ranges binary, open binary")
 
 
-def _joined(keyed: DataFrame, told: DataFrame, column: str, how: str) -> DataFrame:
-    other = told.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), column)
-    return keyed.join(other, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), how).select("doc_id", "h", "text", column)
+def _joined(keyed: DataFrame, told: DataFrame, columns: str | list[str], how: str) -> DataFrame:
+    columns = [columns] if isinstance(columns, str) else columns
+    other = told.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), *columns)
+    return keyed.join(other, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id")), how).select("doc_id", "h", "text", *columns)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -255,18 +333,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Dat
     A word goes if a window over it also starts anywhere else, in the same document too; so the
     copies of a text all go. Null and empty texts have no words. Repeated rows repeat each other.
     """
-    told = _joined(_keyed(docs), repeated_ranges(docs, window, run), "ranges", "left")
+    told = _joined(_keyed(docs), repeated_ranges(docs, window, run), ["ranges", "more"], "left")
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             counts, removed, kept = [], [], []
-            for text, ranges in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+            told_ = (batch.column(c).to_pylist() for c in ("ranges", "more"))
+            for text, *some in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), *told_, strict=True):
                 words = text.split()
                 counts.append(len(words))
-                if ranges:
+                if any(some):
                     stay = np.ones(len(words), bool)
-                    for a, b in np.frombuffer(ranges, "<u4").reshape(-1, 2):
-                        stay[a:b] = False
+                    for ranges in filter(None, some):
+                        for a, b in np.frombuffer(ranges, "<u4").reshape(-1, 2):
+                            stay[a:b] = False
                     words = list(compress(words, stay.tolist()))
                 removed.append(counts[-1] - len(words))
                 kept.append(b" ".join(words))

@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from labourmill.llm import chat, classifier, components, jaccard, mixing, packing, pii, quality, sharding, simhash, substring
@@ -213,7 +215,8 @@ def test_jaccard(spark, docs, empty, large, monkeypatch):
 def test_t_occurrence(spark):
     made = near_copies(3, 40, 80, 10)
     sets = [sorted(hash(s) & (2**63 - 1) for s in shingle_set(t)) for t in made]
-    task = jaccard._Sets(list(range(len(sets))), [len(s) for s in sets], [np.array(s, np.uint64).tobytes() for s in sets], 75)
+    rows = {"set_key": list(range(len(sets))), "n": [len(s) for s in sets], "tokens": [np.array(s, np.uint64).tobytes() for s in sets], "text": [zstandard.compress(t.lower().encode()) for t in made]}
+    task = jaccard._Sets(pa.table(rows), 5, 75)
     task.search(list(range(len(sets))), list(range(len(sets))))
     want = brute_components(list(enumerate(made)))
     groups = defaultdict(list)
