@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from labourmill.llm import words as wd
 from labourmill.llm.shared import materialize
-from labourmill.llm.tally import BATCH_ROWS, MOST, Exchange, Sent, batch_of, bucket_of, exchange_for, tell
+from labourmill.llm.tally import BATCH_ROWS, BUCKET_BYTES, MOST, Exchange, Sent, batch_of, bucket_of, exchange_for, tell
 from labourmill.llm.words import U, chunks
 
 WINDOW = 35
@@ -147,7 +147,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     first = materialize(_first_pass(keyed, window, run, exchange, key))
     told = first.groupBy("doc_id", "h").agg(F.max("ranges").alias("ranges"), F.max("open").alias("open"))
     asked = _joined(keyed, told.filter("open is not null"), "open", "inner").sortWithinPartitions("h", "doc_id")
-    second = _second_pass(asked, window, exchange, key).groupBy("doc_id", "h").agg(F.max("ranges").alias("more"))
+    # Buckets by the bytes of words that will travel, about eight a word.
+    opened = told.agg(F.sum(F.octet_length("open"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-opened // 4 * window * 8 // BUCKET_BYTES))
+    second = _second_pass(asked, window, Exchange(buckets, exchange.block), key).groupBy("doc_id", "h").agg(F.max("ranges").alias("more"))
     return told.select("doc_id", "h", "ranges", F.lit(None).cast("binary").alias("more")).unionByName(second.select("doc_id", "h", F.lit(None).cast("binary").alias("ranges"), "more")).groupBy("doc_id", "h").agg(F.max("ranges").alias("ranges"), F.max("more").alias("more"))
 
 
