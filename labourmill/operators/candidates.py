@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from labourmill.functions import scalars
 from labourmill.operators.matching import pair_similarity
-from labourmill.sources import taxonomy
+from labourmill.sources import skew, taxonomy
 
 PRIORITY = {"fuzzy": 0, "embedding": 1, "graph_parent": 2, "graph_sibling": 3}
 SLOTS = {"fuzzy": 15, "embedding": 15, "graph_sibling": 5, "graph_parent": 3}
@@ -39,9 +39,12 @@ def graph_expand(candidates: DataFrame, edges: DataFrame, concepts: DataFrame, q
     up = candidates.join(taxonomy.taxonomy_parent(edges, concepts).withColumnRenamed("child_uri", "uri"), "uri").select(
         "batch_id", F.col("parent_uri").alias("uri"), F.coalesce("score", F.lit(PARENT_SCORE)).alias("score"), F.lit("graph_parent").alias("category")
     )
-    beside = candidates.join(taxonomy.taxonomy_siblings(edges, concepts), "uri").select("batch_id", F.col("sibling_uri").alias("uri"), F.explode_outer("texts").alias("text"))
+    # Siblings meet the different texts of all candidates below their parent; a candidate that finds itself so stays one.
+    texts = candidates.join(taxonomy.parents(edges).withColumnRenamed("child_uri", "uri"), "uri").select("batch_id", "parent_uri", F.explode_outer("texts").alias("text")).distinct()
+    children = taxonomy.taxonomy_children(edges, concepts).distinct().withColumnRenamed("child_uri", "uri")
+    beside = skew.join_split(children, texts, "parent_uri", F.col("uri")).select("batch_id", "uri", "text")
     known = beside.filter("text is not null") if threshold > 0 else beside.limit(0)
-    scored = pair_similarity(known.distinct(), queries, vectors).filter(F.col("score") >= threshold).groupBy("batch_id", "uri").agg(F.max("score").alias("score"))
+    scored = pair_similarity(known, queries, vectors).filter(F.col("score") >= threshold).groupBy("batch_id", "uri").agg(F.max("score").alias("score"))
     plain = (beside.filter("text is null") if threshold > 0 else beside).select("batch_id", "uri").distinct().withColumn("score", F.lit(SIBLING_SCORE))
     side = scored.unionByName(plain).withColumn("category", F.lit("graph_sibling"))
     order = F.coalesce(*[F.when(F.col("category") == c, F.lit(p)) for c, p in PRIORITY.items()])

@@ -481,6 +481,17 @@ def J5_taxonomy_siblings(spark: SparkSession, d: str) -> DataFrame:
     return tx.taxonomy_siblings(_tree_edges(spark, d), _tree_concepts(spark, d))
 
 
+@query("SELECT uri, parent_uri, n - 1 AS n_siblings FROM (SELECT child_uri AS uri, parent_uri, count(*) OVER (PARTITION BY parent_uri) AS n FROM up)", TREE)
+def J5_sibling_groups(spark: SparkSession, d: str) -> DataFrame:
+    return tx.sibling_groups(_tree_edges(spark, d), _tree_concepts(spark, d))
+
+
+@query("SELECT a.child_uri AS uri, b.child_uri AS sibling_uri FROM up a JOIN up b USING (parent_uri) WHERE a.child_uri <> b.child_uri AND a.child_uri LIKE 'g%'", TREE)
+def J5_siblings_of_candidates(spark: SparkSession, d: str) -> DataFrame:
+    c = _tree_concepts(spark, d)
+    return tx.taxonomy_siblings(_tree_edges(spark, d), c, c.filter("skill_type = 'group'"))
+
+
 CHAINS = "chains AS (SELECT uri, uri AS top, '' AS chain FROM tree WHERE parent IS NULL UNION ALL SELECT t.uri, t.uri, CASE WHEN c.chain = '' THEN p.label ELSE c.chain || '/' || p.label END FROM chains c JOIN tree t ON t.parent = c.uri JOIN tree p ON p.uri = c.uri)"
 
 

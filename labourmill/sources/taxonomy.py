@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labourmill.functions import scalars
-from labourmill.sources import schemas
+from labourmill.sources import schemas, scratch, skew
 
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
@@ -85,29 +85,58 @@ def taxonomy_children(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     return edges.select("parent_uri", "child_uri").join(concepts.select(F.col("uri").alias("child_uri")), "child_uri", "left_semi").select("parent_uri", "child_uri")
 
 
-def taxonomy_siblings(edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """uri, sibling_uri: the other known children of a concept's parent."""
+def taxonomy_siblings(edges: DataFrame, concepts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """uri, sibling_uri: the other known children of a concept's parent.
+
+    Pairs grow with the square of a parent's children: with ``only`` (uri) they are made for these
+    concepts alone, and ``sibling_groups`` has the same without pairs.
+    """
     own = parents(edges).select(F.col("child_uri").alias("uri"), "parent_uri")
+    if only is not None:
+        own = own.join(only.select("uri").distinct(), "uri")
     other = taxonomy_children(edges, concepts).withColumnRenamed("child_uri", "sibling_uri").distinct()
-    return own.join(other, "parent_uri").filter("uri != sibling_uri").select("uri", "sibling_uri")
+    return skew.join_split(other, own, "parent_uri", F.col("sibling_uri")).filter("uri != sibling_uri").select("uri", "sibling_uri")
+
+
+def sibling_groups(edges: DataFrame, concepts: DataFrame) -> DataFrame:
+    """uri, parent_uri, n_siblings of every concept with a parent: its siblings are that parent's
+    children, which ``taxonomy_children`` has, without itself. One row a concept, no pairs."""
+    children = taxonomy_children(edges, concepts).distinct()
+    sizes = children.groupBy("parent_uri").agg(F.count(F.lit(1)).alias("n"))
+    own = parents(edges).select(F.col("child_uri").alias("uri"), "parent_uri")
+    member = children.select("parent_uri", F.col("child_uri").alias("uri"), F.lit(1).alias("self"))
+    told = own.join(member, ["parent_uri", "uri"], "left")
+    return skew.join_split(told, sizes, "parent_uri", F.col("uri")).select("uri", "parent_uri", (F.col("n") - F.coalesce("self", F.lit(0))).alias("n_siblings"))
 
 
-def taxonomy_chain(edges: DataFrame, concepts: DataFrame, max_depth: int = 16) -> DataFrame:
+def taxonomy_chain(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """uri, chain: labels of a concept's ancestors from the root down, itself left out.
 
-    It ends where a parent isn't known, at ``max_depth`` steps, or where the hierarchy comes back
-    to a concept that the chain has.
+    It ends where a parent isn't known, or where the hierarchy comes back to a concept that the
+    chain has. ``concepts`` has each uri once. Chains double: a concept that knows its next 2 ** k
+    ancestors takes those of the last one of them, so a hierarchy of n levels takes log n rounds,
+    each written once. A chain that comes back is cut there and done, so cycles end it like roots.
     """
-    step = parents(edges).join(concepts.select(F.col("uri").alias("parent_uri"), F.col("preferred_label").alias("label")), "parent_uri")
-    return concepts.sparkSession.sql(
-        """
-        WITH RECURSIVE up (uri, at, seen, chain, depth) AS (
-          SELECT uri, uri, array(uri), cast(array() AS array<string>), 0 FROM {concepts}
-          UNION ALL
-          SELECT up.uri, step.parent_uri, array_append(up.seen, step.parent_uri), array_prepend(up.chain, step.label), up.depth + 1
-          FROM up JOIN {step} step ON step.child_uri = up.at WHERE up.depth < {most} AND NOT array_contains(up.seen, step.parent_uri)
-        )
-        SELECT uri, max_by(chain, depth) AS chain FROM up GROUP BY uri
-        """,
-        concepts=concepts.select("uri"), step=step, most=max_depth,
-    )
+    named = concepts.select(F.col("uri").alias("parent_uri"), F.col("preferred_label").alias("label"))
+    step = skew.join_split(parents(edges), named, "parent_uri", F.col("child_uri")).filter("child_uri != parent_uri")
+    first = concepts.select("uri").join(step.withColumnRenamed("child_uri", "uri"), "uri", "left")
+    none = F.array().cast("array<string>")
+    has = F.col("parent_uri").isNotNull()
+    now = scratch.kept(first.select("uri", F.when(has, F.array("parent_uri")).otherwise(none).alias("up"), F.when(has, F.array("label")).otherwise(none).alias("labels"), F.col("parent_uri").alias("top")))
+    done = now.filter("top IS NULL").select("uri", "labels")
+    while True:
+        open_ = now.filter("top IS NOT NULL")
+        if not open_.take(1):
+            break
+        further = now.select(F.col("uri").alias("top"), F.col("up").alias("up2"), F.col("labels").alias("labels2"), F.col("top").alias("top2"))
+        both = skew.join_split(open_, further, "top", F.col("uri"))
+        # What comes again comes at the end: from there on the walk only repeats itself.
+        new = F.array_remove(F.array_distinct(F.concat("up", "up2")), F.col("uri"))
+        longer = both.select("uri", new.alias("up"), (F.size("up") + F.size("up2")).alias("n"), F.concat("labels", "labels2").alias("labels"), "top2")
+        cut = F.size("up") < F.col("n")
+        grown = scratch.kept(longer.select("uri", "up", F.slice("labels", F.lit(1), F.size("up")).alias("labels"), F.when(~cut, F.col("top2")).alias("top")))
+        done = done.unionByName(grown.filter("top IS NULL").select("uri", "labels"))
+        # Those that are done go on to serve others.
+        now = grown.unionByName(now.join(grown.select("uri"), "uri", "left_anti"))
+        now = scratch.kept(now)
+    return done.select("uri", F.reverse("labels").alias("chain"))
