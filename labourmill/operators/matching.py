@@ -1,6 +1,10 @@
 """Raw skills to taxonomy concepts: by label similarity, by vectors, and both in a cascade.
 
-Searches compare distinct queries with all labels or vectors. Up to BLOCK targets, counted before,
+Where there are more than BLOCK labels, those above a threshold are found by filter and verify: two texts whose ratio reaches it have a
+certain number of pairs of letters in common, so they share one of their rarest pairs. Postings of
+these are joined, common pairs of letters counted, and only what is left has its ratio worked out.
+
+Other searches compare distinct queries with all labels or vectors. Up to BLOCK targets, counted before,
 go to every task whole, and queries stay where they are. More are cut into blocks of that size,
 and every block meets every share of the queries once; each meeting keeps its best k, and the best
 of these are taken by query.
@@ -17,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from labourmill.functions import scalars
-from labourmill.functions.ratio import Labels
-from labourmill.sources import scratch
+from labourmill.functions.ratio import Labels, ratio
+from labourmill.sources import scratch, skew
 
 FUZZY_SCORE, CASCADE_CONFIDENCE = 80.0, 0.85
 EMBEDDING_SCORE, LABEL_WEIGHT = 0.72, 0.6
@@ -49,13 +53,95 @@ def _best(found: DataFrame, query: str, k: int, *order: Column) -> DataFrame:
     return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _grams(text: Column, width: int) -> Column:
+    """A text's runs of ``width`` characters, each with its number among equal ones."""
+    n = F.char_length(text)
+    parts = F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(F.array_sort(parts)), lambda g: F.transform(g, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(g, x)).cast("string"))))[0]
+
+
+def _common(lengths: Column, share: float, width: int) -> Column:
+    """Fewest common grams of two texts with a ratio of ``share``, by the sum of their lengths.
+
+    A ratio r of texts with n letters in all leaves out (1 - r) n letters and keeps r n / 2, which
+    have that many grams less width - 1; a letter left out breaks width - 1 of them at most.
+    """
+    return F.ceil(lengths * (share / 2 - (width - 1) * (1 - share)) - (width - 1) - 1e-9)
+
+
+def _prefixes(texts: DataFrame, often: DataFrame, share: float, width: int) -> DataFrame:
+    """A row for each of a text's rarest grams that it could share with an alike one: name, n, grams, gram."""
+    each = skew.join_split(texts.select("name", F.explode("grams").alias("gram")), often, "gram", F.col("name"))
+    # A gram that no label has is the rarest of all, and meets nothing.
+    counted = each.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("known"))
+    least = _common(2 * F.col("n") / (2 - share), share, width)
+    unknown = F.size("grams") - F.size("known")
+    first = F.slice("known", F.lit(1), F.greatest(F.size("grams") - least + 1 - unknown, F.lit(0)).cast("int"))
+    return texts.join(counted, "name").select("name", "n", "grams", F.explode(F.transform(first, lambda g: g["gram"])).alias("gram"))
+
+
+def fuzzy_candidates(raw: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """raw_skill, label: all pairs whose token-sort ratio may reach ``least`` (above 67), and few others.
+
+    Pairs of letters serve where they say something; raw skills that are too short for that, and
+    the short labels that may be like them, go by single letters.
+    """
+    share = least / 100
+    if share <= 2 / 3:
+        raise ValueError("below 67 pairs of letters leave nothing out")
+    asked = scratch.kept(raw.select(F.col("raw_skill").alias("name"), sorted_tokens(F.col("raw_skill")).alias("text")).filter("text != ''").withColumn("n", F.char_length("text")))
+    known = scratch.kept(labels.select(F.col("label").alias("name"), sorted_tokens(F.col("label")).alias("text")).distinct().withColumn("n", F.char_length("text")))
+    short = _common(2 * F.col("n") / (2 - share), share, 2) < 1
+    longest = (2 - share) / share + 1e-9
+    found = []
+    for width, some, others in ((2, asked.filter(~short), known), (1, asked.filter(short), known.join(F.broadcast(asked.filter(short).agg(F.max("n").alias("most"))), F.lit(True)).filter(F.col("n") <= F.col("most") * longest).drop("most"))):
+        a, b = (x.select("name", "n", _grams(F.col("text"), width).alias("grams")) for x in (some, others))
+        often = b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+        mine = _prefixes(a, often, share, width)
+        its = _prefixes(b, often, share, width).select(F.col("name").alias("label"), F.col("n").alias("m"), F.col("grams").alias("its"), "gram")
+        near = (F.col("m") * longest >= F.col("n")) & (F.col("n") * longest >= F.col("m"))
+        enough = F.size(F.array_intersect("grams", "its")) >= _common(F.col("n") + F.col("m"), share, width)
+        found.append(skew.join_split(mine, its, "gram", F.col("name")).filter(near).filter(enough).select(F.col("name").alias("raw_skill"), "label"))
+    return found[0].unionByName(found[1]).distinct()
+
+
+def _verified(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (raw_skill, label) whose token-sort ratio is at least that, with their score (0 to 1)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            score = np.array([ratio(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)], np.float64)
+            some = score >= least
+            yield pd.DataFrame({"raw_skill": batch["raw_skill"][some], "label": batch["label"][some], "score": score[some] / 100.0})
+
+    return pairs.select("raw_skill", "label", sorted_tokens(F.col("raw_skill")).alias("a"), sorted_tokens(F.col("label")).alias("b")).mapInPandas(run, "raw_skill string, label string, score double")
+
+
 def fuzzy_top_k(raw: DataFrame, labels: DataFrame, k: int = 3, least: float = 0.0) -> DataFrame:
     """raw_skill, rank, label, uri, score (0 to 1) of the k labels with the best token-sort ratio.
 
     ``raw`` has distinct raw_skill; ``labels`` (label, uri, pos). Among equals the label with the
-    least pos comes first. Blank skills have none. Labels whose length alone keeps them below
-    ``least`` (0 to 100) aren't compared; the others are all at once, in as many steps as the
-    longest has characters.
+    least pos comes first. Blank skills have none. Only labels with a ratio of at least ``least``
+    (0 to 100) count. Up to BLOCK labels are all compared, which takes a task less than looking
+    for candidates does. Of more, with a threshold of FUZZY_SCORE or more, candidates are found by
+    their pairs of letters; with a lower one these come first, and only skills that have fewer than
+    k such labels are compared with all. The result is the same.
+    """
+    if labels.count() <= BLOCK:
+        return _compared(raw, labels, k, least)
+    if least >= FUZZY_SCORE:
+        near = _verified(fuzzy_candidates(raw, labels, least), least).join(labels.select("label", "uri", "pos"), "label")
+        return _best(near, "raw_skill", k, F.desc("score"), F.col("pos")).select("raw_skill", "rank", "label", "uri", "score")
+    near = scratch.kept(fuzzy_top_k(raw, labels, k, FUZZY_SCORE))
+    enough = near.filter(F.col("rank") == k).select("raw_skill")
+    rest = scratch.kept(raw.select("raw_skill").join(enough, "raw_skill", "left_anti"))
+    return near.join(enough, "raw_skill", "left_semi").unionByName(_compared(rest, labels, k, least))
+
+
+def _compared(raw: DataFrame, labels: DataFrame, k: int, least: float) -> DataFrame:
+    """``fuzzy_top_k`` by comparing with all labels. Those whose length alone keeps them below
+    ``least`` are left out; the others are compared all at once, in as many steps as the longest
+    has characters.
     """
 
     def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
