@@ -117,8 +117,10 @@ def _shared_stretches(docs: DataFrame, window: int, run: int, exchange: Exchange
     return found.groupBy("doc_id", "h").agg(F.max("flags").alias("flags"))
 
 
-_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("payload", pa.binary())]
-_PACKED = "block long, bucket int, packed binary, hashes binary, counts binary, payload binary"
+#: What a block sends a bucket, in one row: stretches as words and how often it has each, windows as
+#: hashes and how often it has each (``seen``); and what it keeps for itself (``payload``).
+_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("seen", pa.binary()), ("payload", pa.binary())]
+_PACKED = "block long, bucket int, packed binary, counts binary, hashes binary, seen binary, payload binary"
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -175,20 +177,20 @@ def _second_pass(asked: DataFrame, window: int, exchange: Exchange, key: wd.Key)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             payload = pickle.dumps(([batch.column("doc_id"), batch.column("h")], text.astype(np.uint32), np.concatenate([np.zeros(0, np.int64), *opened]).astype(np.uint32), place[which].astype(np.uint32)))
-            rows = [(part + i, (task + i) % buckets, None, None, None, payload)]
+            rows = [(part + i, (task + i) % buckets, None, None, None, None, payload)]
             data, begin, end = w.data.tobytes(), w.start[at[lead]], w.end[at[lead] + window - 1]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = order[cuts[b] : cuts[b + 1]]
                 packed = b"\n".join(b" ".join(data[x:y].split()) for x, y in zip(begin[mine].tolist(), end[mine].tolist(), strict=True))
-                rows.append((part + i, b, packed, None, seen[mine].astype("<u4").tobytes(), None))
+                rows.append((part + i, b, packed, seen[mine].astype("<u4").tobytes(), None, None, None))
             for k in range(0, len(rows), BATCH_ROWS):
                 yield batch_of(_FIELDS, rows[k : k + BATCH_ROWS])
 
     def reducer(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         got = table.to_pylist()
         asks = [r for r in got if r["packed"] is not None]
-        out = [(r["block"], -1, None, None, None, r["payload"]) for r in got if r["payload"] is not None]
+        out = [(r["block"], -1, None, None, None, None, r["payload"]) for r in got if r["payload"] is not None]
         if asks:
             # A line is a window; equal lines are equal windows.
             lines = [r["packed"].split(b"\n") for r in asks]
@@ -196,7 +198,7 @@ def _second_pass(asked: DataFrame, window: int, exchange: Exchange, key: wd.Key)
             for r, some in zip(asks, lines, strict=True):
                 for line, n in zip(some, np.frombuffer(r["counts"], "<u4").tolist(), strict=True):
                     times[line] = times.get(line, 0) + n
-            out += [(r["block"], r["bucket"], None, np.array([times[x] > 1 for x in some]).tobytes(), None, None) for r, some in zip(asks, lines, strict=True)]
+            out += [(r["block"], r["bucket"], None, None, np.array([times[x] > 1 for x in some]).tobytes(), None, None) for r, some in zip(asks, lines, strict=True)]
         return pa.Table.from_batches([batch_of(_FIELDS, out)])
 
     def collector(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -263,20 +265,21 @@ def _first_pass(keyed: DataFrame, window: int, run: int, exchange: Exchange, key
             place = np.empty(len(sequence), np.int64)
             place[sequence] = np.arange(len(sequence))
             payload = pickle.dumps(([batch.column("doc_id"), batch.column("h")], text, first - w.first[text], size, place[which], hash_text, windows - w.first[hash_text], hash_place[which_hash]))
-            rows = [(part + i, (task + i) % buckets, None, None, None, payload)]
-            for b in sorted(by):
-                rows.append((part + i, b, b"\n".join(x for _, x in by[b]), None, np.array([times[j] for j, _ in by[b]], "<u4").tobytes(), None))
+            rows = [(part + i, (task + i) % buckets, None, None, None, None, payload)]
             cuts = np.searchsorted(hash_bucket[by_bucket], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
+            for b in sorted({*by, *np.flatnonzero(np.diff(cuts)).tolist()}):
+                words = (b"\n".join(x for _, x in by[b]), np.array([times[j] for j, _ in by[b]], "<u4").tobytes()) if b in by else (None, None)
                 mine = by_bucket[cuts[b] : cuts[b + 1]]
-                rows.append((part + i, b, None, hashes[mine].tobytes(), seen[mine].astype("<u4").tobytes(), None))
+                hashed = (hashes[mine].tobytes(), seen[mine].astype("<u4").tobytes()) if len(mine) else (None, None)
+                rows.append((part + i, b, *words, *hashed, None))
             for k in range(0, len(rows), BATCH_ROWS):
                 yield batch_of(_FIELDS, rows[k : k + BATCH_ROWS])
 
     def reducer(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         got = table.to_pylist()
         asks, hashed = [r for r in got if r["packed"] is not None], [r for r in got if r["hashes"] is not None]
-        out = [(r["block"], -1, None, None, None, r["payload"]) for r in got if r["payload"] is not None]
+        out = [(r["block"], -1, None, None, None, None, r["payload"]) for r in got if r["payload"] is not None]
+        told: dict[int, list] = {r["block"]: [None, None] for r in asks + hashed}
         if asks:
             lines = [r["packed"].split(b"\n") for r in asks]
             w = wd.split(pa.array([x for some in lines for x in some], pa.large_binary()).cast(pa.large_string()), key)
@@ -288,17 +291,17 @@ def _first_pass(keyed: DataFrame, window: int, run: int, exchange: Exchange, key
             cuts = np.searchsorted(text, np.arange(len(w) + 1))
             begin = 0
             for r, some in zip(asks, lines, strict=True):
-                bits = [np.packbits(again[cuts[j] : cuts[j + 1]]).tobytes() for j in range(begin, begin + len(some))]
-                out.append((r["block"], r["bucket"], pickle.dumps(bits), None, None, None))
+                told[r["block"]][0] = pickle.dumps([np.packbits(again[cuts[j] : cuts[j + 1]]).tobytes() for j in range(begin, begin + len(some))])
                 begin += len(some)
         if hashed:
             each = [np.frombuffer(r["hashes"], _PAIR) for r in hashed]
             _, where = np.unique(np.concatenate(each), return_inverse=True)
-            again = np.bincount(where, weights=np.concatenate([np.frombuffer(r["counts"], "<u4") for r in hashed]))[where] > 1
+            again = np.bincount(where, weights=np.concatenate([np.frombuffer(r["seen"], "<u4") for r in hashed]))[where] > 1
             begin = 0
             for r, x in zip(hashed, each, strict=True):
-                out.append((r["block"], r["bucket"], None, again[begin : begin + len(x)].tobytes(), None, None))
+                told[r["block"]][1] = again[begin : begin + len(x)].tobytes()
                 begin += len(x)
+        out += [(block, bucket[0].as_py(), bits, None, flags, None, None) for block, (bits, flags) in told.items()]
         return pa.Table.from_batches([batch_of(_FIELDS, out)])
 
     def collector(block: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
