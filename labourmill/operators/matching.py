@@ -4,6 +4,8 @@ Where there are more than BLOCK labels, those above a threshold are found by fil
 certain number of pairs of letters in common, so they share one of their rarest pairs. Postings of
 these are joined, common pairs of letters counted, and only what is left has its ratio worked out.
 
+Vectors beyond BLOCK go by pivots (``neighbours``).
+
 Other searches compare distinct queries with all labels or vectors. Up to BLOCK targets, counted before,
 go to every task whole, and queries stay where they are. More are cut into blocks of that size,
 and every block meets every share of the queries once; each meeting keeps its best k, and the best
@@ -22,6 +24,7 @@ from pyspark.sql import Window as W
 
 from labourmill.functions import scalars
 from labourmill.functions.ratio import Labels, ratio
+from labourmill.operators import neighbours
 from labourmill.sources import scratch, skew
 
 FUZZY_SCORE, CASCADE_CONFIDENCE = 80.0, 0.85
@@ -182,9 +185,13 @@ def fuzzy_match(raw: DataFrame, labels: DataFrame, least: float = FUZZY_SCORE) -
 def knn_top_k(queries: DataFrame, concepts: DataFrame, k: int = 3, label_weight: float = LABEL_WEIGHT) -> DataFrame:
     """text, rank, uri, score of the k concepts with the largest weighted cosine.
 
-    ``queries`` (text, vec); ``concepts`` (uri, label_vec, desc_vec). A block is one matrix
-    product. Queries without vector have no row.
+    ``queries`` (text, vec); ``concepts`` (uri, label_vec, desc_vec). Queries without vector have
+    no row; concepts without either vector are never found. Up to BLOCK concepts are all
+    compared, in one matrix product a batch; more go by ``neighbours.nearest``, with the same
+    result.
     """
+    if concepts.count() > BLOCK:
+        return neighbours.nearest(queries, concepts, k, label_weight)
 
     def unit(rows: pd.Series) -> np.ndarray:
         x = np.stack([np.asarray(r, np.float64) for r in rows])
@@ -195,12 +202,13 @@ def knn_top_k(queries: DataFrame, concepts: DataFrame, k: int = 3, label_weight:
             return pd.DataFrame({"text": pd.Series(dtype=object), "uri": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
         x = unit(q["vec"])
         scores = label_weight * x @ unit(t["label_vec"]).T + (1 - label_weight) * x @ unit(t["desc_vec"]).T
-        n = min(k, len(t))
-        top = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+        top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]  # t is ordered by uri
+        n = top.shape[1]
         return pd.DataFrame({"text": np.repeat(q["text"].to_numpy(), n), "uri": t["uri"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()})
 
-    found = _searched(queries.filter("vec is not null").select("text", "vec"), concepts.select("uri", "label_vec", "desc_vec"), "text", "uri", run, "text string, uri string, score double")
-    return _best(found, "text", k, F.desc("score"), F.col("uri")).select("text", "rank", "uri", "score")
+    whole = concepts.filter("label_vec is not null and desc_vec is not null").select("uri", "label_vec", "desc_vec").orderBy("uri")
+    found = _searched(queries.filter("vec is not null").select("text", "vec"), whole, "text", "uri", run, "text string, uri string, score double")
+    return _best(found, "text", k, F.desc(F.round("score", 12)), F.col("uri")).select("text", "rank", "uri", "score")
 
 
 def cosine(a: Column, b: Column) -> Column:

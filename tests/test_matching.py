@@ -1,8 +1,7 @@
-"""Label search by pairs of letters, and vector search by pivots, against all pairs."""
+"""Label search by pairs of letters against all pairs."""
 
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
