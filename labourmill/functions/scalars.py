@@ -76,7 +76,10 @@ def classify_employer(organization: Column) -> Column:
 
 
 def extract_skills(text: Column, terms: list[str] | None = None) -> Column:
-    """The terms that the text has anywhere in it, also within words; in the terms' order."""
+    """The terms that the text has anywhere in it, also within words; in the terms' order.
+
+    Each term is looked for by itself; ``terms.extract_terms`` takes large dictionaries in one pass.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
     listed = F.array(*[F.lit(t) for t in dict.fromkeys(terms or lookups.TERMS)])
     return F.transform(F.array(low), lambda t: F.filter(listed, lambda term: F.contains(t, term)))[0]

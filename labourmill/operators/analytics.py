@@ -14,6 +14,10 @@ from pyspark.sql import Window as W
 from labourmill.functions import scalars
 from labourmill.operators import predicates as p
 
+#: Logarithm of a sketch's number of counters: one standard error is 0.8 % of the count.
+SKETCH = 14
+
+
 def _remote() -> Column:
     return F.sum(F.col("telework_eligible").cast("long"))
 
@@ -21,8 +25,8 @@ def _remote() -> Column:
 def skills_with_postings(skills: DataFrame, postings: DataFrame, *columns: str) -> DataFrame:
     """One row for each skill occurrence, with the posting's columns (all if none are named).
 
-    Both sides meet on position_id: tables bucketed by it need no shuffle, and hot skills don't
-    matter to this join.
+    Both sides meet on position_id: tables that ``storage.save_bucketed`` wrote need no shuffle, and
+    hot skills don't matter to this join.
     """
     return p.with_key(skills).join(postings.select("position_id", *columns) if columns else postings, "position_id")
 
@@ -31,19 +35,43 @@ def _annual(skills: DataFrame, postings: DataFrame) -> DataFrame:
     return skills_with_postings(skills, p.annual_salary(postings).select("position_id", "min_salary", "max_salary"))
 
 
-def overview(postings: DataFrame, skills: DataFrame, as_of: str, service: bool = True) -> DataFrame:
-    """One row. The service form rounds the share of remote postings and shows the total where a week has none."""
+def _distinct(column: str, approximate: bool) -> Column:
+    """Number of different values, nulls left out; by a sketch if ``approximate``."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(column, SKETCH)) if approximate else F.countDistinct(column)
+
+
+def distinct_sketches(skills: DataFrame, postings: DataFrame) -> DataFrame:
+    """day, country, organizations, skills: sketches of the different organizations and skills of each day and country.
+
+    They merge into those of any days and countries, so a day that comes in is sketched once and
+    nothing that was there is read again.
+    """
+    day_of = [F.col("date_posted").alias("day"), F.col("location_country").alias("country")]
+    own = postings.groupBy(*day_of).agg(F.hll_sketch_agg("organization", SKETCH).alias("organizations"))
+    theirs = skills_with_postings(skills, postings, "date_posted", "location_country").groupBy(*day_of).agg(F.hll_sketch_agg("skill", SKETCH).alias("skills"))
+    same = own["day"].eqNullSafe(theirs["day"]) & own["country"].eqNullSafe(theirs["country"])
+    return own.join(theirs, same, "left").select(own["day"], own["country"], "organizations", "skills")
+
+
+def distinct_estimates(sketches: DataFrame, *groups: str) -> DataFrame:
+    """organizations, unique_skills of each group of ``distinct_sketches`` (day, country, both or none), estimated."""
+    merged = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0).cast("long"))
+    return sketches.groupBy(*groups).agg(merged("organizations").alias("organizations"), merged("skills").alias("unique_skills"))
+
+
+def overview(postings: DataFrame, skills: DataFrame, as_of: str, service: bool = True, approximate: bool = False) -> DataFrame:
+    """One row; different values are estimated if ``approximate``. The service form rounds the share of remote postings and shows the total where a week has none."""
     annual = (F.col("salary_type") == "Per Year") & (F.col("min_salary") > 20000)
     share = _remote() * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1))
     one = postings.agg(
         F.count(F.lit(1)).alias("total_jobs"),
-        F.countDistinct("organization").alias("total_organizations"),
+        _distinct("organization", approximate).alias("total_organizations"),
         F.coalesce(F.bround(F.avg(F.when(annual, F.col("min_salary"))), 0), F.lit(0.0)).cast("long").alias("avg_min_salary"),
         F.coalesce(F.bround(F.avg(F.when(annual, F.col("max_salary"))), 0), F.lit(0.0)).cast("long").alias("avg_max_salary"),
         F.coalesce(F.bround(share, 1) if service else share, F.lit(0.0)).alias("remote_percentage"),
         F.count(F.when(p.recent(as_of), 1)).alias("week"),
     )
-    distinct = skills.agg(F.countDistinct("skill_raw").alias("unique_skills"))
+    distinct = skills.agg(_distinct("skill_raw", approximate).alias("unique_skills"))
     week = F.when(F.col("week") == 0, F.col("total_jobs")).otherwise(F.col("week")) if service else F.col("week")
     return one.join(F.broadcast(distinct), F.lit(True)).withColumn("new_this_week", week).drop("week")
 
@@ -152,11 +180,11 @@ def skill_timeline(skills: DataFrame, postings: DataFrame, skill: str, country:
     return months.groupBy("month").agg(F.countDistinct("position_id").alias("count")).orderBy("month")
 
 
-def country_stats(skills: DataFrame, postings: DataFrame, country: str | None = None) -> DataFrame:
+def country_stats(skills: DataFrame, postings: DataFrame, country: str | None = None, approximate: bool = False) -> DataFrame:
     own = p.country_filter(postings, country)
-    one = own.agg(F.count(F.lit(1)).alias("total_postings"), F.countDistinct("organization").alias("organizations"), F.min("date_posted").alias("first_posted"), F.max("date_posted").alias("last_posted"))
+    one = own.agg(F.count(F.lit(1)).alias("total_postings"), _distinct("organization", approximate).alias("organizations"), F.min("date_posted").alias("first_posted"), F.max("date_posted").alias("last_posted"))
     rows = p.with_key(skills) if country in (None, "", "ALL") else skills_with_postings(skills, own.select("position_id"))
-    return one.join(F.broadcast(rows.agg(F.countDistinct("skill").alias("unique_skills"))), F.lit(True))
+    return one.join(F.broadcast(rows.agg(_distinct("skill", approximate).alias("unique_skills"))), F.lit(True))
 
 
 def skill_country_breakdown(skills: DataFrame, postings: DataFrame, skill: str, n: int = 20) -> DataFrame:
@@ -216,10 +244,10 @@ def collection_status(log: DataFrame, n: int = 20) -> DataFrame:
     return log.orderBy(F.desc("started_at"), "query").limit(n)
 
 
-def collector_stats(postings: DataFrame, skills: DataFrame, log: DataFrame) -> DataFrame:
+def collector_stats(postings: DataFrame, skills: DataFrame, log: DataFrame, approximate: bool = False) -> DataFrame:
     kinds = {"federal": "Federal", "private": "Private", "state": "State", "non_profit": "Non-Profit"}
-    one = postings.agg(F.count(F.lit(1)).alias("total_postings"), *[F.count(F.when(F.col("job_type") == v, 1)).alias(k) for k, v in kinds.items()], F.countDistinct("organization").alias("unique_orgs"))
-    return one.join(F.broadcast(skills.agg(F.countDistinct("skill_raw").alias("unique_skills"))), F.lit(True)).join(
+    one = postings.agg(F.count(F.lit(1)).alias("total_postings"), *[F.count(F.when(F.col("job_type") == v, 1)).alias(k) for k, v in kinds.items()], _distinct("organization", approximate).alias("unique_orgs"))
+    return one.join(F.broadcast(skills.agg(_distinct("skill_raw", approximate).alias("unique_skills"))), F.lit(True)).join(
         F.broadcast(log.agg(F.count(F.when(F.col("status") == "error", 1)).alias("errors"))), F.lit(True)
     )
 

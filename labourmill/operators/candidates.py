@@ -1,6 +1,7 @@
 """Candidates for a model that maps skills, and the reading of its answers.
 
-All windows are within a batch of skills: the whole corpus as one pool is the case of one batch.
+Windows are within a batch of skills. The whole corpus as one pool is the case of one batch, so
+only what can still be shown goes into them: each task leaves out the rest of its own rows first.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 
 from labourmill.functions import scalars
 from labourmill.operators.matching import pair_similarity
-from labourmill.sources import skew, taxonomy
+from labourmill.sources import scratch, skew, taxonomy
 
 PRIORITY = {"fuzzy": 0, "embedding": 1, "graph_parent": 2, "graph_sibling": 3}
 SLOTS = {"fuzzy": 15, "embedding": 15, "graph_sibling": 5, "graph_parent": 3}
@@ -60,7 +61,8 @@ def select_candidates(candidates: DataFrame, limit: int) -> DataFrame:
     boosted = candidates.withColumn("score", F.when((F.col("category") == "fuzzy") & (F.col("score") >= EXACT), F.least(F.col("score") + BOOST, F.lit(1.0))).otherwise(F.col("score")))
     by_score = (F.desc("score"), F.col("uri"))
     slots = F.coalesce(*[F.when(F.col("category") == c, F.lit(n)) for c, n in SLOTS.items()], F.lit(0))
-    ranked = boosted.withColumn("in_category", F.row_number().over(W.partitionBy("batch_id", "category").orderBy(*by_score)))
+    # What isn't among its category's slots and the limit beyond them can't be shown.
+    ranked = boosted.withColumn("in_category", F.row_number().over(W.partitionBy("batch_id", "category").orderBy(*by_score))).filter(F.col("in_category") <= max(SLOTS.values()) + max(limit, 0))
     sure = ranked.withColumn("sure", F.col("in_category") <= slots)
     batch = W.partitionBy("batch_id")
     filled = sure.withColumn("n_sure", F.sum(F.col("sure").cast("int")).over(batch)).withColumn("rest", F.row_number().over(W.partitionBy("batch_id", "sure").orderBy(*by_score)))
@@ -77,19 +79,30 @@ def number_candidates(selected: DataFrame, concepts: DataFrame) -> DataFrame:
     return numbered.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("id", line.alias("l")))).alias("s")).select("batch_id", "n", F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("text"))
 
 
-def batch_skills(rows: DataFrame, key: str, size: int = 15, group: str | None = None) -> DataFrame:
-    """``rows`` with ``batch`` from 0: so many to a batch, in order of the key, within each ``group``.
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``number`` from 0 in that order, without one task that sees them all.
 
-    Without a group, keys are dealt by hash into groups that fill about a thousand batches each,
-    so numbers of batches aren't consecutive over the corpus but no task sees it whole.
+    Rows are dealt to tasks by ranges of the order (rows that are alike in it by their hash too),
+    sorted there and written once; the rows before each range are counted from what was written.
     """
+    spark = rows.sparkSession
+    by = [F.col(o) for o in order] + [F.xxhash64(*rows.columns)]
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.kept(rows.repartitionByRange(shares, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    # An id is the number of its task times 2 ** 33 and the row's place there.
+    share, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r.s, r.n) for r in placed.groupBy(share.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a task
+    before = [(s, sum(n for _, n in counts[:i])) for i, (s, _) in enumerate(counts)]
+    starts = F.broadcast(spark.createDataFrame(before, "__s long, __before long"))
+    return placed.withColumn("__s", share).join(starts, "__s").withColumn("number", F.col("__before") + place).select(*rows.columns, "number")
+
+
+def batch_skills(rows: DataFrame, key: str, size: int = 15, group: str | None = None) -> DataFrame:
+    """``rows`` with ``batch`` from 0: so many to a batch, in order of the key, within each ``group`` or (without one) over all rows."""
     if group is None:
-        n = max(1, -(-rows.count() // (1000 * size)))
-        rows = rows.withColumn("__g", F.pmod(F.xxhash64(key), F.lit(n)))
-    g = group or "__g"
-    place = F.row_number().over(W.partitionBy(g).orderBy(key))
-    numbered = rows.withColumn("batch", F.floor((place - 1) / size))
-    return numbered if group else numbered.withColumn("batch", F.col("__g") * 1_000_000 + F.col("batch")).drop("__g")
+        return numbered(rows, key).withColumn("batch", F.floor(F.col("number") / size)).drop("number")
+    place = F.row_number().over(W.partitionBy(group).orderBy(key))
+    return rows.withColumn("batch", F.floor((place - 1) / size))
 
 
 def resolve_model_answers(answers: DataFrame, asked: DataFrame, numbered: DataFrame, concepts: DataFrame, allow_extra: bool = False) -> DataFrame:
