@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labourmill.functions import lookups
+from labourmill.functions import lookups, terms
 from labourmill.functions import scalars as sc
 from labourmill.operators import candidates as ca
 from labourmill.operators import evaluation as ev
 from labourmill.operators import matching as ma
+from labourmill.operators import neighbours as nb
 from labourmill.operators import predicates as pr
 from labourmill.plans.views import AS_OF, duck, postings, skills, table
-from labourmill.sources import feeds, schemas, scratch, storage
+from labourmill.sources import feeds, keyed, schemas, scratch, storage
 from labourmill.sources import taxonomy as tx
 from labourmill.streaming import ingest
 
@@ -115,6 +118,15 @@ def F9_extract_skills(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(sc.extract_skills(F.col("text"), TERMS)).alias("skill"))
 
 
+@query("SELECT doc_id, term AS skill FROM documents JOIN (SELECT DISTINCT lower(substr(c_mktsegment, 1, 4)) AS term FROM customer UNION SELECT DISTINCT lower(substr(p_type, 1, 3)) FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT DISTINCT lower(split_part(c_name, '#', 2)) FROM customer) ON contains(lower(coalesce(text, '')), term)")
+def F9_extract_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A dictionary of the tables' own names, all of its terms in one pass."""
+    c, p = table(spark, d, "customer"), table(spark, d, "part")
+    named = [c.select(F.lower(F.substring("c_mktsegment", 1, 4))), p.select(F.lower(F.substring("p_type", 1, 3))), table(spark, d, "nation").select(F.lower("n_name")), c.select(F.lower(F.split_part("c_name", F.lit("#"), F.lit(2))))]
+    dictionary = sorted(r[0] for r in reduce(DataFrame.union, named).distinct().collect())  # a dictionary stands at the driver
+    return terms.extract_terms(table(spark, d, "documents"), "doc_id", "text", dictionary)
+
+
 KNOWN = "CASE WHEN p_size < 10 THEN 'Python' WHEN p_size < 20 THEN 'Leadership' WHEN p_size < 30 THEN 'Scientific Writing' ELSE p_name END"
 
 
@@ -293,6 +305,24 @@ def upsert_ignore(spark: SparkSession, d: str) -> DataFrame:
     return storage.upsert_ignore(_orders(spark, d, OLD, 1.0, 0).drop("ord"), _incoming(spark, d), "position_id", "ord").select("position_id", "title", "price")
 
 
+def _kept_up(spark: SparkSession, d: str, replace: bool) -> DataFrame:
+    """The old orders as a keyed table, and the incoming ones upserted into it."""
+    path = scratch.folder(spark)
+    keyed.upsert(path, _orders(spark, d, OLD, 1.0, 0).drop("ord"), buckets=16)
+    keyed.upsert(path, _incoming(spark, d), "position_id", "ord", replace=replace)
+    return keyed.read(spark, path)
+
+
+@query("SELECT * FROM old WHERE position_id NOT IN (SELECT position_id FROM new) UNION ALL SELECT position_id, title, price FROM new QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY ord DESC) = 1", FEEDS)
+def upsert_replace_keyed(spark: SparkSession, d: str) -> DataFrame:
+    return _kept_up(spark, d, True)
+
+
+@query("SELECT * FROM old UNION ALL SELECT position_id, title, price FROM new WHERE position_id NOT IN (SELECT position_id FROM old) QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY ord) = 1", FEEDS)
+def upsert_ignore_keyed(spark: SparkSession, d: str) -> DataFrame:
+    return _kept_up(spark, d, False)
+
+
 @query("SELECT position_id, title, price FROM new QUALIFY row_number() OVER (PARTITION BY position_id ORDER BY ord DESC) = 1", FEEDS)
 def W2_latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     return storage.latest_per_key(_incoming(spark, d), "position_id", "ord").drop("ord")
@@ -602,6 +632,12 @@ def J8b_knn_top_k(spark: SparkSession, d: str) -> DataFrame:
     return ma.knn_top_k(*_vectors(spark, d), k=5).withColumn("score", F.round("score", 4))
 
 
+@query("SELECT text, rank, uri, score FROM best WHERE rank <= 5", SIMS)
+def J8b_knn_by_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """The way of more concepts than a task takes, at every size."""
+    return nb.nearest(*_vectors(spark, d), 5, ma.LABEL_WEIGHT).withColumn("score", F.round("score", 4))
+
+
 @query("SELECT text AS raw_skill, uri, score AS confidence FROM best WHERE rank = 1 AND score >= 0.3", SIMS)
 def J8_embedding_match(spark: SparkSession, d: str) -> DataFrame:
     q, c = _vectors(spark, d)
@@ -683,6 +719,12 @@ def W7_batch_skills(spark: SparkSession, d: str) -> DataFrame:
     return ca.batch_skills(table(spark, d, "orders").select("o_orderpriority", "o_orderkey"), "o_orderkey", 15, "o_orderpriority")
 
 
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 15 AS batch FROM orders")
+def W7_batch_all_skills(spark: SparkSession, d: str) -> DataFrame:
+    """Batches over all rows, numbered without gaps."""
+    return ca.batch_skills(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
 GRAPH = f"""{HITS}, asked AS (SELECT 'Customer#' || lpad(vec_id::VARCHAR, 9, '0') AS text, embedding::DOUBLE[] AS v FROM embeddings),
   beside AS (SELECT DISTINCT h.batch_id, 'n/' || b.n_nationkey AS uri, h.text FROM hits h JOIN nation a ON h.uri = 'n/' || a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
   side AS (SELECT batch_id, uri, max(list_cosine_similarity(v, embedding::DOUBLE[])) AS score FROM beside JOIN asked USING (text) JOIN embeddings ON uri = 'n/' || vec_id GROUP BY ALL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,6 +186,21 @@ def A12_country_stats(spark: SparkSession, d: str) -> DataFrame:
     return a.country_stats(skills(spark, d), postings(spark, d), COUNTRY)
 
 
+@query(
+    """SELECT country, organizations, unique_skills, true AS organizations_close, true AS skills_close FROM (SELECT location_country AS country, count(DISTINCT organization) AS organizations FROM p GROUP BY 1)
+    LEFT JOIN (SELECT location_country AS country, count(DISTINCT skill) AS unique_skills FROM s JOIN p USING (position_id) GROUP BY 1) USING (country)"""
+)
+def A12_distinct_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """The exact counts of each country, and whether those merged from its days' sketches are within 3 % of them."""
+    p, s = postings(spark, d), skills(spark, d)
+    exact = p.groupBy(F.col("location_country").alias("country")).agg(F.countDistinct("organization").alias("organizations"))
+    of_skills = a.skills_with_postings(s, p, "location_country").groupBy(F.col("location_country").alias("country")).agg(F.countDistinct("skill").alias("unique_skills"))
+    about = a.distinct_estimates(scratch.kept(a.distinct_sketches(s, p)), "country").select("country", F.col("organizations").alias("o"), F.col("unique_skills").alias("u"))
+    close = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 0.03 * F.col(y)
+    both = exact.join(of_skills, "country", "left").join(about, "country", "left")
+    return both.select("country", "organizations", "unique_skills", close("o", "organizations").alias("organizations_close"), close("u", "unique_skills").alias("skills_close"))
+
+
 @query(f"SELECT location_country AS country, count(DISTINCT position_id) AS count FROM s JOIN p USING (position_id) WHERE lower(skill) = lower({SKILL}) GROUP BY 1 ORDER BY count DESC, 1 LIMIT 20")
 def A13_skill_country_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return a.skill_country_breakdown(skills(spark, d), postings(spark, d), _skill(spark, d))
@@ -418,3 +435,12 @@ def P10_min_volume(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT position_id, skill, min_salary, date_posted FROM s JOIN p USING (position_id)")
 def J1_skills_with_postings(spark: SparkSession, d: str) -> DataFrame:
     return a.skills_with_postings(skills(spark, d), postings(spark, d), "min_salary", "date_posted").select("position_id", "skill", "min_salary", "date_posted")
+
+
+@query("SELECT position_id, skill, min_salary, date_posted FROM s JOIN p USING (position_id)")
+def J1_bucketed_facts(spark: SparkSession, d: str) -> DataFrame:
+    """J1 over both facts as bucketed tables, which meet without a shuffle."""
+    name = f"facts_{uuid.uuid4().hex}"
+    s = storage.save_bucketed(skills(spark, d).drop("skill"), f"{name}_s", scratch.folder(spark), 16)
+    p = storage.save_bucketed(postings(spark, d), f"{name}_p", scratch.folder(spark), 16)
+    return a.skills_with_postings(s, p, "min_salary", "date_posted").select("position_id", "skill", "min_salary", "date_posted")

@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its own."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def folder(spark: SparkSession) -> str:
     """A new name in the folder that all executors share (``spark.checkpoint.dir``); only a local
     session may do without that setting. What is written there goes when the application ends."""
@@ -18,10 +24,9 @@ def folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(at)
-    files.deleteOnExit(at)
+    system, at = files(spark, path)
+    system.mkdirs(at)
+    system.deleteOnExit(at)
     return f"{path}/t"
 
 

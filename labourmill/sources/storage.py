@@ -1,7 +1,7 @@
 """Keyed writes, mappings and retention, as functions from tables to tables.
 
-Where a table format has MERGE these are its conditions; on plain Parquet the caller overwrites
-the partitions that hold incoming keys.
+Where a table format has MERGE these are its conditions; on plain Parquet ``keyed`` writes only the
+buckets that hold incoming keys.
 """
 
 from __future__ import annotations
@@ -93,6 +93,16 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
 
 
+def save_bucketed(rows: DataFrame, name: str, path: str, buckets: int, key: str = "position_id") -> DataFrame:
+    """The table ``name``, bucketed and sorted by key, a file a bucket.
+
+    Tables with equal numbers of buckets are joined on the key, or grouped by it, without a
+    shuffle. A key in a very large part of all rows makes its bucket as large.
+    """
+    rows.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def store_mart(mart: DataFrame, path: str) -> None:
     mart.write.mode("overwrite").parquet(path)
 

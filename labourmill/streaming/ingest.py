@@ -9,33 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from labourmill.sources import storage
+from labourmill.sources import keyed, scratch, storage
 
 
-#: So many batches are merged into a new base.
+#: So many batches are merged into the base, at least.
 MERGE = 16
 
 
-def _files(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, and the path as its own."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def _batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the folders ``batch=N`` whose writing has ended, ascending."""
-    files, at = _files(spark, path)
+    files, at = scratch.files(spark, path)
     if not files.exists(at):
         return []
     named = [x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("batch=")]
     return sorted(int(p.getName().removeprefix("batch=")) for p in named if files.exists(p.suffix("/_SUCCESS")))
 
 
+def _since(spark: SparkSession, target: str, last: int) -> list[DataFrame]:
+    """The batches after ``last``, each with its number as ``__n``."""
+    return [spark.read.parquet(f"{target}/batches/batch={n}").withColumn("__n", F.lit(n)) for n in _batches(spark, f"{target}/batches") if n > last]
+
+
 def _rows(spark: SparkSession, target: str) -> DataFrame:
-    """The newest base and the batches since, with ``__n``, the number of each row's batch (a base: -1)."""
-    bases, since = _batches(spark, f"{target}/bases"), _batches(spark, f"{target}/batches")
-    parts = [spark.read.parquet(f"{target}/bases/batch={n}").withColumn("__n", F.lit(-1)) for n in bases[-1:]]
-    parts += [spark.read.parquet(f"{target}/batches/batch={n}").withColumn("__n", F.lit(n)) for n in since if not bases or n > bases[-1]]
+    """The base and the batches since, with ``__n``, the number of each row's batch (the base: -1)."""
+    merged = keyed.writes(spark, f"{target}/base")
+    base = keyed.read(spark, f"{target}/base")
+    parts = ([] if base is None else [base.withColumn("__n", F.lit(-1))]) + _since(spark, target, merged[-1] if merged else -1)
     if not parts:
         raise ValueError(f"no batch has been written under {target}")
     return reduce(DataFrame.unionByName, parts)
@@ -47,12 +46,13 @@ def latest(spark: SparkSession, target: str, replace: bool = True) -> DataFrame:
     return pick(_rows(spark, target), "position_id", "__n").drop("__n")
 
 
-def ingest_postings(spark: SparkSession, source: str, schema: str, normalize: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, replace: bool = True, multi_line: bool = True) -> StreamingQuery:
+def ingest_postings(spark: SparkSession, source: str, schema: str, normalize: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, replace: bool = True, multi_line: bool = True, buckets: int = keyed.BUCKETS) -> StreamingQuery:
     """Landed JSON pages, normalised and upserted by position_id into the table under ``target``.
 
     A batch writes its own rows, one a key, and nothing else; ``latest`` merges them when it
-    reads. Every MERGE batches the table is written whole, as a new base, and what only older
-    bases need is deleted. A batch that runs again writes the same rows under its number. Since a
+    reads. Every MERGE batches they are merged into the base, a keyed table of which only the
+    ``buckets`` with their keys are written anew (without ``replace``: with new keys); what only
+    older bases need is deleted. A batch that runs again writes the same rows under its number. Since a
     new checkpoint counts from 0, it is refused where the target has batches already, and a batch
     whose predecessor is gone is refused too. A file is one page, or (not ``multi_line``) a page
     a line.
@@ -61,20 +61,23 @@ def ingest_postings(spark: SparkSession, source: str, schema: str, normalize: Ca
 
     def upsert(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        bases, before = _batches(session, f"{target}/bases"), _batches(session, f"{target}/batches")
-        if number and number - 1 not in (*bases, *before):
+        merged, before = keyed.writes(session, f"{target}/base"), _batches(session, f"{target}/batches")
+        if number and number - 1 not in (*merged, *before):
             raise ValueError(f"batch {number - 1} isn't under {target}: this checkpoint belongs to another table, or its files are gone")
         rows = batch if replace else batch.filter(F.col("title").isNotNull())
         pick(rows.withColumn("__o", F.monotonically_increasing_id()), "position_id", "__o").drop("__o").write.mode("overwrite").parquet(f"{target}/batches/batch={number}")
-        if number - (bases[-1] if bases else -1) >= MERGE:
-            latest(session, target, replace).write.mode("overwrite").parquet(f"{target}/bases/batch={number}")
-            # The base before stays for those who read it.
-            for old in [f"bases/batch={n}" for n in bases[:-1]] + [f"batches/batch={n}" for n in before if bases and n <= bases[-1]]:
-                files, at = _files(session, f"{target}/{old}")
-                files.delete(at, True)
-
-    files, log = _files(spark, f"{checkpoint}/offsets")
-    if not files.exists(log) and (_batches(spark, f"{target}/bases") or _batches(spark, f"{target}/batches")):
+        last = merged[-1] if merged else -1
+        if number - last >= MERGE:
+            some = reduce(DataFrame.unionByName, _since(session, target, last))
+            keyed.upsert(f"{target}/base", pick(some, "position_id", "__n").drop("__n"), replace=replace, number=number, buckets=buckets)
+            # The base before and the batches since stay for those who read them.
+            for n in before:
+                if n <= last:
+                    files, at = scratch.files(session, f"{target}/batches/batch={n}")
+                    files.delete(at, True)
+
+    files, log = scratch.files(spark, f"{checkpoint}/offsets")
+    if not files.exists(log) and (keyed.writes(spark, f"{target}/base") or _batches(spark, f"{target}/batches")):
         raise ValueError(f"{target} has the batches of another checkpoint than {checkpoint}")
     pages = spark.readStream.schema(schema).option("multiLine", multi_line).option("maxFilesPerTrigger", 1000).json(source)
     return normalize(pages).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

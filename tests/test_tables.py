@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labourmill.operators import analytics, candidates, evaluation, matching
 from labourmill.operators import predicates as pr
-from labourmill.sources import feeds, schemas, storage, taxonomy
+from labourmill.sources import keyed, feeds, schemas, storage, taxonomy
 from labourmill.streaming import ingest
 
 
@@ -175,7 +175,8 @@ def test_stream_keeps_what_it_has(spark, tmp_path, monkeypatch):
         (source / f"{i}.json").write_text(json.dumps({"results": items}))
         run("log")
         assert {r.position_id: r.title for r in ingest.latest(spark, str(tmp_path / "t")).collect()} == want
-    assert sorted(x.name for x in (tmp_path / "t" / "bases").iterdir()) == ["batch=5", "batch=8"]
+    assert keyed.writes(spark, str(tmp_path / "t" / "base"))[-2:] == [5, 8]
+    assert sorted(x.name for x in (tmp_path / "t" / "batches").iterdir()) == ["batch=6", "batch=7", "batch=8"]
     with pytest.raises(ValueError):
         run("other")
     (source / "9.json").write_text(json.dumps({"results": [{"id": "1", "title": "late"}]}))
