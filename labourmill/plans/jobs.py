@@ -899,6 +899,13 @@ def ST2_stream_dedup_new(spark: SparkSession, d: str) -> DataFrame:
     return _ran(ingest.dedup_new(twice, "event_id", "ts"), "append").select("event_id", "event_type", "value")
 
 
+@query("SELECT user_id, event_id, event_type, value FROM events WHERE event_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def ST2_stream_first_writes(spark: SparkSession, d: str) -> DataFrame:
+    path, rows = scratch.folder(spark), _events(spark, d)
+    ingest.first_writes(rows.union(rows), f"{path}/out", f"{path}/log", "user_id", "ts", "event_id", required="event_type").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out").select("user_id", "event_id", "event_type", "value")
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM events GROUP BY ALL")
 def ST3_stream_posting_volume(spark: SparkSession, d: str) -> DataFrame:
     return _ran(ingest.posting_volume(_events(spark, d), "ts", "90 days", "1 day", "event_type"), "complete").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "count")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labourmill.operators import analytics as a
 from labourmill.operators import predicates as pr
+from labourmill.operators import upkeep
 from labourmill.plans.views import AS_OF, duck, postings, skills, table
 from labourmill.sources import scratch, storage
 
@@ -354,6 +355,20 @@ def A30_country_marts(spark: SparkSession, d: str) -> DataFrame:
     return a.country_marts(skills(spark, d), postings(spark, d))
 
 
+@query(
+    """SELECT p.location_country AS country, count(*) AS total_postings, count(DISTINCT organization) AS organizations, min(date_posted) AS first_posted, max(date_posted) AS last_posted, any_value(k.n) AS unique_skills
+    FROM p JOIN (SELECT location_country, count(DISTINCT skill) AS n FROM s JOIN p USING (position_id) GROUP BY 1) k ON k.location_country = p.location_country GROUP BY 1"""
+)
+def A30_country_marts_kept_up(spark: SparkSession, d: str) -> DataFrame:
+    """The counts begin without every tenth posting and with an older state of every seventh; both then change."""
+    p, s, path = postings(spark, d), skills(spark, d), scratch.folder(spark)
+    number = F.col("position_id").cast("long")
+    older = p.filter(number % 7 == 0).withColumns({"organization": F.lit("before"), "date_posted": F.lit("1900-01-01")})
+    upkeep.keep_counts(path, (s, p.filter((number % 10 != 0) & (number % 7 != 0)).unionByName(older)), (s.limit(0), p.limit(0)), 0, 16)
+    upkeep.keep_counts(path, (s, p.filter((number % 10 == 0) | (number % 7 == 0))), (s, older), 1)
+    return upkeep.country_marts(spark, path)
+
+
 @query("SELECT country, month, count FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY month DESC) AS r FROM (SELECT location_country AS country, substr(date_posted, 1, 7) AS month, count(*) AS count FROM p GROUP BY ALL)) WHERE r <= 24")
 def A30_country_volumes(spark: SparkSession, d: str) -> DataFrame:
     return a.country_volumes(postings(spark, d))

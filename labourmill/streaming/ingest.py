@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from labourmill.sources import keyed, scratch, storage
 
@@ -88,6 +88,47 @@ def dedup_new(events: DataFrame, key: str, time: str, delay: str = "1 hour") ->
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
+class _First(StatefulProcessor):
+    """Remembers that a key has had a row, and gives its first one."""
+
+    def __init__(self, required: str, order: tuple[str, ...], remember: int | None):
+        self.required, self.order, self.remember = required, order, remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.had = handle.getValueState("had", "had boolean", self.remember)
+
+    def handleInputRows(self, key, rows, timerValues):
+        place = lambda row: [(row[o] is not None, row[o]) for o in self.order]
+        known, first = self.had.exists(), None
+        for row in rows:
+            if not known and row[self.required] is not None and (first is None or place(row) < place(first)):
+                first = row
+        if first is not None:
+            self.had.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def first_writes(rows: DataFrame, target: str, checkpoint: str, key: str, *order: str, required: str = "title", remember: int | None = None) -> StreamingQuery:
+    """The stream's rows whose key is new, appended to the Parquet table ``target``: ``storage.upsert_ignore`` as a stream.
+
+    Of a batch's rows with one key the first in the order counts, rows without the required column
+    don't. A key is remembered for so many milliseconds, or for ever: there is no watermark, so a
+    copy may come however late. The state is a flag a key, kept in RocksDB below the checkpoint.
+    """
+    spark, setting = rows.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    found = rows.filter(F.col(key).isNotNull()).groupBy(key).transformWithState(_First(required, order, remember), rows.schema, "Append", "ProcessingTime" if remember else "None")
+    before = spark.conf.get(setting)
+    # A stream takes its settings when it starts; others keep theirs.
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return found.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def posting_volume(postings: DataFrame, time: str, delay: str = "90 days", width: str = "1 day", *groups: str) -> DataFrame:
     """Live counts by day (and groups); rows later than the watermark are left out."""
     counts = postings.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), *groups).agg(F.count(F.lit(1)).alias("count"))
