@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labourmill.operators import analytics as a
 from labourmill.operators import predicates as pr
-from labourmill.operators import upkeep
+from labourmill.operators import textindex, upkeep
 from labourmill.plans.views import AS_OF, duck, postings, skills, table
 from labourmill.sources import scratch, storage
 
@@ -401,6 +401,14 @@ def T1_recent_jobs(spark: SparkSession, d: str) -> DataFrame:
     return a.recent_jobs(postings(spark, d), ["position_id", "title", "organization", "location_state", "location_country", "min_salary", "max_salary", "date_posted"])
 
 
+@query("SELECT position_id, title, date_posted FROM p WHERE title ILIKE '%not%fied%' ORDER BY date_posted DESC, position_id LIMIT 20")
+def T1_keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """The latest postings with a keyword in the title, by the titles' grams."""
+    path, rows = scratch.folder(spark), postings(spark, d)
+    textindex.add(rows, path, "position_id", "title")
+    return a.recent_jobs(textindex.keyword_search(rows, path, "position_id", "Not%fied", "title"), ["position_id", "title", "date_posted"])
+
+
 @query(f"SELECT position_id, min_salary FROM p WHERE {ANNUAL}")
 def P1_annual_salary(spark: SparkSession, d: str) -> DataFrame:
     return pr.annual_salary(postings(spark, d)).select("position_id", "min_salary")
@@ -416,6 +424,14 @@ def P3_keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return pr.keyword_search(table(spark, d, "conversations"), "TH_T", "text").select("conv_id", "turn", "text")
 
 
+@query("SELECT doc_id, text FROM documents WHERE text ILIKE '%oire%viré%'")
+def P3_keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """A keyword in texts, by their grams."""
+    path, rows = scratch.folder(spark), table(spark, d, "documents").select("doc_id", "text")
+    textindex.add(rows, path, "doc_id", "text")
+    return textindex.keyword_search(rows, path, "doc_id", "OIRE%VIRÉ", "text")
+
+
 @query(f"SELECT position_id, date_posted FROM p WHERE date_posted >= strftime(DATE '{AS_OF}' - 7, '%Y-%m-%d')")
 def P4_recent_window(spark: SparkSession, d: str) -> DataFrame:
     return pr.recent_window(postings(spark, d), AS_OF).select("position_id", "date_posted")
