@@ -1,6 +1,7 @@
 """Vector search by pivots against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from labourmill.operators import matching, neighbours
@@ -77,3 +78,29 @@ def test_many_concepts_go_by_pivots(spark, monkeypatch):
     monkeypatch.setattr(matching, "BLOCK", 100)
     want = brute(queries, concepts, 3, matching.LABEL_WEIGHT)
     assert small == want and rows(matching.knn_top_k(q, c)) == want
+
+
+def test_a_tasks_rows_are_bounded(spark, monkeypatch):
+    """No row for a query and a cell, and no frame that holds many queries times all cells or concepts."""
+    rng = np.random.default_rng(8)
+    both = rng.normal(size=(2100, 8))  # nothing is near enough to be left out
+    c = spark.createDataFrame([(f"u{i}", v.tolist(), v.tolist()) for i, v in enumerate(both[:2000])], CONCEPTS)
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(both[2000:])], QUERIES)
+    monkeypatch.setattr(neighbours, "BLOCK", 500)
+    to = neighbours.cells(c, 0.6)
+    tiles = int((to.first + to.parts).max())
+    sizes = {t: 0 for t in range(tiles)}
+    for cell, n in enumerate(to.counts):
+        sizes[int(to.first[cell])] += int(n) if to.parts[cell] == 1 else 0
+    assert tiles < 10 < len(to.counts) and max(sizes.values()) <= 500 and (to.parts[to.counts > 0] >= 1).all()
+    _, narrowed = neighbours.reached(q, to, 3, 0.6)
+    asks = neighbours.other_tiles(narrowed, to).toPandas()
+    assert len(asks) == 100 and asks["met"].sum() > 500 and asks["tiles"].map(len).max() <= tiles
+    assert max(len(f) for f in neighbours._striped([pd.DataFrame({"a": range(10_000)})])) == neighbours.STRIPE
+
+
+def test_large_cells_are_cut_into_tiles(monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    first, parts = neighbours._tiles(np.array([3, 0, 7, 1, 25, 4, 10, 0, 2]))
+    assert parts.tolist() == [1, 0, 1, 1, 3, 1, 1, 0, 1]
+    assert first[parts > 0].tolist() == [0, 0, 1, 2, 5, 6, 7]
