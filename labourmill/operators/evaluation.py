@@ -23,8 +23,9 @@ def hallucination_check(mappings: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def mapping_quality(mappings: DataFrame, least_rate: float = 0.60, least_confidence: float = 0.50) -> DataFrame:
+    """One row of counts, rates and their flags. Where nothing is mapped, the confidence and its flag are null."""
     mapped, total = F.count("esco_uri"), F.count(F.lit(1))
-    one = mappings.agg(total.alias("total"), mapped.alias("mapped"), F.coalesce(mapped / F.greatest(total, F.lit(1)), F.lit(0.0)).alias("mapping_rate"), F.coalesce(F.avg(F.when(F.col("esco_uri").isNotNull(), F.col("confidence"))), F.lit(0.0)).alias("avg_confidence"))
+    one = mappings.agg(total.alias("total"), mapped.alias("mapped"), F.coalesce(mapped / F.greatest(total, F.lit(1)), F.lit(0.0)).alias("mapping_rate"), F.avg(F.when(F.col("esco_uri").isNotNull(), F.col("confidence"))).alias("avg_confidence"))
     return one.withColumns({"low_rate": F.col("mapping_rate") < least_rate, "low_confidence": F.col("avg_confidence") < least_confidence})
 
 
