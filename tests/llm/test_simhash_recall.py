@@ -54,3 +54,16 @@ def test_wide_radii_find_all(spark):
     for radius, blocks in ((13, 4), (7, 5), (5, 5), (2, 1)):
         got = Counter((r["query"], r.found) for r in simhash.near_fingerprints(df, df, radius, blocks).collect())
         assert got == Counter((a, b) for a in signed for b in signed if bits(a, b) <= radius)
+
+
+def test_a_frequent_key_is_split(spark, monkeypatch):
+    """All fingerprints have one key in a table: tiles and shares still bound what meets in a task."""
+    monkeypatch.setattr(simhash, "TILE", 40)
+    monkeypatch.setattr(simhash, "SHARE", 30)
+    rng = random.Random(6)
+    every = sorted({rng.getrandbits(20) << 40 for _ in range(150)})
+    df = spark.createDataFrame([(x,) for x in every], "fingerprint long")
+    near = simhash.near_fingerprints(df, df, 6, 4)
+    got = Counter((r["query"], r.found) for r in near.collect())
+    assert got == Counter((a, b) for a in every for b in every if (a ^ b).bit_count() <= 6)
+    assert near.rdd.getNumPartitions() >= 4 * 4 * 5
