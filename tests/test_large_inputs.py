@@ -81,3 +81,13 @@ def test_sketches_merge(spark):
     assert (about.organizations, about.unique_skills) == (one.organizations, one.unique_skills)
     nothing = analytics.distinct_estimates(analytics.distinct_sketches(s.limit(0), p.limit(0))).first()
     assert (nothing.organizations, nothing.unique_skills) == (0, 0)
+
+
+def test_passes_over_terms_do_not_stand_in_one_task(spark, monkeypatch, tmp_path):
+    """A pass over a table has tasks of its own, so a task never has two automata."""
+    monkeypatch.setattr(terms, "CHARACTERS", 8)
+    spark.createDataFrame([(1, "abcd efgh ijkl"), (2, None)], "id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    found = terms.extract_terms(rows, "id", "text", ["abcd", "efgh", "ijkl", "mnop", "qrst"])
+    assert sorted(r.skill for r in found.collect()) == ["abcd", "efgh", "ijkl"]
+    assert found.rdd.getNumPartitions() == 3 * rows.rdd.getNumPartitions()
