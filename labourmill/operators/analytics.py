@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from labourmill.functions import scalars
 from labourmill.operators import predicates as p
+from labourmill.sources import skew
 
 #: Logarithm of a sketch's number of counters: one standard error is 0.8 % of the count.
 SKETCH = 14
@@ -347,7 +348,9 @@ def country_volumes(postings: DataFrame, months: int = 24) -> DataFrame:
 
 
 def _by_skill(skills: DataFrame, postings: DataFrame, column: Column, name: str) -> DataFrame:
-    rows = skills_with_postings(skills, postings).filter("skill is not null").select(F.lower("skill").alias("skill"), column.alias(name), "position_id").filter(F.col(name).isNotNull())
+    # All rows of a posting meet in one task, for the join and the distinct rows alike; tasks are more where rows are.
+    dealt = skills.repartition(skew.tasks(skills), "position_id")
+    rows = skills_with_postings(dealt, postings).filter("skill is not null").select(F.lower("skill").alias("skill"), column.alias(name), "position_id").filter(F.col(name).isNotNull())
     return rows.distinct().groupBy("skill", name).agg(F.count(F.lit(1)).alias("count"))
 
 
