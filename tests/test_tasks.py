@@ -3,6 +3,7 @@
 from pathlib import Path
 
 from labourmill.operators import analytics
+from labourmill.plans import jobs
 from labourmill.sources import skew
 
 
@@ -14,3 +15,11 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     found = analytics.skill_countries(skills, postings)
     assert [tuple(r) for r in found.select("skill", "country", "count", "rank").collect()] == [("a", "x", 50, 1)]
     assert "hashpartitioning(position_id" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+
+
+def test_edges_have_files_by_their_number(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(skew, "TASK_ROWS", 50)
+    monkeypatch.setattr(jobs.scratch, "folder", lambda _: f"{tmp_path}/edges")
+    edges = jobs._tree_edges(spark, "/root/testdata/sf0.001")
+    assert jobs.read_taxonomy_edges(spark, "/root/testdata/sf0.001").count() == edges.select("child_uri").distinct().count()
+    assert len([*Path(f"{tmp_path}/edges").glob("part-*")]) >= edges.count() / 50 > 4
