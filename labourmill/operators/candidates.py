@@ -19,6 +19,8 @@ SLOTS = {"fuzzy": 15, "embedding": 15, "graph_sibling": 5, "graph_parent": 3}
 EXACT, BOOST = 0.95, 0.15
 #: Scores of what the graph adds, where nothing better is known.
 PARENT_SCORE, SIBLING_SCORE = 0.5, 0.4
+#: Answers, skills or candidates of one task, about.
+TASK_ITEMS = 100_000
 ANSWERS = "mappings array<struct<raw_skill:string,esco_id:string,esco_uri:string,esco_label:string,confidence:string,reasoning:string>>"
 
 
@@ -114,21 +116,32 @@ def resolve_model_answers(answers: DataFrame, asked: DataFrame, numbered: DataFr
     in lower case; else its item goes, or stays under its own name. Of several items for one skill
     the last counts.
     """
-    items = answers.select("batch_id", F.posexplode(scalars.parse_model_json(F.col("text"), ANSWERS)["mappings"]).alias("pos", "m")).select("batch_id", "pos", "m.*")
+    # Compressed tables look small to Spark: a few tasks would have all rows, or a table would be sent to all. So tasks are as many as the rows need.
+    n = max(answers.sparkSession.sparkContext.defaultParallelism, *(-(-rows.count() // TASK_ITEMS) for rows in (answers, asked, numbered)))
+    texts = answers.select("batch_id", "text").repartition(n, "batch_id", "text")
+    items = texts.select("batch_id", F.posexplode(scalars.parse_model_json(F.col("text"), ANSWERS)["mappings"]).alias("pos", "m")).select("batch_id", "pos", "m.*")
     said = F.coalesce("esco_id", "esco_uri", F.lit(""))
     first = F.when(said.startswith("["), F.coalesce(F.get(F.from_json(said, "array<string>"), F.lit(0)), F.lit(""))).otherwise(said)
     plain = items.withColumn("said", first).withColumn("id", F.when(F.col("said").rlike("^[0-9]+$"), F.col("said").try_cast("int")))
-    ids = numbered.select("batch_id", "id", F.col("uri").alias("by_id"))
-    named = plain.join(ids, ["batch_id", "id"], "left").withColumn("uri", F.when(F.col("id").isNotNull(), F.col("by_id")).otherwise(F.col("said")))
-    known = named.join(concepts.select("uri"), "uri", "left_semi")
-    exact = asked.select("batch_id", F.col("raw_skill"), F.col("raw_skill").alias("exact")).distinct()
-    lower = asked.groupBy("batch_id", F.lower("raw_skill").alias("low")).agg(F.min("raw_skill").alias("loose"))
-    found = known.join(exact, ["batch_id", "raw_skill"], "left").withColumn("low", F.lower("raw_skill")).join(lower, ["batch_id", "low"], "left")
-    target = F.coalesce("exact", "loose", "raw_skill") if allow_extra else F.coalesce("exact", "loose")
-    graph = numbered.filter(F.col("category").startswith("graph_")).select("batch_id", "uri", F.lit(True).alias("g")).distinct()
-    rows = found.withColumn("target", target).filter("target is not null").join(graph, ["batch_id", "uri"], "left")
+    # A candidate goes by its number, and one from the graph by its uri too, so items meet both at once.
+    number, name = (lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("="), c))
+    alike = W.partitionBy("batch_id", "uri")
+    flagged = numbered.select("batch_id", "id", "uri", F.col("category").startswith("graph_").alias("g")).repartition(n, "batch_id", "uri").withColumn("nth", F.row_number().over(alike.orderBy("id"))).withColumn("g", F.max("g").over(alike))
+    called = flagged.select("batch_id", F.col("uri").alias("by_id"), "g", F.explode(F.array(number("id"), F.when(F.col("g") & (F.col("nth") == 1), name("uri")))).alias("called")).filter("called is not null")
+    dealt = plain.withColumn("called", F.coalesce(number("id"), name("said"))).repartition(n, "batch_id", "called")
+    met = dealt.join(called.repartition(n, "batch_id", "called").hint("merge"), ["batch_id", "called"], "left")
+    known = met.withColumn("uri", F.when(F.col("id").isNotNull(), F.col("by_id")).otherwise(F.col("said"))).join(concepts.select("uri"), "uri", "left_semi")
     value = F.struct("uri", F.coalesce("esco_label", F.lit("")).alias("label"), F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), F.coalesce("g", F.lit(False)).alias("via_graph"))
-    return rows.groupBy("batch_id", F.col("target").alias("raw_skill")).agg(F.max_by(value, "pos").alias("v")).select("batch_id", "raw_skill", "v.*")
+    # Items and the skills asked for meet by their skill in lower case; an item's target differs from it in case at most.
+    told = known.select("batch_id", F.lower("raw_skill").alias("low"), "raw_skill", "pos", value.alias("v"))
+    both = told.unionByName(asked.filter("batch_id is not null").select("batch_id", F.lower("raw_skill").alias("low"), "raw_skill"), allowMissingColumns=True).filter("raw_skill is not null").repartition(n, "batch_id", "low")
+    is_asked = F.col("pos").isNull()
+    exact = F.max(is_asked).over(W.partitionBy("batch_id", "low", "raw_skill"))
+    loose = F.min(F.when(is_asked, F.col("raw_skill"))).over(W.partitionBy("batch_id", "low"))
+    found = both.withColumn("exact", exact).withColumn("loose", loose).filter(~is_asked)
+    target = F.when(F.col("exact"), F.col("raw_skill")).otherwise(F.coalesce("loose", "raw_skill") if allow_extra else F.col("loose"))
+    rows = found.select("batch_id", "low", target.alias("raw_skill"), "pos", "v").filter("raw_skill is not null")
+    return rows.groupBy("batch_id", "low", "raw_skill").agg(F.max_by("v", "pos").alias("v")).select("batch_id", "raw_skill", "v.*")
 
 
 def flatten_model_skills(answers: DataFrame) -> DataFrame:
