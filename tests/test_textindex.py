@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from labourmill.operators import predicates, textindex
@@ -75,3 +77,34 @@ def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], ROWS)
     textindex.add(none, path, "id", "title")
     assert not textindex.keyword_search(none, path, "id", "word", "title").collect()
+
+
+def test_lists_are_those_of_the_texts(spark, tmp_path, monkeypatch):
+    """Pieces of a few characters and alphabets too large for one number give the same grams; a gram's texts share rows."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab çİ😀") for _ in range(rng.randrange(60))) for _ in range(150)] + [None, "", "ab", "abc", "".join(map(chr, range(0x4E00, 0x9E00)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    low = {r.id: r.t or "" for r in df.select("id", F.lower("text").alias("t")).collect()}
+    want = sorted({(t[k : k + 3], i) for i, t in low.items() for k in range(len(t) - 2)})
+    for most in (7, 4_000_000):
+        path = str(tmp_path / str(most))
+        monkeypatch.setattr(textindex, "CHARACTERS", most)
+        textindex.add(df, path, "id", "text")
+        listed = spark.read.parquet(path)
+        assert sorted(set(map(tuple, listed.select("gram", F.explode("keys")).collect()))) == want
+    rows = np.repeat(np.arange(9), 3000)
+    codes = np.arange(27000, dtype="<u4") % 2900 * 300 + 300  # 2900 letters in 9 texts
+    codes[(codes >= 0xD800) & (codes < 0xE000)] = 32
+    many = np.concatenate([codes, np.arange(0x10000, 0x110000, dtype="<u4")])  # a million more in the tenth: a number for each gram and text would be too large
+    met = textindex._lists(many, np.concatenate([rows, np.full(0x100000, 9)]), pa.array(range(10)))
+    got = {(g, k) for b in met for g, ks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k in ks}
+    whole = many.tobytes().decode("utf-32-le")
+    assert got == {(whole[k : k + 3], i) for i, (a, z) in enumerate([(3000 * i, 3000 * i + 3000) for i in range(9)] + [(27000, len(whole))]) for k in range(a, z - 2)}
+
+
+def test_a_row_lists_many_texts(spark, tmp_path):
+    path = str(tmp_path / "i")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    textindex.add(docs, path, "doc_id", "text")
+    listed = spark.read.parquet(path)
+    assert listed.count() < listed.select(F.explode("keys")).count() / 10
