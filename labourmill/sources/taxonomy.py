@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from labourmill.functions import scalars
 from labourmill.sources import schemas, scratch, skew
 
+#: Concepts whose chains double right away.
+FEW = 100_000
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 
 
@@ -113,17 +115,51 @@ def taxonomy_chain(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """uri, chain: labels of a concept's ancestors from the root down, itself left out.
 
     It ends where a parent isn't known, or where the hierarchy comes back to a concept that the
-    chain has. ``concepts`` has each uri once. Chains double: a concept that knows its next 2 ** k
-    ancestors takes those of the last one of them, so a hierarchy of n levels takes log n rounds,
-    each written once. A chain that comes back is cut there and done, so cycles end it like roots.
+    chain has. ``concepts`` has each uri once. Chains are made for the concepts that are parents;
+    the others, which no chain comes back to, take their parent's with it.
     """
-    named = concepts.select(F.col("uri").alias("parent_uri"), F.col("preferred_label").alias("label"))
-    step = skew.join_split(parents(edges), named, "parent_uri", F.col("child_uri")).filter("child_uri != parent_uri")
-    first = concepts.select("uri").join(step.withColumnRenamed("child_uri", "uri"), "uri", "left")
+    up = parents(edges).filter("child_uri != parent_uri").withColumnRenamed("child_uri", "uri")
+    return _chains(_marked(concepts.select("uri", F.col("preferred_label").alias("label")).join(up, "uri", "left"), edges)).select("uri", F.reverse("labels").alias("chain"))
+
+
+def _marked(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (uri and others) with ``above``, which is true for the parents of ``edges`` and null for the others."""
+    return scratch.kept(rows.join(edges.select(F.col("parent_uri").alias("uri")).distinct().withColumn("above", F.lit(True)), "uri", "left"))
+
+
+def _with_parents(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The left join of ``rows`` with what ``table`` has by their parent_uri."""
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != "parent_uri"]
+    return skew.join_split(rows.filter("parent_uri IS NOT NULL"), table, "parent_uri", F.col("uri"), "left").unionByName(rows.filter("parent_uri IS NULL").select("*", *none))
+
+
+def _chains(marked: DataFrame) -> DataFrame:
+    """uri, label, labels (from the parent up) of rows (uri, label, parent_uri, above).
+
+    Where at most half of them are parents, these are done first, by themselves: so all rounds
+    together have at most twice the rows. The rest, or FEW, double.
+    """
+    n, over = marked.count(), marked.filter("above")
+    if n <= FEW or 2 * over.count() > n:
+        return _doubled(marked)
+    over = scratch.kept(_chains(_marked(over.drop("above"), over)))
+    none = F.array().cast("array<string>")
+    told = _with_parents(marked.filter("above IS NULL").select("uri", "label", "parent_uri"), over.select(F.col("uri").alias("parent_uri"), F.concat(F.array("label"), "labels").alias("labels")))
+    return over.unionByName(told.select("uri", "label", F.coalesce("labels", none).alias("labels")))
+
+
+def _doubled(rows: DataFrame) -> DataFrame:
+    """uri, label, labels of rows (uri, label, parent_uri).
+
+    Chains double: a concept that knows its next 2 ** k ancestors takes those of the last one of
+    them, so a hierarchy of n levels takes log n rounds, each written once. A chain that comes back
+    is cut there and done, so cycles end it like roots.
+    """
+    first = _with_parents(rows.select("uri", "label", "parent_uri"), rows.select(F.col("uri").alias("parent_uri"), F.col("label").alias("over"), F.lit(True).alias("known")))
     none = F.array().cast("array<string>")
-    has = F.col("parent_uri").isNotNull()
-    now = scratch.kept(first.select("uri", F.when(has, F.array("parent_uri")).otherwise(none).alias("up"), F.when(has, F.array("label")).otherwise(none).alias("labels"), F.col("parent_uri").alias("top")))
-    done = now.filter("top IS NULL").select("uri", "labels")
+    has = F.col("known").isNotNull()
+    now = scratch.kept(first.select("uri", "label", F.when(has, F.array("parent_uri")).otherwise(none).alias("up"), F.when(has, F.array("over")).otherwise(none).alias("labels"), F.when(has, F.col("parent_uri")).alias("top")))
+    done = now.filter("top IS NULL").select("uri", "label", "labels")
     while True:
         open_ = now.filter("top IS NOT NULL")
         if not open_.take(1):
@@ -132,11 +168,11 @@ def taxonomy_chain(edges: DataFrame, concepts: DataFrame) -> DataFrame:
         both = skew.join_split(open_, further, "top", F.col("uri"))
         # What comes again comes at the end: from there on the walk only repeats itself.
         new = F.array_remove(F.array_distinct(F.concat("up", "up2")), F.col("uri"))
-        longer = both.select("uri", new.alias("up"), (F.size("up") + F.size("up2")).alias("n"), F.concat("labels", "labels2").alias("labels"), "top2")
+        longer = both.select("uri", "label", new.alias("up"), (F.size("up") + F.size("up2")).alias("n"), F.concat("labels", "labels2").alias("labels"), "top2")
         cut = F.size("up") < F.col("n")
-        grown = scratch.kept(longer.select("uri", "up", F.slice("labels", F.lit(1), F.size("up")).alias("labels"), F.when(~cut, F.col("top2")).alias("top")))
-        done = done.unionByName(grown.filter("top IS NULL").select("uri", "labels"))
+        grown = scratch.kept(longer.select("uri", "label", "up", F.slice("labels", F.lit(1), F.size("up")).alias("labels"), F.when(~cut, F.col("top2")).alias("top")))
+        done = done.unionByName(grown.filter("top IS NULL").select("uri", "label", "labels"))
         # Those that are done go on to serve others.
         now = grown.unionByName(now.join(grown.select("uri"), "uri", "left_anti"))
         now = scratch.kept(now)
-    return done.select("uri", F.reverse("labels").alias("chain"))
+    return done

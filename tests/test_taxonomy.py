@@ -45,6 +45,20 @@ def test_random_hierarchies(spark, seed):
     assert chains(spark, edges, concepts) == brute_chains(edges, concepts)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_parents_are_done_first(spark, monkeypatch, seed):
+    """Leaves never double: cycles, unknown parents, loops and concepts without labels above them."""
+    rng = random.Random(seed)
+    met, plain = [], taxonomy._doubled
+    monkeypatch.setattr(taxonomy, "FEW", 10)
+    monkeypatch.setattr(taxonomy, "_doubled", lambda rows: (met.append(rows.count()), plain(rows))[1])
+    concepts = {f"u{i}": f"L{i % 7}" for i in range(400)} | {"u3": None}
+    edges = [(f"u{i}", f"u{rng.randrange(max(1, i // 4))}" if rng.random() < 0.95 else "nowhere", i) for i in range(1, 400)]
+    edges += [("u0", "u9", 1000), ("u11", "u11", 1001), (None, "u1", 1002), ("u12", None, 1003)]
+    assert chains(spark, edges, concepts) == brute_chains(edges, concepts)
+    assert len(met) == 1 and met[0] <= 30
+
+
 def test_no_concepts(spark):
     assert chains(spark, [("a", "b", 1)], {"x": "X"}) == {"x": []}
     assert taxonomy.taxonomy_chain(spark.createDataFrame([], EDGE), spark.createDataFrame([], CONCEPT)).collect() == []
